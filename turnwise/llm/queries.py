@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import exact_dedup, sharding, url_filter
+from turnwise.llm import byte_bpe, exact_dedup, sharding, token_counts, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -22,6 +23,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new cache for each run, so that every run encodes all distinct texts."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir))
 
@@ -35,8 +41,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op6_url_filters": op6_url_filters, "op7_exact_dedup": op7_exact_dedup}
+    return {f.__name__: f for f in (op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe)}
 
 
 _URL_SQL = """
