@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import byte_bpe, exact_dedup, sharding, token_counts, url_filter
+from turnwise.llm import byte_bpe, exact_dedup, mixing, sharding, token_counts, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -23,6 +23,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache for each run, so that every run encodes all distinct texts."""
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -46,7 +50,7 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe)}
+    return {f.__name__: f for f in (op2_mixing_sources, op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe)}
 
 
 _URL_SQL = """
@@ -74,5 +78,45 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_MIX_SQL = """
+WITH s AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM s GROUP BY source
+), w AS (
+  SELECT *, CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM p
+), l AS (
+  SELECT *, CAST(source_size * 2 AS DOUBLE) / weight AS need,
+    (CAST(sum(source_size) OVER () * 3 AS DOUBLE) / 2
+      - coalesce(sum(source_size * 2) OVER (ORDER BY CAST(source_size * 2 AS DOUBLE) / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY CAST(source_size * 2 AS DOUBLE) / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+  FROM w
+), t AS (
+  SELECT nth, source, source_size, least(coalesce(weight * (SELECT arg_min(lvl, (need, nth)) FROM l WHERE need > lvl), 0.0), CAST(source_size * 2 AS DOUBLE)) AS target FROM l
+), e AS (
+  SELECT *, CAST(floor(sum(target) OVER (ORDER BY nth) / sum(target) OVER () * 2147483648) AS BIGINT) AS hi FROM t WHERE target > 0
+), i AS (
+  SELECT *, coalesce(lag(hi) OVER (ORDER BY nth), 0) AS lo, (source_size + 63) // 64 AS blocks FROM e
+), g AS (
+  SELECT t, (t % 2147483648 * 1327217885) % 2147483648 AS x
+  FROM (SELECT unnest(range((SELECT CAST((sum(source_size) * 3 + 127) // 128 AS BIGINT) FROM p))) AS t)
+), r AS (
+  SELECT nth, blocks, row_number() OVER (PARTITION BY nth ORDER BY t) - 1 AS rank FROM g JOIN i ON x >= lo AND x < hi
+), k AS (
+  SELECT nth, rank % blocks AS block, count(*) AS times FROM r WHERE rank < blocks * 2 GROUP BY ALL
+), a AS (
+  SELECT s.doc_id, size, nth, source_size, target,
+    CAST(sum(size) OVER (PARTITION BY nth ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS a
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, CASE WHEN size > 0 THEN unnest(range(a // 64, (a + size - 1) // 64 + 1)) END AS block FROM a WHERE size > 0
+), m AS (
+  SELECT q.doc_id, sum((least(a + size, (q.block + 1) * 64) - greatest(a, q.block * 64)) * times) AS taken FROM q JOIN k ON q.nth = k.nth AND q.block = k.block GROUP BY q.doc_id
+)
+SELECT a.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM a LEFT JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL}
+    return {"op2_mixing_sources": _MIX_SQL, "op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL}
