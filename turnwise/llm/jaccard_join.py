@@ -194,37 +194,57 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
 
     # Regions: the live entries of each prefix, rarest first. Shingles that nobody shares come first of all and take their places.
     nth = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
-    regions = live.withColumn("nth", nth).where(F.col("nth") <= F.col("u") - F.ceil(F.col("n") * sim[0] / sim[1]) + 1).select(F.col("s").alias("g"), "node")
+    regions = live.withColumn("nth", nth).where(F.col("nth") <= F.col("u") - F.ceil(F.col("n") * sim[0] / sim[1]) + 1).select(F.col("s").alias("g"), "node", F.col("u").alias("inside"), F.col("u").alias("outside"))
     labels = nodes.select("node", F.col("node").alias("label"))
     found: DataFrame | None = None
     depth = 0
     while True:
-        members = regions.join(nodes, "node").join(labels, "node")
-        span = members.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("smallest"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-        partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * sim[0] / sim[1]))
-        able = members.join(span.select("g", "size", "smallest"), "g").where(_shared_ok(F.col("u"), F.col("n"), partner, sim))
-        able = materialise(able.select("g", "node", "n", "u", "central", "label", "size"), "join-regions")
+        able = materialise(_able(regions.join(nodes, "node").join(labels, "node"), sim), "join-regions")
         if able.isEmpty():
             return labels
-        # A region's pivots: the most central member of each bucket; one bucket at first, then as many as the root of its size.
-        buckets = F.when(F.col("size") <= SMALL, F.col("size") * 4).otherwise(F.ceil(F.sqrt("size"))) if depth else F.lit(1)
-        bucket = F.pmod(F.xxhash64("node", F.lit(depth)), buckets.cast("bigint"))
-        pivots = able.groupBy("g", bucket.alias("bucket")).agg(F.max(F.struct("central", "node", "n", "u", "label")).alias("p")).select("g", "p.*")
-        pivots = materialise(pivots.toDF("g", "p_central", "pivot", "p_n", "p_u", "p_label"), "join-pivots")
+        # Pivots are the most central members of buckets. At first each region has one; then those of other groups than
+        # the region's largest are dealt into buckets, since a region ends when they have met all its members.
+        buckets = F.when(F.col("strangers") <= SMALL, 4 * F.col("strangers")).otherwise(F.ceil(F.sqrt("strangers")))
+        bucket = F.pmod(F.xxhash64("node", F.lit(depth)), buckets.cast("bigint")) if depth else F.lit(0)
+        stood = able.where("label <> major") if depth else able
+        pivots = stood.groupBy("g", bucket.alias("bucket")).agg(F.max(F.struct("central", "node", "n", "u", "label", "inside", "outside")).alias("p")).select("g", "p.*")
+        pivots = materialise(pivots.toDF("g", "p_central", "pivot", "p_n", "p_u", "p_label", "p_inside", "p_outside"), "join-pivots")
         pairs = able.join(pivots.drop("p_central"), "g").where(F.col("label") != F.col("p_label"))
-        pairs = pairs.where(_shared_ok(F.least("u", "p_u"), F.col("n"), F.col("p_n"), sim))
+        most = F.least(F.col("u"), F.col("p_u"), F.least("inside", "p_inside") + F.least("outside", "p_outside"))
+        pairs = pairs.where(_shared_ok(most, F.col("n"), F.col("p_n"), sim))
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         measured = materialise(_measure(pairs, sets), "join-measured")
         near = measured.where(_shared_ok(F.col("shared"), F.col("n_a"), F.col("n_b"), sim)).select("a", "b")
         found = near if found is None else found.unionByName(near)
         labels = connected(labels, found)
         # Pivots have met their whole region and leave it; at depth 0 the others are cut into windows of distance to the pivot.
-        regions = able.select("g", "node").join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
+        regions = able.select("g", "node", "u", "inside", "outside").join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
         if not depth:
             regions = _windows(regions, pivots, measured, sim)
         depth += 1
 
 
+def _able(members: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Members of regions that have several groups, if they could still link to another group's member.
+
+    `inside` and `outside` bound what a member shares with others: of two members' common
+    shingles, those in the region's first pivot are at most the smaller `inside`, the others at
+    most the smaller `outside`. Adds size, strangers (members outside the largest group) and major.
+    """
+    by_label = members.groupBy("g", "label").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("inside").alias("inside"), F.max("outside").alias("outside"))
+    # Two labels' extremes are enough to know, for each label, the extreme among all others.
+    ends = by_label.groupBy("g").agg(
+        F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.min("label").alias("one"), F.max("label").alias("other"), F.min("n").alias("smallest"), F.max(F.struct("inside", "label")).alias("in1"), F.max(F.struct("outside", "label")).alias("out1")
+    ).where("one <> other")
+    second = by_label.join(ends, "g").groupBy("g").agg(F.max(F.when(F.col("label") != F.col("in1.label"), F.col("inside"))).alias("in2"), F.max(F.when(F.col("label") != F.col("out1.label"), F.col("outside"))).alias("out2"))
+    known = members.join(ends.join(second, "g"), "g")
+    inside = F.least("inside", F.when(F.col("label") == F.col("in1.label"), F.col("in2")).otherwise(F.col("in1.inside")))
+    outside = F.least("outside", F.when(F.col("label") == F.col("out1.label"), F.col("out2")).otherwise(F.col("out1.outside")))
+    partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * sim[0] / sim[1]))
+    known = known.where(_shared_ok(F.least(F.col("u"), inside + outside), F.col("n"), partner, sim))
+    return known.select("g", "node", "n", "u", "central", "label", "inside", "outside", "size", (F.col("size") - F.col("top.k")).alias("strangers"), F.col("top.label").alias("major"))
+
+
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, shared) of pairs(a, b)."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
@@ -233,15 +253,19 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _windows(regions: DataFrame, pivots: DataFrame, measured: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Regions cut by distance to their pivot into overlapping windows; members whose distance was not needed stay in all of them."""
+    """Regions cut by distance to their pivot into overlapping windows, with what each member shares with the pivot.
+
+    Members that were not measured, as they cannot link to the pivot, stay in all windows.
+    """
     radius = 1 - sim[0] / sim[1]
     last = int(1 / radius) + 1
-    away = measured.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
+    away = measured.select("a", "b", "shared", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
     asked = regions.join(pivots.select("g", "pivot"), "g").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
     # A hair wider than the radius, so that rounding loses nothing.
     band = F.floor(F.col("d") / (radius * 1.0000001)).cast("int")
     spots = F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(band, band + 1))
-    return asked.join(away, ["a", "b"], "left").select("g", "node", F.explode(spots).alias("window")).select(F.xxhash64("g", "window").alias("g"), "node")
+    kept = asked.join(away, ["a", "b"], "left").select("g", "node", F.coalesce("shared", "inside").alias("inside"), F.when(F.col("shared").isNull(), F.col("outside")).otherwise(F.col("u") - F.col("shared")).alias("outside"), F.explode(spots).alias("window"))
+    return kept.select(F.xxhash64("g", "window").alias("g"), "node", "inside", "outside")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:

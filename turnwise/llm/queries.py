@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import byte_bpe, exact_dedup, mixing, mpeg_audio, sharding, token_counts, url_filter
+from turnwise.llm import byte_bpe, exact_dedup, jaccard_join, mixing, mpeg_audio, sharding, token_counts, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -49,12 +49,16 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(_documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing_sources, op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op10_media_columns)}
+    return {f.__name__: f for f in (op2_mixing_sources, op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns)}
 
 
 _URL_SQL = """
