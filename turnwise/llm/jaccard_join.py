@@ -219,8 +219,7 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
         labels = connected(labels, found)
         # Pivots have met their whole region and leave it; at depth 0 the others are cut into windows of distance to the pivot.
         regions = able.select("g", "node", "u", "inside", "outside").join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
-        if not depth:
-            regions = _windows(regions, pivots, measured, sim)
+        regions = regions.drop("u") if depth else _windows(regions, pivots, measured, sim)
         depth += 1
 
 

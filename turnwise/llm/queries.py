@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import byte_bpe, exact_dedup, jaccard_join, mixing, mpeg_audio, sharding, token_counts, url_filter
+from turnwise.llm import byte_bpe, exact_dedup, jaccard_join, mixing, mpeg_audio, quality, sharding, token_counts, toxicity, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -23,6 +23,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit(docs, _labels(spark, sf_dir)))
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -32,6 +41,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir))
 
@@ -58,7 +72,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing_sources, op3_token_counts, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_token_counts, op4_toxicity, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns)}
 
 
 _URL_SQL = """
