@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+#: Modules that register queries when they are imported.
+MODULES = ("operators.metrics", "operators.relational", "operators.windows", "operators.intervals", "operators.graph", "functions.text", "functions.masking", "functions.vectors", "functions.scalars", "plans.rules", "streaming.events", "sources.ingest")
+
 
 def register(name: str, sql: str | None = None) -> Callable:
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -22,13 +26,20 @@ def register(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"turnwise.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["ag01_executive_metrics"](spark, sf_dir)
