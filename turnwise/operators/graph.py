@@ -1 +1,102 @@
+"""Job graphs: closure, blocked and ready jobs, states of groups, pairwise reduction.
 
+Jobs are orders; a job requires the job of the same agent before it. Closures run as rounds
+of joins, each cut by a written table, until no pair is new; every round follows twice as
+long paths, so their number is logarithmic in the longest chain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from turnwise.registry import register
+from turnwise.session import materialise
+from turnwise.sources.tables import calls, oracle
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job, upstream): chains cut every fifth job."""
+    w = Window.partitionBy("agent_id").orderBy("created_at", "call_id")
+    c = calls(spark, sf_dir).select("agent_id", F.col("call_id").alias("job"), F.lag("call_id").over(w).alias("upstream"), F.row_number().over(w).alias("nth"))
+    return c.where("upstream IS NOT NULL AND nth % 5 <> 1").select("job", "upstream")
+
+
+_EDGES = """
+, o AS (SELECT call_id AS job, lag(call_id) OVER w AS upstream, row_number() OVER w AS nth, state FROM calls WINDOW w AS (PARTITION BY agent_id ORDER BY created_at, call_id)),
+edges AS (SELECT job, upstream FROM o WHERE upstream IS NOT NULL AND nth % 5 <> 1)"""
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(job, upstream, depth) of all paths: the shortest depth of each pair."""
+    paths = materialise(edges.select("job", "upstream", F.lit(1).alias("depth")), "closure")
+    n = paths.count()
+    while True:
+        further = paths.alias("a").join(paths.alias("b"), F.col("a.upstream") == F.col("b.job")).select("a.job", "b.upstream", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        paths = materialise(paths.unionByName(further).groupBy("job", "upstream").agg(F.min("depth").alias("depth")), "closure")
+        if (now := paths.count()) == n:
+            return paths
+        n = now
+
+
+_CLOSURE = _EDGES + ", c AS (WITH RECURSIVE r(job, upstream, depth) AS (SELECT job, upstream, 1 FROM edges UNION ALL SELECT r.job, e.upstream, depth + 1 FROM r JOIN edges e ON r.upstream = e.job) SELECT job, upstream, min(depth) AS depth FROM r GROUP BY 1, 2)"
+
+
+@register("gr01_closure", oracle(_CLOSURE + "SELECT * FROM c"))
+def gr01_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure(edges(spark, sf_dir))
+
+
+@register("gr02_would_cycle", oracle(_CLOSURE + "SELECT job, upstream, EXISTS (SELECT 1 FROM c WHERE c.job = e.job AND c.upstream = e.upstream AND depth > 1) AS would_cycle FROM c e"))
+def gr02_would_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an edge back from the upstream job would close a longer cycle than the pair."""
+    return closure(edges(spark, sf_dir)).select("job", "upstream", (F.col("depth") > 1).alias("would_cycle"))
+
+
+@register(
+    "gr03_dead_blocked",
+    oracle(_CLOSURE + "SELECT job, bool_or(u.state = 'F') AS dead_blocked FROM c JOIN calls u ON c.upstream = u.call_id GROUP BY 1"),
+)
+def gr03_dead_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs behind a failed one."""
+    states = calls(spark, sf_dir).select(F.col("call_id").alias("upstream"), "state")
+    return closure(edges(spark, sf_dir)).join(states, "upstream").groupBy("job").agg(F.bool_or(F.col("state") == "F").alias("dead_blocked"))
+
+
+@register("gr04_ready", oracle(_EDGES + "SELECT c.call_id AS job, coalesce(bool_and(u.state = 'P'), true) AS ready FROM calls c LEFT JOIN edges e ON c.call_id = e.job LEFT JOIN calls u ON e.upstream = u.call_id GROUP BY 1"))
+def gr04_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job is ready when all its edges are satisfied; without edges at once."""
+    c = calls(spark, sf_dir)
+    states = c.select(F.col("call_id").alias("upstream"), "state")
+    known = edges(spark, sf_dir).join(states, "upstream")
+    return c.select(F.col("call_id").alias("job")).join(known, "job", "left").groupBy("job").agg(F.coalesce(F.every(F.col("state") == "P"), F.lit(True)).alias("ready"))
+
+
+@register("gr05_first_failure", oracle(_CLOSURE + "SELECT job, min_by(upstream, (depth, upstream)) AS failed FROM c JOIN calls u ON c.upstream = u.call_id WHERE u.state = 'F' GROUP BY 1"))
+def gr05_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest failed job upstream."""
+    failed = calls(spark, sf_dir).where("state = 'F'").select(F.col("call_id").alias("upstream"))
+    return closure(edges(spark, sf_dir)).join(failed, "upstream").groupBy("job").agg(F.min_by("upstream", F.struct("depth", "upstream")).alias("failed"))
+
+
+@register(
+    "gr06_group_state",
+    oracle("SELECT agent_id, CASE WHEN count_if(state = 'O') = count(*) THEN 'pending' WHEN count_if(state = 'F') = count(*) THEN 'failed' WHEN max_by(state, (created_at, call_id)) = 'F' THEN 'stale' WHEN count_if(state = 'P') > 0 THEN 'partial' ELSE 'available' END AS group_state FROM calls GROUP BY 1"),
+)
+def gr06_group_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda s: F.count_if(F.col("state") == s)
+    newest = F.max_by("state", F.struct("created_at", "call_id"))
+    state = F.when(n("O") == F.count("*"), "pending").when(n("F") == F.count("*"), "failed").when(newest == "F", "stale").when(n("P") > 0, "partial").otherwise("available")
+    return calls(spark, sf_dir).groupBy("agent_id").agg(state.alias("group_state"))
+
+
+@register(
+    "gr07_reduce_levels",
+    oracle("""
+, n AS (SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at, call_id) - 1 AS leaf FROM calls), k AS (SELECT agent_id, leaf, unnest([1, 2, 3]) AS level FROM n)
+SELECT agent_id, level, leaf // CAST(power(2, level) AS BIGINT) AS node, count(*) AS leaves FROM k GROUP BY ALL"""),
+)
+def gr07_reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the first three levels of a pairwise reduction over an agent's calls."""
+    leaf = F.row_number().over(Window.partitionBy("agent_id").orderBy("created_at", "call_id")) - 1
+    leaves = calls(spark, sf_dir).select("agent_id", leaf.alias("leaf")).withColumn("level", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    return leaves.groupBy("agent_id", "level", F.expr("leaf div CAST(power(2, level) AS BIGINT)").alias("node")).agg(F.count("*").alias("leaves"))
