@@ -1 +1,96 @@
+"""Finding and masking personal data, consistently over all texts of a group."""
 
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from turnwise.registry import register
+from turnwise.sources.tables import table
+
+# Patterns of what is masked, in order of priority.
+PATTERNS = (
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    ("CARD", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"),
+    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("IP", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
+)
+
+
+def find_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, label, value), earlier patterns first to claim a place."""
+    taken: list[tuple[int, int, str, str]] = []
+    for label, pattern in PATTERNS:
+        for m in re.finditer(pattern, text):
+            if all(m.end() <= a or m.start() >= b for a, b, _, _ in taken):
+                taken.append((m.start(), m.end(), label, m.group()))
+    return sorted(taken)
+
+
+def spans(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, start, end, label, value) of every finding; texts without a digit or '@' are not looked at."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(i, *s) for i, t in zip(f["id"], f["text"], strict=True) for s in find_spans(t)]
+            yield pd.DataFrame(found, columns=["id", "start", "end", "label", "value"])
+
+    some = texts.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return some.mapInPandas(run, "id bigint, start int, end int, label string, value string").withColumnRenamed("id", id_col)
+
+
+@register("str19_find_pii")
+def str19_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register(
+    "str20_pii_counts",
+    r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS emails, len(regexp_extract_all(text, '\+1 \(\d{3}\) \d{3}-\d{4}')) AS phones, len(regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS ips FROM documents",
+)
+def str20_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dict(PATTERNS)
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p[k])).cast("bigint").alias(n) for k, n in (("EMAIL", "emails"), ("PHONE", "phones"), ("IP", "ips"))])
+
+
+@register(
+    "str24_mask_patterns",
+    r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[REDACTED]', 'g'), '\+1 \(\d{3}\) \d{3}-\d{4}', '[REDACTED]', 'g') AS masked FROM documents",
+)
+def str24_mask_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking by pattern stays inside code generation."""
+    p = dict(PATTERNS)
+    masked = F.regexp_replace(F.regexp_replace("text", p["EMAIL"], "[REDACTED]"), p["PHONE"], "[REDACTED]")
+    return table(spark, sf_dir, "documents").select("doc_id", masked.alias("masked"))
+
+
+def mask_by_position(texts: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Every finding's span replaced, last span first so that earlier places hold."""
+    per = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("spans"))
+    masked = F.aggregate("spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit("[REDACTED]"), F.substring(t, s["end"] + 1, F.length(t))))
+    return texts.join(per, id_col, "left").select(id_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked).alias("masked"))
+
+
+@register("str25_mask_by_position")
+def str25_mask_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mask_by_position(docs.select("doc_id", "text"), spans(docs, "doc_id"), "doc_id")
+
+
+def consistent_mask(texts: DataFrame, found: DataFrame, id_col: str, group: str) -> DataFrame:
+    """Every value found anywhere in a group is masked in all its texts, longest first."""
+    groups = texts.select(id_col, group)
+    values = found.join(groups, id_col).select(group, "value").distinct().groupBy(group).agg(F.array_sort(F.collect_list("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("values"))
+    masked = F.aggregate("values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[REDACTED]")))
+    return texts.join(values, group, "left").select(id_col, F.when(F.col("values").isNull(), F.col("text")).otherwise(masked).alias("masked"))
+
+
+@register("str27_consistent_mask")
+def str27_consistent_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups are runs of ten neighbouring ids, as the turns of one call would be."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 10").alias("call"))
+    return consistent_mask(docs, spans(docs, "doc_id"), "doc_id", "call")

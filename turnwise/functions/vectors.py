@@ -1 +1,106 @@
+"""Vectors: cosine, search, nearest neighbours of a stated query set, votes."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from turnwise.registry import register
+from turnwise.sources.tables import table
+
+#: Vectors of one block of the query set.
+BLOCK = 1024
+
+
+def doubles(v: str) -> Column:
+    return F.transform(v, lambda x: x.cast("double"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+@register("fn10_cosine", "SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS cosine FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)")
+def fn10_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector with the first one; all have unit length here."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select(doubles("embedding").alias("q"))
+    return e.join(F.broadcast(q)).select("vec_id", F.round(dot(doubles("embedding"), F.col("q")), 9).alias("cosine"))
+
+
+@register("fn11_l2_norm", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS l2 FROM embeddings")
+def fn11_l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(doubles("embedding")), 6).alias("l2"))
+
+
+@register(
+    "jn20_vector_search",
+    "SELECT vec_id, label FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 20",
+)
+def jn20_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of one query (a top-k report)."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select(doubles("embedding").alias("q"))
+    return e.join(F.broadcast(q)).orderBy(dot(doubles("embedding"), F.col("q")).desc(), "vec_id").limit(20).select("vec_id", "label")
+
+
+def nearest(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, label, cosine): exact k nearest bank vectors of each query.
+
+    Queries are packed into blocks; each task multiplies its bank vectors with a block and
+    keeps the block's k best rows per query, so only k rows per query and task are shuffled.
+    """
+    blocks = queries.select(F.col("vec_id").alias("query_id"), "embedding").withColumn("block", F.expr(f"query_id div {BLOCK * 20}")).groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+    parts = bank.select("vec_id", "label", "embedding").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy("part").agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, b in zip(batch.column("q").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                left, right = np.array([x["embedding"] for x in q], float), np.array([x["embedding"] for x in b], float)
+                cos = left @ right.T
+                ids = np.array([x["vec_id"] for x in b])
+                for i, row in enumerate(cos):
+                    best = np.lexsort((ids, -row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([q[i]["query_id"]] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array([b[j]["label"] for j in best], pa.int32()), pa.array(row[best])], ["query_id", "vec_id", "label", "cosine"])
+
+    met = parts.join(blocks).mapInArrow(run, "query_id bigint, vec_id bigint, label int, cosine double")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
+@register(
+    "jn19_knn_join",
+    """SELECT q.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 10""",
+)
+def jn19_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 20, among all others."""
+    e = table(spark, sf_dir, "embeddings")
+    found = nearest(e, e.where("vec_id % 20 = 0"), 11).where("vec_id <> query_id")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return found.withColumn("m", nth).where("m <= 10").select("query_id", "vec_id", F.round("cosine", 9).alias("cosine"))
+
+
+@register(
+    "fn13_knn_vote",
+    """WITH n AS (SELECT q.vec_id AS query_id, b.label, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY c DESC, b.vec_id) <= 10), w AS (SELECT *, exp((c - max(c) OVER (PARTITION BY query_id)) / 0.1) AS w FROM n), s AS (SELECT query_id, label, sum(w) AS s FROM w GROUP BY 1, 2)
+SELECT query_id, label, round(s / sum(s) OVER (PARTITION BY query_id), 6) AS share FROM s""",
+)
+def fn13_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels' shares among ten neighbours, weighted by a softmax of the cosine."""
+    e = table(spark, sf_dir, "embeddings")
+    found = nearest(e, e.where("vec_id % 20 = 0"), 11).where("vec_id <> query_id")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    ten = found.withColumn("m", nth).where("m <= 10")
+    per = Window.partitionBy("query_id")
+    w = ten.withColumn("w", F.exp((F.col("cosine") - F.max("cosine").over(per)) / 0.1))
+    s = w.groupBy("query_id", "label").agg(F.sum("w").alias("s"))
+    return s.select("query_id", "label", F.round(F.col("s") / F.sum("s").over(per), 6).alias("share"))
