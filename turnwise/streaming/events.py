@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from turnwise.registry import register
 from turnwise.session import shared_dir
@@ -31,7 +31,7 @@ def run(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], No
     base = f"{shared_dir(spark)}/turnwise/stream-{uuid.uuid4().hex}"
     put = each or (lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(StructType(df.schema.fields).add("batch", "int")).parquet(f"{base}/out").drop("batch")
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/out").drop("batch")
 
 
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
