@@ -181,27 +181,24 @@ def _read_table(frame: bytes, header: Header) -> dict[str, object] | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Walks a stream. A header counts if the next frame, the end of the audio or a tag follows where it says."""
+    """Walks a stream. A header counts if another header or the end of the audio follows where it says, or if its checksum is right."""
     out = Stream()
     at = _read_tags(data, out)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    locked = False
     while at + 4 <= end:
         header = read_header(data[at : at + 4])
         after = at + header.size if header else 0
-        if header and after <= end and (locked or after == end or after + 4 > end or read_header(data[after : after + 4])):
-            frame = data[at:after]
-            table = _read_table(frame, header) if not out.offsets and out.table is None else None
-            if header.protected and crc16(frame[2:4] + frame[6 : 6 + header.side]) != int.from_bytes(frame[4:6]):
-                out.bad_checksums += 1
+        sound = header and header.protected and after <= end and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + header.side]) == int.from_bytes(data[at + 4 : at + 6])
+        if header and after <= end and (sound or after + 4 > end or read_header(data[after : after + 4])):
+            table = _read_table(data[at:after], header) if not out.offsets and out.table is None else None
+            out.bad_checksums += header.protected and not sound
             if table is not None:
                 out.table = table
             else:
                 out.offsets.append(at)
                 out.headers.append(header)
-            at, locked = after, True
+            at = after
             continue
-        locked = False
         nxt = data.find(b"\xff", at + 1, end)
         nxt = end if nxt < 0 else nxt
         out.junk_bytes += nxt - at
