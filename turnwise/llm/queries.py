@@ -140,5 +140,40 @@ SELECT a.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesc
 """
 
 
+_SHARD_SQL = """
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS crc FROM range(256) r(b)
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT doc_id, size, list_transform(range(size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: xor(x >> 8, crc[xor(x & 255, y) + 1])), 4294967295) AS text_crc32 FROM b, t
+), p AS (
+  SELECT *, sum(size) OVER w - size AS off, row_number() OVER w AS nth, sum(size) OVER () AS whole FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), s AS (
+  SELECT *, CAST(least((2 * off + size) * 16 // (2 * whole), 15) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+_NEAR_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), x AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS s FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)
+), r(d, c) AS (
+  SELECT a, a FROM e UNION SELECT r.d, e.b FROM r JOIN e ON r.c = e.a
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) m ON m.d = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_sources": _MIX_SQL, "op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL}
+    return {"op2_mixing_sources": _MIX_SQL, "op5_sharding": _SHARD_SQL, "op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL, "op9_ngram_jaccard_join": _NEAR_SQL}
