@@ -4,7 +4,8 @@
 information of silence, and payload bytes in the part of the frame that decoders skip as
 ancillary data. The stream starts with an ID3v2 tag that gives the payload's length and a
 frame with a variable-bitrate table (frames, bytes, seek points); body frames have the
-largest bitrate and the last one the smallest that fits.
+largest bitrate and the last one the smallest that fits. An empty ID3v1 tag ends the stream, so
+that no payload can be taken for one.
 
 `parse` reads any such stream: it skips tags at either end, finds frame headers by two in
 sequence, resynchronises after junk, reads the table, verifies checksums and returns exact
@@ -122,7 +123,7 @@ def store(payload: bytes) -> bytes:
     table = b"Xing" + struct.pack(">III", 7, len(frames), total) + seek
     text = b"\0payload_bytes\0" + str(len(payload)).encode()
     tag = b"TXXX" + struct.pack(">I", len(text)) + b"\0\0" + text
-    return b"ID3\x03\0\0" + _synchsafe(len(tag)) + tag + (_STARTS[9] + table).ljust(_SIZES[9], b"\0") + b"".join(frames)
+    return b"ID3\x03\0\0" + _synchsafe(len(tag)) + tag + (_STARTS[9] + table).ljust(_SIZES[9], b"\0") + b"".join(frames) + b"TAG" + bytes(125)
 
 
 @dataclass
