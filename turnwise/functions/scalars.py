@@ -139,3 +139,41 @@ def ud06_second_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ud08_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a cheap classifier is sure enough to skip the costly one."""
     return hits(spark, sf_dir).groupBy("call_id", "category_id").agg(F.count("*").alias("hits"), (ratio(F.count_if(F.col("confidence_pct") >= 95), F.count("*")) >= 0.8).alias("shortcut"))
+
+
+@register("fn04_clamp", oracle("SELECT call_id, greatest(0.0, least(1.0, (score_tenths - 200) / 500.0))::DOUBLE AS share FROM calls"))
+def fn04_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).select("call_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score_tenths") - 200) / F.lit(500.0))).alias("share"))
+
+
+@register("fn08_review_rules", oracle("SELECT call_id, r.rule FROM calls JOIN (VALUES ('critical', true, 1001), ('low', false, 300)) r(rule, crit, below) ON (r.crit AND critical) OR (NOT r.crit AND score_tenths < r.below)"))
+def fn08_review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that a call meets, one row each: an array of matches, not a join with the rules."""
+    met = F.array_compact(F.array(F.when(F.col("critical"), "critical"), F.when(F.col("score_tenths") < 300, "low")))
+    return calls(spark, sf_dir).select("call_id", F.explode(met).alias("rule"))
+
+
+@register("fn15_recipe", oracle("SELECT call_id, category_id, max(confidence_pct) + 10 * count_if(speaker = 'CALLER') >= 70 AS fires FROM hits GROUP BY 1, 2"))
+def fn15_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base score with a bonus for lexicon hits, against a threshold."""
+    score = F.max("confidence_pct") + 10 * F.count_if(F.col("speaker") == "CALLER")
+    return hits(spark, sf_dir).groupBy("call_id", "category_id").agg((score >= 70).alias("fires"))
+
+
+@register("fn17_subcategory_decision", oracle("SELECT call_id, CASE WHEN max(confidence_pct) < 50 THEN 'none' WHEN max(confidence_pct) >= 80 THEN 'sub-' || max_by(subcategory_id, (confidence_pct, -subcategory_id)) ELSE 'other' END AS decision FROM hits GROUP BY 1"))
+def fn17_subcategory_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max_by("subcategory_id", F.struct("confidence_pct", -F.col("subcategory_id")))
+    top = F.max("confidence_pct")
+    return hits(spark, sf_dir).groupBy("call_id").agg(F.when(top < 50, "none").when(top >= 80, F.concat(F.lit("sub-"), best.cast("string"))).otherwise("other").alias("decision"))
+
+
+@register("fn28_divergence", oracle("SELECT conv_id, turn, abs((conv_id * 3 + turn) % 101 - (turn * 7 + words) % 101) AS divergence_pct FROM turns"))
+def fn28_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far tone and text lie apart."""
+    return turns(spark, sf_dir).select("conv_id", "turn", F.expr("abs((conv_id * 3 + turn) % 101 - (turn * 7 + words) % 101)").alias("divergence_pct"))
+
+
+@register("str35_dispute", oracle("SELECT conv_id, turn, contains(lower(text), 'wh') OR contains(lower(text), 'sh') OR contains(lower(text), 'ou') AS disputed FROM turns"))
+def str35_dispute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    return turns(spark, sf_dir).select("conv_id", "turn", (low.contains("wh") | low.contains("sh") | low.contains("ou")).alias("disputed"))

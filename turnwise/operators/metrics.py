@@ -357,3 +357,29 @@ def ag40_chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = t.groupBy("conv_id", "speaker").agg(F.sum("words").alias("total"), F.sum(F.expr("words * (conv_id * 7 + turn * 13) % 101")).alias("weighted")).where("total > 0")
     per = per.withColumn("p", ratio(F.col("weighted"), F.col("total")))
     return per.groupBy("conv_id").agg(F.max_by("speaker", F.struct("p", "speaker")).alias("label"), F.max("p").alias("p"))
+
+
+@register("ag09_judged_hits", oracle("SELECT h.subcategory_id, count_if(o.human_status = 'PASS') AS confirmed, count_if(o.human_status = 'FAIL') AS dismissed FROM hits h JOIN overrides o ON h.call_id = o.call_id AND h.turn_id = o.criterion_id AND h.version = o.review_version GROUP BY 1"))
+def ag09_judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements count only if they judged this very version of the hit."""
+    o = overrides(spark, sf_dir).select("call_id", F.col("criterion_id").cast("bigint").alias("turn_id"), F.col("review_version").alias("version"), "human_status")
+    return hits(spark, sf_dir).join(o, ["call_id", "turn_id", "version"]).groupBy("subcategory_id").agg(n_if("human_status = 'PASS'").alias("confirmed"), n_if("human_status = 'FAIL'").alias("dismissed"))
+
+
+@register("ag15_calls_by_version", oracle("SELECT version, count(*) AS calls FROM calls GROUP BY 1"))
+def ag15_calls_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).groupBy("version").agg(F.count("*").alias("calls"))
+
+
+@register("ag33_promotion", oracle("SELECT criterion_id, n, correct, CASE WHEN n < 10 THEN 'few' WHEN CAST(correct AS DOUBLE) / n < 0.5 THEN 'reject' ELSE 'accept' END AS decision FROM (SELECT criterion_id, count(*) AS n, count_if(human_status = status) AS correct FROM verdicts JOIN overrides USING (call_id, criterion_id) GROUP BY 1)"))
+def ag33_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy per task and what it means for a candidate."""
+    per = verdicts(spark, sf_dir).join(overrides(spark, sf_dir), ["call_id", "criterion_id"]).groupBy("criterion_id").agg(F.count("*").alias("n"), n_if("human_status = status").alias("correct"))
+    return per.withColumn("decision", F.when(F.col("n") < 10, "few").when(ratio(F.col("correct"), F.col("n")) < 0.5, "reject").otherwise("accept"))
+
+
+@register("ag35_group_progress", oracle("SELECT agent_id, count_if(state = 'F') AS done, count_if(state = 'O') AS open_n, count_if(state = 'P') AS part, min_by(stream, (created_at, call_id)) FILTER (state = 'O') AS waits_for FROM calls GROUP BY 1"))
+def ag35_group_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by state and what the first open one waits for."""
+    open_at = F.when(F.col("state") == "O", F.struct("created_at", "call_id"))
+    return calls(spark, sf_dir).groupBy("agent_id").agg(n_if("state = 'F'").alias("done"), n_if("state = 'O'").alias("open_n"), n_if("state = 'P'").alias("part"), F.min_by(F.when(F.col("state") == "O", F.col("stream")), open_at).alias("waits_for"))

@@ -339,3 +339,105 @@ def set06_effective_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn27_version_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimistic concurrency: a write names the version that it saw."""
     return overrides(spark, sf_dir).join(calls(spark, sf_dir).select("call_id", "version"), "call_id").select("call_id", F.col("review_version").alias("expected"), F.col("version").alias("current"), (F.col("review_version") == F.col("version")).alias("accepted"))
+
+
+@register("flt04_unassigned", oracle("SELECT call_id FROM (SELECT c.call_id, o.v, c.version FROM calls c LEFT JOIN (SELECT call_id, max(review_version) AS v FROM overrides GROUP BY 1) o USING (call_id)) WHERE v IS NULL OR NOT (v < version)"))
+def flt04_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Never reviewed, or not stale."""
+    seen = overrides(spark, sf_dir).groupBy("call_id").agg(F.max("review_version").alias("v"))
+    return calls(spark, sf_dir).join(seen, "call_id", "left").where("v IS NULL OR NOT (v < version)").select("call_id")
+
+
+@register("flt12_list_items", oracle("SELECT c.call_id, c.state, coalesce(n, 0) AS n_hits, coalesce(r, 0) AS reviews, CAST(score_tenths AS DOUBLE) / 10 AS score FROM calls c LEFT JOIN (SELECT call_id, version, count(*) AS n FROM hits GROUP BY 1, 2) h USING (call_id, version) LEFT JOIN (SELECT call_id, count(*) AS r FROM overrides GROUP BY 1) o ON o.call_id = c.call_id"))
+def flt12_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a list of calls shows: facts, hits of the current version and reviews, with defaults where there are none."""
+    n = hits(spark, sf_dir).groupBy("call_id", "version").agg(F.count("*").alias("n"))
+    r = overrides(spark, sf_dir).groupBy("call_id").agg(F.count("*").alias("r"))
+    both = calls(spark, sf_dir).join(n, ["call_id", "version"], "left").join(r, "call_id", "left")
+    return both.select("call_id", "state", F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("r", F.lit(0)).alias("reviews"), (F.col("score_tenths").cast("double") / 10).alias("score"))
+
+
+@register("flt15_audience", oracle("SELECT call_id, category_id FROM hits JOIN (VALUES (0), (2), (4)) g(category_id) USING (category_id) WHERE category_id IN (2, 4, 5)"))
+def flt15_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds that a reader is granted, among those asked for."""
+    granted = spark.createDataFrame([(0,), (2,), (4,)], "category_id bigint")
+    return hits(spark, sf_dir).where(F.col("category_id").isin(2, 4, 5)).join(F.broadcast(granted), "category_id").select("call_id", "category_id")
+
+
+@register("flt20_turn_window", oracle("SELECT conv_id, turn, text FROM turns WHERE turn BETWEEN 1 AND 3"))
+def flt20_turn_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).where(F.col("turn").between(1, 3)).select("conv_id", "turn", "text")
+
+
+@register("jn03_jobs_and_requests", oracle("SELECT c.call_id, c.stream, o.human_status FROM calls c LEFT JOIN overrides o ON c.call_id = o.call_id AND o.criterion_id = 1 AND o.review_version = 1"))
+def jn03_jobs_and_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = overrides(spark, sf_dir).where("criterion_id = 1 AND review_version = 1").select("call_id", "human_status")
+    return calls(spark, sf_dir).join(asked, "call_id", "left").select("call_id", "stream", "human_status")
+
+
+@register("jn09_names", oracle("SELECT h.call_id, h.hit_key, coalesce(n.name, 'UNKNOWN') AS category FROM hits h LEFT JOIN (VALUES (0, 'billing'), (2, 'delivery')) n(id, name) ON h.category_id = n.id"))
+def jn09_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small dictionary joined to facts; what it lacks is UNKNOWN."""
+    names = spark.createDataFrame([(0, "billing"), (2, "delivery")], "category_id bigint, name string")
+    return hits(spark, sf_dir).join(F.broadcast(names), "category_id", "left").select("call_id", "hit_key", F.coalesce("name", F.lit("UNKNOWN")).alias("category"))
+
+
+@register("jn12_cluster_correction", oracle("SELECT conv_id, turn, CASE WHEN speaker = first_value(speaker) OVER (PARTITION BY conv_id ORDER BY turn) THEN 'AGENT' ELSE speaker END AS speaker FROM turns"))
+def jn12_cluster_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn is relabelled, and with it all turns of its cluster."""
+    t = turns(spark, sf_dir)
+    fixed = t.groupBy("conv_id").agg(F.min_by("speaker", "turn").alias("cluster"))
+    return t.join(fixed, "conv_id").select("conv_id", "turn", F.when(F.col("speaker") == F.col("cluster"), "AGENT").otherwise(F.col("speaker")).alias("speaker"))
+
+
+@register("jn18_as_of_version", oracle("SELECT o.call_id, o.criterion_id, o.review_version, max(h.version) AS hits_version FROM overrides o LEFT JOIN (SELECT DISTINCT call_id, version FROM hits) h ON o.call_id = h.call_id AND h.version <= o.review_version GROUP BY 1, 2, 3"))
+def jn18_as_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version of a call's hits that is not after a review."""
+    h = hits(spark, sf_dir).select("call_id", "version").distinct()
+    o = overrides(spark, sf_dir)
+    return o.join(h, (o["call_id"] == h["call_id"]) & (h["version"] <= o["review_version"]), "left").groupBy(o["call_id"], "criterion_id", "review_version").agg(F.max("version").alias("hits_version"))
+
+
+@register("jn23_provenance", oracle("SELECT o.call_id, o.criterion_id, v.status, c.agent_id, h.n IS NOT NULL AS has_hits FROM overrides o JOIN verdicts v USING (call_id, criterion_id) JOIN calls c ON c.call_id = o.call_id LEFT JOIN (SELECT call_id, version, count(*) AS n FROM hits GROUP BY 1, 2) h ON h.call_id = c.call_id AND h.version = c.version WHERE o.review_version = 1"))
+def jn23_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a label to the verdict it judges, its call, and the inputs of that."""
+    inputs = hits(spark, sf_dir).select("call_id", "version").distinct().withColumn("has", F.lit(True))
+    chain = overrides(spark, sf_dir).where("review_version = 1").join(verdicts(spark, sf_dir), ["call_id", "criterion_id"]).join(calls(spark, sf_dir).select("call_id", "agent_id", "version"), "call_id").join(inputs, ["call_id", "version"], "left")
+    return chain.select("call_id", "criterion_id", "status", "agent_id", F.coalesce("has", F.lit(False)).alias("has_hits"))
+
+
+@register("jn24_agents_with_counts", "SELECT c_custkey, c_name, coalesce(n, 0) AS calls FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def jn24_agents_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").join(n, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("calls"))
+
+
+@register("srt04_usage_page", oracle("SELECT event_id, recorded_at FROM attempts WHERE recorded_at > TIMESTAMP '2024-01-05' OR (recorded_at = TIMESTAMP '2024-01-05' AND event_id > 0) ORDER BY recorded_at, event_id LIMIT 31"))
+def srt04_usage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyset_page(usage(spark, sf_dir), [("recorded_at", False), ("event_id", False)], [F.lit("2024-01-05").cast("timestamp_ntz"), F.lit(0)], 30).select("event_id", "recorded_at")
+
+
+@register("srt06_claim_order", oracle("SELECT call_id, row_number() OVER (PARTITION BY agent_id ORDER BY CASE WHEN stream = '1-URGENT' THEN 0 ELSE 1 END, score_tenths DESC NULLS LAST, created_at, call_id) AS place FROM calls WHERE state = 'O'"))
+def srt06_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("agent_id").orderBy(F.when(F.col("stream") == "1-URGENT", 0).otherwise(1), F.desc("score_tenths"), "created_at", "call_id")
+    return calls(spark, sf_dir).where("state = 'O'").select("call_id", F.row_number().over(order).alias("place"))
+
+
+@register("srt08_filtered_top_k", oracle("SELECT call_id, turn_id, hit_key, confidence_pct FROM hits WHERE speaker = 'CALLER' AND category_id <> 0 ORDER BY confidence_pct DESC, call_id, turn_id, hit_key LIMIT 25"))
+def srt08_filtered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is withheld goes before the best 25 are taken."""
+    return hits(spark, sf_dir).where("speaker = 'CALLER' AND category_id <> 0").orderBy(F.desc("confidence_pct"), "call_id", "turn_id", "hit_key").limit(25).select("call_id", "turn_id", "hit_key", "confidence_pct")
+
+
+@register("srt11_request_queue", oracle("SELECT call_id FROM calls WHERE requires_review ORDER BY stream, created_at, call_id LIMIT 40"))
+def srt11_request_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir).where("requires_review").orderBy("stream", "created_at", "call_id").limit(40).select("call_id")
+
+
+@register("set07_changed_nodes", "SELECT coalesce(a.p_partkey, b.p_partkey) AS node, a.v IS NULL AS added, b.v IS NULL AS removed FROM (SELECT p_partkey, p_size % 7 AS v FROM part WHERE p_partkey % 5 > 0) a FULL JOIN (SELECT p_partkey, p_size % 5 AS v FROM part WHERE p_partkey % 4 > 0) b ON a.p_partkey = b.p_partkey WHERE a.v IS DISTINCT FROM b.v")
+def set07_changed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of two versions of a tree that differ."""
+    p = table(spark, sf_dir, "part")
+    old = p.where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("node"), F.expr("p_size % 7").alias("a"))
+    new = p.where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("node"), F.expr("p_size % 5").alias("b"))
+    return old.join(new, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node", F.col("a").isNull().alias("added"), F.col("b").isNull().alias("removed"))

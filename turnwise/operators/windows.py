@@ -169,3 +169,59 @@ def st09_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each state follows another: what a table of legal transitions is checked against."""
     was = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").select(was.alias("was"), F.col("event_type").alias("now")).where("was IS NOT NULL").groupBy("was", "now").agg(F.count("*").alias("n"))
+
+
+@register("wn09_top_two_by_margin", oracle("SELECT call_id, category_id, margin FROM (SELECT call_id, category_id, max(confidence_pct) - 40 AS margin FROM hits GROUP BY 1, 2) WHERE margin > 0 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY margin DESC, category_id) <= 2"))
+def wn09_top_two_by_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = hits(spark, sf_dir).groupBy("call_id", "category_id").agg((F.max("confidence_pct") - 40).alias("margin")).where("margin > 0")
+    return m.withColumn("nth", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("margin"), "category_id"))).where("nth <= 2").drop("nth")
+
+
+def pack(sizes: list[int], limit: int, most: int) -> list[int]:
+    """Greedy packs in order: a pack closes when the next item would exceed its size or its number of items."""
+    out, now, used, held = [], 0, 0, 0
+    for n in sizes:
+        if held and (used + n > limit or held == most):
+            now, used, held = now + 1, 0, 0
+        out.append(now)
+        used, held = used + n, held + 1
+    return out
+
+
+@register("wn19_turn_packs")
+def wn19_turn_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive turns packed into windows of 60 turns and 350 bytes: each pack depends on the one before, so a fold per call."""
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("turn")
+        return pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "pack": pack(f["size"].tolist(), 350, 60)})
+
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.octet_length("text").alias("size"))
+    return t.groupBy("conv_id").applyInPandas(run, "conv_id bigint, turn bigint, pack int")
+
+
+def windows_open(found: list[bool], starts: list[float], turns_limit: int = 4, seconds: float = 30.0) -> list[bool]:
+    """A window opens on a finding and closes once both limits passed since the last one."""
+    out, since, at = [], None, 0.0
+    for hit, start in zip(found, starts, strict=True):
+        if hit:
+            since, at = 0, start
+        elif since is not None:
+            since += 1
+            if since >= turns_limit and start - at > seconds:
+                since = None
+        out.append(since is not None)
+    return out
+
+
+@register("ses01_payment_window")
+def ses01_payment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns inside a read-out window; a turn of more than 20 words stands for one with a number."""
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("turn")
+        return pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "inside": windows_open((f["words"] > 20).tolist(), (f["start_ds"] / 10).tolist())})
+
+    return turns(spark, sf_dir).select("conv_id", "turn", "words", "start_ds").groupBy("conv_id").applyInPandas(run, "conv_id bigint, turn bigint, inside boolean")
