@@ -183,6 +183,8 @@ def find_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
         texts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
+            for x in (*words, *texts):
+                x[""] = sum(x.values())
             keys = list(texts[0].keys() | texts[1].keys())
             batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in (texts[1], texts[0], words[1], words[0])]], ["term", "t", "c", "tw", "cw"])
             for x in (*words, *texts):
@@ -200,10 +202,13 @@ def find_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
 
     counted = sample.select("text", "y").mapInArrow(count, "term string, t bigint, c bigint, tw bigint, cw bigint").groupBy("term").agg(*[F.sum(x).alias(x) for x in ("t", "c", "tw", "cw")])
     rows = counted.where("t >= 3").orderBy(F.col("t").desc(), "term").limit(20_000).collect()
+    # The empty term stands for all terms: its counts give the share of toxic texts that a term has by chance.
+    every = next((r for r in rows if not r["term"]), None)
+    rows = [r for r in rows if r["term"]]
     if not rows:
         return []
     t, c, tw, cw = (np.array([r[x] for r in rows], float) for x in ("t", "c", "tw", "cw"))
-    share = min(0.9, max(1e-3, t.sum() / (t + c).sum()))
+    share = min(0.9, max(1e-3, every["t"] / (every["t"] + every["c"])))
     # A beginning is tested on the different words that have it, as one text may hold several; texts alone must be unlikely too.
     chance = _tail(tw, cw, share) + np.log(len(rows))
     good = [i for i in np.argsort(chance, kind="stable") if chance[i] < np.log(0.1) and t[i] / (t[i] + c[i]) > 0.8 and _tail(t[i : i + 1], c[i : i + 1], share)[0] < np.log(0.001)]
