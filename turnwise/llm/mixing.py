@@ -100,6 +100,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix as documents: every row as often as it was taken, rounded to whole documents; its columns are kept."""
-    taken = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")).alias("__times"))
-    kept = docs.join(taken.where("__times > 0"), id_col)
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+    taken = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("of")).agg(times.alias("times")).where("times > 0")
+    # The rows travel as one column each, so that no name of theirs can clash.
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    copies = whole.join(taken, F.col("id").eqNullSafe(F.col("of"))).select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select("doc.*")
