@@ -5,8 +5,9 @@ members hold in their prefixes, so that any two documents within the threshold s
 In each round every region elects a pivot, its most central member, and all members learn
 their exact distance to it. Members in the pivot's ball join its group and need no comparison
 among themselves. By the triangle inequality two documents within the radius r lie within r of
-each other in distance to the pivot: the region is cut into windows of that width, documents
-at a border are replicated into both, and the windows are the next round's regions. A region
+each other in distance to the pivot: a pivot's Voronoi region is cut into windows of that
+width, documents at a border are replicated into both, and the windows are the next round's
+regions. A region
 ends when its members are of one group or none of them could still link.
 
 Before that, two exact filters leave only documents that can link at all:
@@ -42,8 +43,11 @@ WIDTH = 5
 SIM = (80, 100)
 #: Entries of prefixes that one task sorts at a time.
 ENTRIES = 1 << 20
-#: Regions of so many members at most take every member as a pivot in the next round.
-SMALL = 8
+#: Row numbers of one partition share all bits above these; no place in a partition is NOBODY.
+BLOCK_BITS = 31
+NOBODY = (1 << 32) - 1
+#: Regions of so many strangers at most take each of them as a pivot in the next round.
+SMALL = 256
 
 
 def _least(n: int, sim: tuple[int, int]) -> int:
@@ -57,16 +61,16 @@ def _spare(n: int) -> int:
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
-    """(row, id, n, node, prefix) of every row; node: the print of its set."""
+    """(row, id, n, node, entries) of every row; node: the print of its set, entries: its prefix."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), width)
             prefixes = [s[: len(s) - _least(len(s), sim) + 1 + _spare(len(s))].tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_print, sets), pa.binary()), pa.array(prefixes, pa.binary())], ["row", "id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_print, sets), pa.binary()), pa.array(prefixes, pa.binary())], ["row", "id", "n", "node", "entries"])
 
-    return rows.mapInArrow(run, "row bigint, id bigint, n bigint, node binary, prefix binary")
+    return rows.mapInArrow(run, "row bigint, id bigint, n bigint, node binary, entries binary")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,78 +80,124 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(described: DataFrame, ranges: int) -> DataFrame:
-    """(row, met): how many entries of each row's prefix lie in other rows' prefixes too; rows without any are left out.
+    """(row, met): how many of each row's entries other rows hold too, of described(row, entries); rows without any are left out.
 
     Entries travel in blocks, one for each range of hashes. A task first settles what repeats
     within its own rows and sends one entry for it, marked, so an entry that a third of all rows
-    hold costs one row for each task.
+    hold costs one row for each task. Rows are written as the place in their block of row
+    numbers (monotonically_increasing_id numbers a partition's rows without gaps).
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(values: list[np.ndarray], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(base: int, values: list[np.ndarray], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             s, r = np.concatenate(values), np.concatenate(rows)
             order = np.argsort(s, kind="stable")
             s, r = s[order], r[order]
             start, length = _runs(s)
             many = length > 1
             own, times = np.unique(r[np.repeat(many, length)], return_counts=True)
-            s, r = s[start], np.where(many, -1, r[start])
+            s, r = s[start], np.where(many, NOBODY, r[start])
             to = ((s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             s, r, to = s[order], r[order], to[order]
             start, length = _runs(to)
             cut = [slice(a, a + n) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
             keys = [*to[start].tolist(), *([-1 - int(own[0]) % ranges] if len(own) else [])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([*[s[c].tobytes() for c in cut], *([times.astype(np.uint64).tobytes()] if len(own) else [])], pa.binary()), pa.array([*[r[c].tobytes() for c in cut], *([own.tobytes()] if len(own) else [])], pa.binary())], ["range", "entries", "rows"]
-            )
+            entries = [*[s[c].tobytes() for c in cut], *([times.astype(np.uint64).tobytes()] if len(own) else [])]
+            holders = [*[r[c].tobytes() for c in cut], *([own.tobytes()] if len(own) else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([base] * len(keys), pa.int64()), pa.array(entries, pa.binary()), pa.array(holders, pa.binary())], ["range", "base", "entries", "rows"])
 
-        values, rows, held = [], [], 0
+        base, values, rows, held = 0, [], [], 0
         for batch in batches:
-            for row, prefix in zip(batch.column("row").to_pylist(), batch.column("prefix"), strict=True):
-                s = np.frombuffer(prefix.as_buffer(), np.uint64)
+            for row, packed in zip(batch.column("row").to_pylist(), batch.column("entries"), strict=True):
+                s = np.frombuffer(packed.as_buffer(), np.uint64)
                 if not len(s):
                     continue
+                if held and (row >> BLOCK_BITS << BLOCK_BITS != base or held >= 4 * ENTRIES):
+                    yield from out(base, values, rows)
+                    values, rows, held = [], [], 0
+                base = row >> BLOCK_BITS << BLOCK_BITS
                 values.append(s)
-                rows.append(np.full(len(s), row, np.int64))
+                rows.append(np.full(len(s), row - base, np.uint32))
                 held += len(s)
-                if held >= 4 * ENTRIES:
-                    yield from out(values, rows)
-                    values, rows, held = [], [], 0
         if held:
-            yield from out(values, rows)
+            yield from out(base, values, rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(entries: list[bytes], rows: list[bytes]) -> pa.RecordBatch:
-            s, r = np.frombuffer(b"".join(entries), np.uint64), np.frombuffer(b"".join(rows), np.int64)
+        """Counts of the rows that share entries, packed by blocks of rows."""
+
+        def rows_of(base: int, packed: bytes) -> np.ndarray:
+            r = np.frombuffer(packed, np.uint32).astype(np.int64)
+            return np.where(r == NOBODY, -1, r + base)
+
+        def shared(entries: list[bytes], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            s, r = np.frombuffer(b"".join(entries), np.uint64), np.concatenate(rows)
             order = np.argsort(s, kind="stable")
             s, r = s[order], r[order]
             start, length = _runs(s)
             hit = r[np.repeat(length > 1, length)]
-            row, n = np.unique(hit[hit >= 0], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(n, pa.int64())], ["row", "met"])
+            return np.unique(hit[hit >= 0], return_counts=True)
+
+        def out(hits: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            row, n = _summed(hits)
+            to = (row >> 10) % blocks
+            order = np.argsort(to, kind="stable")
+            row, n, to = row[order], n[order], to[order]
+            start, length = _runs(to)
+            cut = [slice(a, a + k) for a, k in zip(start.tolist(), length.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(to[start]), pa.array([row[c].tobytes() for c in cut], pa.binary()), pa.array([n[c].tobytes() for c in cut], pa.binary())], ["block", "rows", "counts"])
 
-        now, entries, rows = None, [], []
+        now, entries, rows, hits = None, [], [], []
         for batch in batches:
-            for key, s, r in zip(batch.column("range").to_pylist(), batch.column("entries").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            for key, base, s, r in zip(*[batch.column(c).to_pylist() for c in ("range", "base", "entries", "rows")], strict=True):
                 if key < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r, np.int64)), pa.array(np.frombuffer(s, np.uint64).astype(np.int64))], ["row", "met"])
+                    hits.append((rows_of(base, r), np.frombuffer(s, np.uint64).astype(np.int64)))
                     continue
                 if key != now and entries:
-                    yield counted(entries, rows)
+                    hits.append(shared(entries, rows))
                     entries, rows = [], []
+                    if sum(len(h[0]) for h in hits) > 4 * ENTRIES:
+                        yield out(hits)
+                        hits = []
                 now = key
                 entries.append(s)
-                rows.append(r)
+                rows.append(rows_of(base, r))
         if entries:
-            yield counted(entries, rows)
+            hits.append(shared(entries, rows))
+        if hits:
+            yield out(hits)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(hits: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(hits)], ["row", "met"])
+
+        now, hits = None, []
+        for batch in batches:
+            for block, rows, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "rows", "counts")], strict=True):
+                if block != now and hits:
+                    yield out(hits)
+                    hits = []
+                now = block
+                hits.append((np.frombuffer(rows, np.int64), np.frombuffer(counts, np.int64)))
+        if hits:
+            yield out(hits)
 
-    dealt = described.select("row", "prefix").mapInArrow(deal, "range bigint, entries binary, rows binary").repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(meet, "row bigint, met bigint").groupBy("row").agg(F.sum("met").alias("met"))
+    blocks = max(1, ranges // 4)
+    dealt = described.select("row", "entries").mapInArrow(deal, "range bigint, base bigint, entries binary, rows binary").repartition("range").sortWithinPartitions("range")
+    met = dealt.mapInArrow(meet, "block bigint, rows binary, counts binary").repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(total, "row bigint, met bigint")
+
+
+def _summed(hits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts added up by row."""
+    rows, counts = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+    order = np.argsort(rows, kind="stable")
+    start, _ = _runs(rows[order])
+    return rows[order][start], np.add.reduceat(counts[order], start) if len(start) else counts
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, n, shingles) of each node in reps(id, node), from the texts."""
+    """(node, n, entries) of each node in reps(id, node), from the texts."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("of_id"), whole_text(text_col).alias("text"))
     rows = texts.join(reps, F.col("of_id").eqNullSafe(F.col("id"))).select("node", "text")
 
@@ -155,9 +205,21 @@ def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
         for batch in text_slices(batches, "text", 1 << 20, 256):
             sets = shingle_sets(batch.column("text"), width)
             same = [(node, s) for node, s in zip(batch.column("node").to_pylist(), sets, strict=True) if set_print(s) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in same], pa.binary()), pa.array([len(x[1]) for x in same], pa.int64()), pa.array([x[1].view(np.int64) for x in same], pa.list_(pa.int64()))], ["node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in same], pa.binary()), pa.array([len(x[1]) for x in same], pa.int64()), pa.array([x[1].tobytes() for x in same], pa.binary())], ["node", "n", "entries"])
+
+    return rows.mapInArrow(run, "node binary, n bigint, entries binary")
+
+
+def _unpacked(sets: DataFrame) -> DataFrame:
+    """(node, n, shingles) with the entries as an array of signed numbers."""
 
-    return rows.mapInArrow(run, "node binary, n bigint, shingles array<bigint>").dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum([0, *batch.column("n").to_pylist()]).astype(np.int32)
+            values = np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "n", "shingles"])
+
+    return sets.select("node", "n", "entries").mapInArrow(run, "node binary, n bigint, shingles array<bigint>")
 
 
 def _shared_ok(shared: Column, a: Column, b: Column, sim: tuple[int, int]) -> Column:
@@ -166,29 +228,33 @@ def _shared_ok(shared: Column, a: Column, b: Column, sim: tuple[int, int]) -> Co
 
 
 def _live(sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """(node, n, s, df) of shingles that several of the sets hold, for nodes with enough of them to link."""
+    """(node, n, s, df, u) of shingles that several of the sets hold, for nodes with enough of them to link."""
     held = sets.select("node", "n", F.explode("shingles").alias("s"))
-    return _enough(held, sim)
+    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    live = held.join(often, "s")
+    keep = live.groupBy("node").agg(F.count("*").alias("u"), F.max("n").alias("m"), F.sum("df").alias("weight")).where(F.col("u") * sim[1] >= F.col("m") * sim[0])
+    return live.join(keep.drop("m"), "node")
 
 
-def _enough(held: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    live = held.select("node", "n", "s").join(often, "s")
-    keep = live.groupBy("node").agg(F.count("*").alias("u"), F.max("n").alias("n"), F.sum("df").alias("weight")).where(F.col("u") * sim[1] >= F.col("n") * sim[0])
-    return live.drop("n").join(keep, "node")
+def _ranges(described: DataFrame) -> int:
+    """Ranges of hashes, each of about ENTRIES entries, and several for each partition."""
+    entries = described.agg(F.coalesce(F.sum(F.length("entries")), F.lit(0))).first()[0] // 8
+    return max(4 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES)
 
 
 def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
     """(node, label): nodes that may have links; equal labels for those that links connect."""
-    spark = docs.sparkSession
-    entries = described.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
-    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES)
+    met = _met(described, _ranges(described)).join(described.select("row", "id", "n", "node"), "row")
     asked = 1 + F.floor(F.ceil(F.col("n") * sim[0] / sim[1]) / 20)
-    met = _met(described, ranges).join(described.select("row", "id", "n", "node"), "row").where(F.col("met") >= asked)
-    reps = met.groupBy("node").agg(F.min("id").alias("id"))
-    sets = materialise(_sets_of(docs, reps, id_col, text_col, width), "join-sets")
-    # What is left after the first count is small; the second count sees only documents that passed it.
-    live = materialise(_enough(materialise(_live(sets, sim), "join-live").select("node", "n", "s"), sim), "join-live")
+    reps = met.where(F.col("met") >= asked).groupBy("node").agg(F.min("id").alias("id"))
+    # Rows of one id may hold the same text: equal nodes are equal sets, so any one stands for them.
+    whole = materialise(_sets_of(docs, reps, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()), "join-sets")
+    own = whole.groupBy("node").agg(F.min("row").alias("row"))
+    whole = whole.join(own, ["node", "row"], "left_semi") if whole.count() > own.count() else whole
+    enough = _met(whole, _ranges(whole)).join(whole.select("row", "n"), "row").where(F.col("met") * sim[1] >= F.col("n") * sim[0])
+    sets = materialise(_unpacked(whole.join(enough.select("row"), "row", "left_semi")), "join-sets")
+    # Counted once more, among the documents that passed.
+    live = materialise(_live(sets, sim), "join-live")
     nodes = live.groupBy("node").agg(F.max("n").alias("n"), F.max("u").alias("u"), (F.max("weight") / F.max("n")).alias("central"))
     nodes = materialise(nodes, "join-nodes")
 
@@ -204,7 +270,7 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
             return labels
         # Pivots are the most central members of buckets. At first each region has one; then those of other groups than
         # the region's largest are dealt into buckets, since a region ends when they have met all its members.
-        buckets = F.when(F.col("strangers") <= SMALL, 4 * F.col("strangers")).otherwise(F.ceil(F.sqrt("strangers")))
+        buckets = F.when(F.col("strangers") <= SMALL, F.lit(1 << 20)).otherwise(F.greatest(F.lit(SMALL), F.ceil(F.sqrt("strangers"))))
         bucket = F.pmod(F.xxhash64("node", F.lit(depth)), buckets.cast("bigint")) if depth else F.lit(0)
         stood = able.where("label <> major") if depth else able
         pivots = stood.groupBy("g", bucket.alias("bucket")).agg(F.max(F.struct("central", "node", "n", "u", "label", "inside", "outside")).alias("p")).select("g", "p.*")
@@ -263,8 +329,9 @@ def _windows(regions: DataFrame, pivots: DataFrame, measured: DataFrame, sim: tu
     # A hair wider than the radius, so that rounding loses nothing.
     band = F.floor(F.col("d") / (radius * 1.0000001)).cast("int")
     spots = F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(band, band + 1))
-    kept = asked.join(away, ["a", "b"], "left").select("g", "node", F.coalesce("shared", "inside").alias("inside"), F.when(F.col("shared").isNull(), F.col("outside")).otherwise(F.col("u") - F.col("shared")).alias("outside"), F.explode(spots).alias("window"))
-    return kept.select(F.xxhash64("g", "window").alias("g"), "node", "inside", "outside")
+    kept = asked.join(away, ["a", "b"], "left").select("pivot", "node", F.coalesce("shared", "inside").alias("inside"), F.when(F.col("shared").isNull(), F.col("outside")).otherwise(F.col("u") - F.col("shared")).alias("outside"), F.explode(spots).alias("window"))
+    # Regions of one pivot become its Voronoi region: the same members met it in many of them.
+    return kept.select(F.xxhash64("pivot", "window").alias("g"), "node", "inside", "outside").dropDuplicates(["g", "node"])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
