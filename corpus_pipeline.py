@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import byte_bpe, exact_dedup, jaccard_join, mixing, toxicity
 from turnwise.session import materialise
@@ -23,13 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    """Of equal texts one row with the largest id stays."""
+    return exact_dedup.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id stays."""
+    """Of documents that links connect one row with the smallest id stays."""
     return jaccard_join.near_dedup(docs)
 
 

@@ -14,7 +14,7 @@ Texts travel only where a fingerprint repeats.
 Defined results: null counts as empty; all empty texts are one group. Of fully repeated rows
 (same id, same text) each is returned, and all of them are kept or none, as the id decides.
 An empty table gives an empty result. Only id and text are used, so other columns cannot
-clash. A null id is ordered below all others.
+clash. A null id is ordered below all others. `distinct_documents` keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from turnwise.llm.text import text_slices, whole_text
-from turnwise.session import materialise
+from turnwise.session import keyed, materialise
 
 # The largest primes below 2^31 and four bases.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -91,21 +91,22 @@ def _hash_rows(df: DataFrame, keep: str, primes: tuple[int, ...], bases: tuple[i
     return df.mapInArrow(run, f"{keep}, h array<bigint>")
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES) -> DataFrame:
-    """(id, n_bytes, sha256, h) of every row."""
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, key_col: str | None = None) -> DataFrame:
+    """(id, n_bytes, sha256, h, of_row) of every row; of_row: its key_col, null without one."""
     text = whole_text(text_col)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("sha256")).withColumn("n_bytes", F.octet_length("bytes").cast("bigint"))
-    short = _hash_rows(rows.where(F.col("n_bytes") <= segment_bytes), "id bigint, n_bytes bigint, sha256 string", primes, bases)
+    of_row = F.col(f"`{key_col}`") if key_col else F.lit(None)
+    rows = docs.select(of_row.cast("bigint").alias("of_row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("sha256")).withColumn("n_bytes", F.octet_length("bytes").cast("bigint"))
+    short = _hash_rows(rows.where(F.col("n_bytes") <= segment_bytes), "of_row bigint, id bigint, n_bytes bigint, sha256 string", primes, bases)
     cut = F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / segment_bytes).cast("int"))
     long = rows.where(F.col("n_bytes") > segment_bytes).withColumn("row", F.monotonically_increasing_id()).withColumn("seg", F.explode(cut))
-    long = long.select("row", "id", "n_bytes", "sha256", "seg", F.substring(F.col("bytes"), F.col("seg") * segment_bytes + 1, F.lit(segment_bytes)).alias("bytes")).repartition("sha256", "seg")
-    hashed = _hash_rows(long, "row bigint, id bigint, n_bytes bigint, sha256 string, seg int", primes, bases)
+    long = long.select("row", "of_row", "id", "n_bytes", "sha256", "seg", F.substring(F.col("bytes"), F.col("seg") * segment_bytes + 1, F.lit(segment_bytes)).alias("bytes")).repartition("sha256", "seg")
+    hashed = _hash_rows(long, "row bigint, of_row bigint, id bigint, n_bytes bigint, sha256 string, seg int", primes, bases)
     # H of the whole = sum over segments of H(segment) * r^(bytes after it): a commutative sum, so it combines map-side.
     after = F.greatest(F.col("n_bytes") - (F.col("seg") + 1) * segment_bytes, F.lit(0))
     shifted = _shift(hashed.withColumn("after", after), primes, bases)
     sums = [(F.sum(F.col("h")[i]) % p).alias(f"h{i}") for i, p in enumerate(primes)]
-    joined = shifted.groupBy("row", "id", "n_bytes", "sha256").agg(*sums)
-    joined = joined.select("id", "n_bytes", "sha256", F.array(*[F.col(f"h{i}") for i in range(len(primes))]).alias("h"))
+    joined = shifted.groupBy("row", "of_row", "id", "n_bytes", "sha256").agg(*sums)
+    joined = joined.select("of_row", "id", "n_bytes", "sha256", F.array(*[F.col(f"h{i}") for i in range(len(primes))]).alias("h"))
     return short.unionByName(joined)
 
 
@@ -113,16 +114,30 @@ def _shift(df: DataFrame, primes: tuple[int, ...], bases: tuple[int, ...]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [[x * pow(r, n, p) % p for x, r, p in zip(part, bases, primes, strict=True)] for part, n in zip(b.column("h").to_pylist(), b.column("after").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("row", "id", "n_bytes", "sha256")], pa.array(h, pa.list_(pa.int64()))], ["row", "id", "n_bytes", "sha256", "h"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("row", "of_row", "id", "n_bytes", "sha256")], pa.array(h, pa.list_(pa.int64()))], ["row", "of_row", "id", "n_bytes", "sha256", "h"])
 
-    return df.mapInArrow(run, "row bigint, id bigint, n_bytes bigint, sha256 string, h array<bigint>")
+    return df.mapInArrow(run, "row bigint, of_row bigint, id bigint, n_bytes bigint, sha256 string, h array<bigint>")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    prints = fingerprint(docs, id_col, text_col, segment_bytes, primes, bases)
+    out = _grouped(docs, id_col, text_col, segment_bytes, primes, bases, salt_rows)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """One row of each group of equal texts, with the largest id; all columns are kept."""
+    whole = keyed(docs, "dedup-rows")
+    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    gone = _grouped(read, "id", "text", segment_bytes, primes, bases, salt_rows, "row").where("of_row <> keep_row").select(F.col("of_row").alias("row"))
+    return whole.join(gone, "row", "left_anti").select("doc.*")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int, primes: tuple[int, ...], bases: tuple[int, ...], salt_rows: int, key_col: str | None = None) -> DataFrame:
+    """(of_row, id, sha256, keep_id, group_size, keep_row) of every row; keep_row: of the group's rows with keep_id the first."""
+    prints = fingerprint(docs, id_col, text_col, segment_bytes, primes, bases, key_col)
     key = F.concat_ws("-", F.col("n_bytes").cast("string"), F.array_join(F.transform("h", lambda x: x.cast("string")), "-"))
-    prints = materialise(prints.select("id", "sha256", key.alias("key")), "dedup-prints")
+    prints = materialise(prints.select("of_row", "id", "sha256", key.alias("key")), "dedup-prints")
     repeated = prints.groupBy("key").agg(F.max("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     pending = prints.join(repeated, "key").select("id", "sha256", "key", "rep", "n").distinct()
     text = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.encode(whole_text(text_col), "UTF-8").alias("bytes"), F.sha2(whole_text(text_col), 256).alias("sha256"))
@@ -136,10 +151,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         again = differ.groupBy("key").agg(F.max("id").alias("rep"), F.count("*").alias("n"))
         pending = differ.join(again, "key")
-    grouped = prints.join(settled, ["id", "sha256", "key"], "left").select("id", "sha256", "key", F.coalesce("rep", "id").alias("keep_id"))
-    sizes = grouped.groupBy(F.col("key").alias("of_key"), F.col("keep_id").alias("of_keep")).agg(F.count("*").alias("group_size"))
-    out = grouped.join(sizes, (F.col("key") == F.col("of_key")) & F.col("keep_id").eqNullSafe(F.col("of_keep")))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    settled = settled.toDF("set_id", "set_sha256", "set_key", "rep")
+    same = F.col("id").eqNullSafe(F.col("set_id")) & (F.col("sha256") == F.col("set_sha256")) & (F.col("key") == F.col("set_key"))
+    grouped = prints.join(settled, same, "left").select("of_row", "id", "sha256", "key", F.coalesce("rep", "id").alias("keep_id"))
+    # Equal texts have one digest, which parts texts of one fingerprint whose representatives share an id.
+    first = F.min(F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.col("of_row")))
+    sizes = grouped.groupBy(F.col("key").alias("of_key"), F.col("sha256").alias("of_sha256"), F.col("keep_id").alias("of_keep")).agg(F.count("*").alias("group_size"), first.alias("keep_row"))
+    out = grouped.join(sizes, (F.col("key") == F.col("of_key")) & (F.col("sha256") == F.col("of_sha256")) & F.col("keep_id").eqNullSafe(F.col("of_keep")))
+    return out.select("of_row", "id", "sha256", "keep_id", "group_size", "keep_row")
 
 
 def _compare(pending: DataFrame, text: DataFrame, chunk_bytes: int, salt_rows: int) -> DataFrame:

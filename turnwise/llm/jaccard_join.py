@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnwise.llm.components import connected
 from turnwise.llm.shingles import set_print, shingle_sets
 from turnwise.llm.text import text_slices, whole_text
-from turnwise.session import materialise
+from turnwise.session import keyed, materialise
 
 WIDTH = 5
 #: The threshold as a fraction of whole numbers: intersection * SIM[1] >= union * SIM[0].
@@ -60,9 +60,9 @@ def _spare(n: int) -> int:
     return n // 20
 
 
-def _describe(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
+def _describe(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int], row: Column) -> DataFrame:
     """(row, id, n, node, entries) of every row; node: the print of its set, entries: its prefix."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
@@ -334,20 +334,27 @@ def _windows(regions: DataFrame, pivots: DataFrame, measured: DataFrame, sim: tu
     return kept.select(F.xxhash64("pivot", "window").alias("g"), "node", "inside", "outside").dropDuplicates(["g", "node"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id that links reach) of every row."""
-    described = materialise(_describe(docs, id_col, text_col, width, sim), "join-described")
-    lowest = described.where("n > 0").groupBy("node").agg(F.min(F.struct("id")).alias("low"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int], row: Column) -> DataFrame:
+    """(row, id, n, component, first) of every row; first: of the group's rows the one with the smallest id and row."""
+    described = materialise(_describe(docs, id_col, text_col, width, sim, row), "join-described")
+    lowest = described.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("low"))
     merged = lowest.join(linked(docs, described, id_col, text_col, width, sim), "node")
     merged = merged.join(merged.groupBy("label").agg(F.min("low").alias("least")), "label").select("node", "least")
     lowest = lowest.join(merged, "node", "left").select("node", F.coalesce("least", "low").alias("low"))
-    out = described.select("id", "n", "node").join(lowest, "node", "left")
+    out = described.select("row", "id", "n", "node").join(lowest, "node", "left")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low.id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return out.select("row", "id", "n", alone.alias("component"), ((F.col("n") == 0) | (F.col("row") == F.col("low.row"))).alias("first"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id that links reach) of every row."""
+    out = _grouped(docs, id_col, text_col, width, sim, F.monotonically_increasing_id())
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each group; all columns are kept."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
+    """One row of each group, with the smallest id; all columns are kept."""
+    whole = keyed(docs, "join-rows")
+    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    gone = _grouped(read, "id", "text", width, sim, F.col("row")).where("NOT first").select("row")
+    return whole.join(gone, "row", "left_anti").select("doc.*")

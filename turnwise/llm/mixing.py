@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.llm.text import WORD
-from turnwise.session import materialise
+from turnwise.session import keyed, materialise
 
 #: The golden ratio's fraction in 31 bits, made odd; cells of the unit interval; slots in a chunk.
 POINTS = 1 << 31
@@ -62,9 +62,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    spark = docs.sparkSession
-    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    sized = materialise(read.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    return _taken(read, weights, share, cap, block_words).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _taken(read: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(row, id, size, source_size, target, taken) of read(row, id, source, size)."""
+    spark = read.sparkSession
+    sized = materialise(read.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     sources = materialise(source_targets(sized, weights, share, cap), "mix-sources")
     whole = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     slots = -(-whole * share[0] // (share[1] * block_words))
@@ -94,15 +99,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     pieces = placed.select("row", "id", "size", "nth", "source_size", "target", "a", F.explode_outer(spans).alias("block"))
     shared = F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("a"), F.col("block") * block_words)
     met = pieces.join(takes, ["nth", "block"], "left").withColumn("words", F.coalesce(shared * F.col("times"), F.lit(0)))
-    out = met.groupBy("row", "id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    return met.groupBy("row", "id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as documents: every row as often as it was taken, rounded to whole documents; its columns are kept."""
-    times = F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    taken = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("of")).agg(times.alias("times")).where("times > 0")
-    # The rows travel as one column each, so that no name of theirs can clash.
-    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    copies = whole.join(taken, F.col("id").eqNullSafe(F.col("of"))).select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    whole = keyed(docs, "mix-rows")
+    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[source_col].alias("source"), word_count(F.col("doc")[text_col]).alias("size"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = _taken(read, **options).select("row", times.alias("times")).where("times > 0")
+    copies = whole.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select("doc.*")

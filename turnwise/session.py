@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(app: str = "turnwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/turnwise/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keyed(docs: DataFrame, tag: str) -> DataFrame:
+    """(row, doc) of every row: a written key, and the row as one column, so that none of its names can clash.
+
+    What is decided on a row comes back to that row alone, whatever other rows have its id.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole), tag)
