@@ -63,16 +63,30 @@ def str04_lexicon_and_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(texts: DataFrame, quotes: DataFrame, id_col: str, quote_id: str) -> DataFrame:
-    """(quote, text) pairs whose normalised text contains the normalised quote.
+    """(quote, text) pairs whose normalised text contains the normalised quote; an empty quote is in none.
 
-    Quotes meet texts on the quote's first three words, found among each text's three-word
-    runs: an equi-join, and only then a substring test.
+    A quote may begin and end inside words of the text, but the words between are whole there.
+    Quotes meet texts on the first of those, three at most, found among each text's runs of as
+    many words: an equi-join, and only then a substring test. Quotes of one or two words have
+    no such word and are tested against every text.
     """
-    words = F.split("norm", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, 3), " "))
-    t = texts.select(F.col(id_col), normal_quote(F.col("text")).alias("norm")).withColumn("words", words).select(id_col, "norm", F.explode(F.array_distinct(runs)).alias("key"))
-    q = quotes.select(F.col(quote_id), normal_quote(F.col("text")).alias("quote")).withColumn("key", F.array_join(F.slice(F.split("quote", " "), 1, 3), " "))
-    return t.join(q, "key").where(F.contains("norm", "quote")).select(quote_id, id_col).distinct()
+    t = texts.select(F.col(id_col), normal_quote(F.col("text")).alias("norm"))
+    parts = F.split("quote", " ")
+    q = quotes.select(F.col(quote_id), normal_quote(F.col("text")).alias("quote")).where("quote <> ''").withColumn("inner", F.least(F.greatest(F.size(parts) - 2, F.lit(0)), F.lit(3)))
+    q = q.withColumn("key", F.array_join(F.slice(parts, F.lit(2), F.col("inner")), " "))
+    found = None
+    # Four lengths at most; texts are cut into runs of those that occur.
+    for n in sorted(r[0] for r in q.select("inner").distinct().collect()) or [0]:
+        some = q.where(F.col("inner") == n)
+        if n:
+            runs = F.expr(f"transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> array_join(slice(words, i, {n}), ' '))")
+            cut = t.withColumn("words", F.split("norm", " ")).select(id_col, "norm", F.explode(F.array_distinct(runs)).alias("key"))
+            met = cut.join(some, "key").where(F.contains("norm", "quote"))
+        else:
+            met = t.join(some, F.contains("norm", "quote"))
+        met = met.select(quote_id, id_col)
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 @register(
