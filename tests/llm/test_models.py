@@ -66,6 +66,20 @@ def test_lexicon_speaks_without_labels(spark):
     assert model.score(find("what an idiot you are")) >= 0.7 > model.score(find("what a day"))
 
 
+def test_finder_reads_long_texts_once_and_short_words():
+    find = toxicity.Finder(["zo", "zorq-", "quab-+"])
+    several = find.several
+    assert find("a zo b") == [0, several, several + 2]
+    assert find("zoo quabx " + "w " * 200) == []
+    assert find("quabx " * 3 + "w " * 200) == [2, several, several + 2]
+    assert {several + 3, several + 4} <= set(find("you are a ZORQX"))
+    import time
+
+    began = time.time()
+    assert 1 in find(" ".join(f"zorq{'abcdefghij'[i % 10]}" for i in range(300_000)))
+    assert time.time() - began < 10
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(1)
     y = rng.random(3000) < 0.3

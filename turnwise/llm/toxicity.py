@@ -1,21 +1,29 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 Voters say toxic, clean or nothing of a text. They are: one lexicon of common insults for each
-of four languages; terms (words and word beginnings of 4 to 6 letters) that a binomial test,
-corrected for the number of terms tried, finds tied to toxic labels; patterns (several
-different terms, an insult near a form of address, terms in capitals); and one that says
-clean where no term is found. The label model treats a text's class as hidden: it estimates,
-by expectation-maximisation, how each voter votes on either class and how the voters are
-correlated within a class, and counts a voter the less the more others repeat it. Its
-posteriors are the targets of a logistic regression over the terms and patterns, which scores
-every whole text. Presence of a term counts, not its share, so length dilutes nothing.
+of four languages; terms found in labelled rows; patterns (some term at all, several different
+ones, terms in one of a hundred words, an insult near a form of address, terms in capitals);
+and one that says clean where no term is found. A term is a word or a beginning of 3 to 7
+letters, either present at all or dense: in one of a hundred words. All words and beginnings
+are counted and tested on the cluster, by a binomial bound on the share of toxic texts,
+corrected for the number of terms tried. Of terms that begin with one another only the one
+with the strongest evidence votes, so that a word and its beginnings are one voter.
+
+The label model treats a text's class as hidden: it estimates, by expectation-maximisation,
+how each voter votes on either class and how the voters are correlated within a class, and
+counts a voter the less the more others repeat it; a voter for toxic can not come to speak for
+clean. The label itself is one more voter, which may err like the others. The posteriors are the targets of a logistic regression over the terms and patterns,
+which scores every whole text.
 
 Labels, from rows that are not held out only, serve to find terms and to set the classes'
 shares; MAX_TRAIN rows at most are used, chosen by a hash of the id.
 
 Defined results: null and empty texts have no term and get the score of such texts. Without
-usable labels the lexicons and patterns alone vote. Rows of equal id are scored each. An empty
-table gives an empty result. Only id and text are used, so other columns cannot clash.
+usable labels the lexicons and patterns alone vote. Rows of equal id are scored each, equal
+texts alike. Very long texts are read whole, once; patterns look at words and the few before
+each, so the time is linear. Terms of equal evidence are taken longest first, then by
+alphabet. An empty table gives an empty result. Only id and text are used, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -27,15 +35,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnwise.llm.labelled import held_out, training_sample
 from turnwise.llm.text import text_slices, whole_text
+from turnwise.session import materialise
 
 MAX_TRAIN = 10_000
-MAX_TERMS = 256
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
+#: A term is dense in a text if one of so many words has it.
+DENSE = 100
+#: Words before an insult that are searched for a form of address.
+NEAR = 5
 
 # Common insults.
 LEXICONS = {
@@ -44,57 +56,70 @@ LEXICONS = {
     "fr": ("connard", "salaud", "imbécile", "crétin", "abruti", "ordure", "enfoiré", "minable", "débile"),
     "es": ("imbécil", "estúpido", "idiota", "basura", "cabrón", "gilipollas", "asqueroso", "escoria", "payaso"),
 }
-ADDRESS = re.compile(r"\b(?:you|your|you're|du|dein|ihr|tu|toi|vous|usted|eres)\b")
+# Forms of address.
+ADDRESS = frozenset(("you", "your", "yours", "re", "du", "dein", "ihr", "tu", "toi", "vous", "usted", "eres"))
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str) -> Counter:
-    """Words of 4 letters and more, lower-cased, and their beginnings (marked by a last '-'), each with its number of different words."""
-    out: Counter = Counter()
-    for w in set(_WORD.findall(text.lower())):
-        if len(w) >= PREFIXES[0]:
-            out[w] += 1
-            for n in PREFIXES:
-                if len(w) > n:
-                    out[f"{w[:n]}-"] += 1
-    return out
+def words_of(text: str) -> tuple[list[str], list[str]]:
+    """The words as written, and lower-cased."""
+    words = _WORD.findall(text)
+    return words, "\n".join(words).lower().split("\n") if words else []
+
+
+def terms_of(text: str) -> tuple[list[str], list[str]]:
+    """Words and beginnings (marked by a last '-') that the text has, and those that are dense in it."""
+    _, words = words_of(text)
+    found: Counter = Counter()
+    for w, times in Counter(words).items():
+        found[w] += times
+        for n in PREFIXES:
+            if len(w) > n:
+                found[f"{w[:n]}-"] += times
+    return list(found), [t for t, times in found.items() if times * DENSE >= len(words)]
 
 
 class Finder:
-    """Feature ids of a text: terms first, then lexicons, then patterns."""
+    """Feature ids of a text: terms first, then lexicons, then patterns. A term that ends in '+' has to be dense."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.lexicons = [frozenset(words) for words in LEXICONS.values()]
         self.n = len(terms)
-        every = [*terms, *(w for words in LEXICONS.values() for w in words)]
-        self.roots = {t.rstrip("-")[: PREFIXES[0]] for t in every}
+        self.dense = [t.endswith("+") for t in terms]
+        self.at = {t.removesuffix("+"): i for i, t in enumerate(terms)}
+        self.lexicons = [frozenset(words) for words in LEXICONS.values()]
+        self.roots = {t[: PREFIXES[0]].rstrip("-") for t in (*self.at, *(w for words in LEXICONS.values() for w in words))}
         self.several = self.n + len(self.lexicons)
-        self.size = self.several + 3
+        self.size = self.several + 5
+
+    def _own(self, w: str) -> list[int]:
+        at = self.at
+        own = [at[k] for k in (w, *(f"{w[:n]}-" for n in PREFIXES if len(w) > n)) if k in at]
+        return own + [self.n + i for i, lexicon in enumerate(self.lexicons) if w in lexicon]
 
     def __call__(self, text: str) -> list[int]:
+        words, lows = words_of(text)
         roots = self.roots
-        low = text.lower()
-        words = [w for w in set(_WORD.findall(low)) if w[:4] in roots]
-        if not words:
+        near = [(i, w) for i, w in enumerate(lows) if w[:3] in roots]
+        if not near:
+            return []
+        known = {w: self._own(w) for w in {w for _, w in near}}
+        hits = [(i, w) for i, w in near if known[w]]
+        times = Counter(x for _, w in hits for x in known[w])
+        found = {x for x, k in times.items() if x >= self.n or not self.dense[x] or k * DENSE >= len(lows)}
+        # Occurrences of terms that have to be dense and are not count for nothing.
+        hits = [(i, w) for i, w in hits if not found.isdisjoint(known[w])]
+        if not hits:
             return []
-        found: set[int] = set()
-        hits: list[str] = []
-        for w in words:
-            own = [self.at[k] for k in (w, *(f"{w[:n]}-" for n in PREFIXES if len(w) > n)) if k in self.at]
-            own += [self.n + i for i, lexicon in enumerate(self.lexicons) if w in lexicon]
-            if own:
-                found.update(own)
-                hits.append(w)
-        if len(hits) > 1:
-            found.add(self.several)
-        for w in hits:
-            at = low.find(w)
-            if ADDRESS.search(low, max(0, at - 30), at):
-                found.add(self.several + 1)
-            if w.upper() in text:
-                found.add(self.several + 2)
+        found.add(self.several)
+        if len({w for _, w in hits}) > 1:
+            found.add(self.several + 1)
+        if len(hits) * DENSE >= len(lows):
+            found.add(self.several + 2)
+        if any(not ADDRESS.isdisjoint(lows[max(0, i - NEAR) : i]) for i, _ in hits):
+            found.add(self.several + 3)
+        if any(len(words[i]) > 1 and words[i].isupper() for i, _ in hits):
+            found.add(self.several + 4)
         return sorted(found)
 
 
@@ -116,12 +141,18 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
     def fit(self, votes: np.ndarray, rounds: int = 25) -> LabelModel:
+        """Estimates from the votes; the last column, the most trusted voter, sets the first guess."""
         n, m = votes.shape
-        p = np.where(votes.sum(1) > 0, 0.95, np.where(votes.sum(1) < 0, 0.05, self.share))
+        p = np.where(votes[:, -1] > 0, 0.95, 0.05)
         self.weight = np.ones(m)
         for _ in range(rounds):
             w = np.stack([1 - p, p], 1)
-            self.rates = np.stack([(w.T @ (votes == v) + 0.1 * (v == 0) + 0.01) / (w.sum(0)[:, None] + 0.12) for v in (-1, 0, 1)], 2).transpose(1, 0, 2)
+            rates = np.stack([(w.T @ (votes == v) + 0.1 * (v == 0) + 0.01) / (w.sum(0)[:, None] + 0.12) for v in (-1, 0, 1)], 2).transpose(1, 0, 2)
+            # Voters are what they were made to be: no vote counts against its own side.
+            rates[:, 1, 2] = np.maximum(rates[:, 1, 2], rates[:, 0, 2])
+            rates[:, 0, 0] = np.maximum(rates[:, 0, 0], rates[:, 1, 0])
+            rates[:, :, 1] = np.maximum(1 - rates[:, :, 0] - rates[:, :, 2], 1e-6)
+            self.rates = rates
             self.weight = 1 / self._repeats(votes.astype(np.float32), p)
             p = self.posterior(votes)
         return self
@@ -167,52 +198,63 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[found].sum() + self.weights[-1]))))
 
 
-def _tail(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
-    """Log of a bound (Chernoff's) of the chance that t of t + c rows are toxic, at this share."""
+def _evidence(t: Column, c: Column, share: Column) -> Column:
+    """Minus the log of Chernoff's bound of the chance that t of t + c texts are toxic, at this share; 0 where there are no more than expected."""
     n = t + c
-    q = np.clip(t / n, 1e-12, 1)
-    rest = np.where(q < 1, (1 - q) * np.log(np.clip(1 - q, 1e-12, 1) / (1 - share)), 0)
-    return np.where(q > share, -n * (q * np.log(q / share) + rest), 0)
+    q = t / n
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return F.when(q > share, n * (q * F.log(q / share) + rest)).otherwise(0.0)
 
 
-def find_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms tied to label 1: counted over the cluster; only those of 3 toxic rows and more come to the driver, the 20,000 commonest at most."""
+def find_terms(sample: DataFrame) -> list[str]:
+    """Terms tied to label 1, strongest first; those that have to be dense end in '+'.
+
+    Counts, tests and their correction are made on the cluster; only terms that pass come to
+    the driver, each of which needs several toxic texts of the bounded sample for itself.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: tuple[Counter, Counter] = (Counter(), Counter())
-        texts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts = tuple(Counter() for _ in range(4))
 
         def out() -> pa.RecordBatch:
-            for x in (*words, *texts):
-                x[""] = sum(x.values())
-            keys = list(texts[0].keys() | texts[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in (texts[1], texts[0], words[1], words[0])]], ["term", "t", "c", "tw", "cw"])
-            for x in (*words, *texts):
+            keys = list(counts[0].keys() | counts[1].keys())
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([x[k] for k in keys], pa.int64()) for x in counts]], ["term", "t", "c", "td", "cd"])
+            for x in counts:
                 x.clear()
             return batch
 
         for batch in text_slices(batches, "text"):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                found = terms_of(text)
-                texts[y > 0].update(found.keys())
-                words[y > 0].update(found)
-                if len(texts[0]) + len(texts[1]) > 300_000:
+                found, dense = terms_of(text)
+                counts[y <= 0].update(found)
+                counts[y <= 0][""] += 1
+                counts[2 + (y <= 0)].update(dense)
+                if len(counts[0]) + len(counts[1]) > 300_000:
                     yield out()
         yield out()
 
-    counted = sample.select("text", "y").mapInArrow(count, "term string, t bigint, c bigint, tw bigint, cw bigint").groupBy("term").agg(*[F.sum(x).alias(x) for x in ("t", "c", "tw", "cw")])
-    rows = counted.where("t >= 3").orderBy(F.col("t").desc(), "term").limit(20_000).collect()
-    # The empty term stands for all terms: its counts give the share of toxic texts that a term has by chance.
-    every = next((r for r in rows if not r["term"]), None)
-    rows = [r for r in rows if r["term"]]
-    if not rows:
+    counted = sample.select("text", "y").mapInArrow(count, "term string, t bigint, c bigint, td bigint, cd bigint").groupBy("term").agg(*[F.sum(x).alias(x) for x in ("t", "c", "td", "cd")])
+    counted = materialise(counted.where("t >= 3"), "toxicity-terms")
+    # The empty term stands for all texts: its counts give the share of toxic ones that a term has by chance.
+    every = counted.agg(F.max(F.when(F.col("term") == "", F.col("t"))).alias("t"), F.max(F.when(F.col("term") == "", F.col("c"))).alias("c"), F.count("*").alias("tried")).first()
+    if every["t"] is None:
         return []
-    t, c, tw, cw = (np.array([r[x] for r in rows], float) for x in ("t", "c", "tw", "cw"))
-    share = min(0.9, max(1e-3, every["t"] / (every["t"] + every["c"])))
-    # A beginning is tested on the different words that have it, as one text may hold several; texts alone must be unlikely too.
-    chance = _tail(tw, cw, share) + np.log(len(rows))
-    good = [i for i in np.argsort(chance, kind="stable") if chance[i] < np.log(0.1) and t[i] / (t[i] + c[i]) > 0.8 and _tail(t[i : i + 1], c[i : i + 1], share)[0] < np.log(0.001)]
-    return [rows[i]["term"] for i in good[:max_terms]]
+    share = F.lit(min(0.9, max(1e-3, every["t"] / (every["t"] + every["c"]))))
+    tiers = F.explode(F.array(F.struct(F.lit("").alias("mark"), F.col("t"), F.col("c")), F.struct(F.lit("+").alias("mark"), F.col("td").alias("t"), F.col("cd").alias("c")))).alias("x")
+    tested = counted.where("term <> ''").select("term", tiers).where("x.t >= 3 AND x.t > 4 * x.c").select("term", F.col("x.mark").alias("mark"), _evidence(F.col("x.t"), F.col("x.c"), share).alias("evidence"))
+    passed = tested.where(F.col("evidence") > float(np.log(10 * 2 * every["tried"]))).collect()
+    out: list[str] = []
+    taken: set[str] = set()
+    heads: set[str] = set()
+    for r in sorted(passed, key=lambda r: (-r["evidence"], -len(r["term"]), r["term"], r["mark"])):
+        stem = r["term"].rstrip("-")
+        # Related are: the term itself, its beginnings, and what begins with it if it is a beginning.
+        begins = {f"{stem[:n]}-" for n in PREFIXES if n < len(stem)}
+        if not (begins | {r["term"]}) & taken and r["term"] not in heads:
+            taken.add(r["term"])
+            heads |= begins
+            out.append(r["term"] + r["mark"])
+    return out
 
 
 def _found(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -224,12 +266,13 @@ def _found(rows: DataFrame, terms: list[str]) -> DataFrame:
     return rows.select("id", "y", "text").mapInArrow(run, "id bigint, y int, found array<int>")
 
 
-def votes_of(rows: list[list[int]], size: int) -> np.ndarray:
-    """One column for each feature, voting toxic where it is found, and one that says clean where none is."""
-    votes = np.zeros((len(rows), size + 1), np.int8)
+def votes_of(rows: list[list[int]], size: int, y: np.ndarray) -> np.ndarray:
+    """One column for each feature, voting toxic where it is found, one that says clean where none is, and the label, one more voter that may err."""
+    votes = np.zeros((len(rows), size + 2), np.int8)
     for i, r in enumerate(rows):
         votes[i, r] = 1
-        votes[i, -1] = 0 if r else -1
+        votes[i, -2] = 0 if r else -1
+    votes[:, -1] = np.where(y > 0, 1, -1)
     return votes
 
 
@@ -243,8 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(y) or not any(found):
         # Nothing to learn from: the fixed lexicons and patterns speak for themselves.
         return Model(terms, np.append(np.full(finder.size, 4.0), -3.0))
-    model = LabelModel(share).fit(votes_of(found, finder.size))
-    targets = model.posterior(votes_of(found, finder.size))
+    votes = votes_of(found, finder.size, y)
+    model = LabelModel(share).fit(votes)
+    targets = model.posterior(votes)
     # Features that the sample lacks keep what a lexicon says by itself.
     absent = np.ones(finder.size, bool)
     absent[sorted(set().union(*found))] = False
