@@ -75,6 +75,51 @@ def test_groups_without_a_centre(spark):
     assert got(jaccard_join.near_groups(df)) == brute(rows)
 
 
+def brute_labels(sets: dict) -> dict:
+    """Smallest name of each set's group."""
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize(("cell", "deep"), [(4, 5), (4, 1), (1024, 5)])
+def test_regions_windows_and_tiles_lose_no_link(spark, cell, deep):
+    """Families around templates, at distances from far below to far above the radius, joined with tiny regions."""
+    rng = random.Random(cell + deep)
+    sets = {}
+    for _ in range(6):
+        base = [rng.getrandbits(62) for _ in range(rng.choice((10, 50, 100)))]
+        for _ in range(22):
+            share = rng.choice((0.02, 0.1, 0.11, 0.12, 0.3, 0.5))
+            own = [rng.getrandbits(62) if rng.random() < share else s for s in base]
+            sets[len(sets)] = frozenset(own[: rng.randint(len(own) * 8 // 10, len(own))])
+            if rng.random() < 0.5:
+                base = own if rng.random() < 0.3 else base
+    rows = [(i, len(s), np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    links = jaccard_join.links_of(spark.createDataFrame(rows, "rid bigint, n bigint, entries binary"), cell=cell, deep=deep).collect()
+    label = {i: i for i in sets}
+    for a, b in links:
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if v == high else v for k, v in label.items()}
+    assert label == brute_labels(sets)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_text_ids_null_ids_and_repeated_rows(spark, kind):
+    rng = random.Random(2)
+    texts = [" ".join(cases.words(rng, 30)) for _ in range(3)]
+    rows = [("a1" if kind == "string" else 1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), ("b" if kind == "string" else 2, texts[2])]
+    rows += [rows[4], rows[4]]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    assert got(jaccard_join.near_groups(df)) == brute(rows)
+    assert jaccard_join.near_dedup(df).count() == 3
+
+
 def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     kept = jaccard_join.near_dedup(cases.frame(spark))
     assert kept.columns == cases.frame(spark).columns

@@ -1,28 +1,44 @@
-"""Exact n-gram Jaccard join in the Jaccard metric space, and the groups that its links form.
-
-The distance 1 - J is a metric. Documents live in regions; a region is a shingle that all its
-members hold in their prefixes, so that any two documents within the threshold share a region.
-In each round every region elects a pivot, its most central member, and all members learn
-their exact distance to it. Members in the pivot's ball join its group and need no comparison
-among themselves. By the triangle inequality two documents within the radius r lie within r of
-each other in distance to the pivot: a pivot's Voronoi region is cut into windows of that
-width, documents at a border are replicated into both, and the windows are the next round's
-regions. A region
-ends when its members are of one group or none of them could still link.
-
-Before that, two exact filters leave only documents that can link at all:
-1. A prefix of each set, in hash order and a little longer than the threshold asks, is dealt
-   by hash. A document must meet others in a stated share of its prefix.
-2. Of the others, a document needs at least the threshold's share of its shingles to be
-   repeated in some other document; counted on full sets, twice.
-
-Equal sets are one node, so copies cost one row each. Pairs are never listed inside a region;
-each round pairs members with pivots only. No text or set goes to the driver.
+"""Exact n-gram Jaccard join in a metric space, and the groups that its links form.
+
+The distance 1 - J is a metric, and so is the number of shingles by which two sets differ,
+also when only a part of all shingles is looked at. Two linked documents x and y differ by
+few: y lacks at most `e` = size(x) - threshold * size(x) shingles of x.
+
+A step of the join, inside one region (at first: everything):
+1. Pivots. Every shingle that several members hold elects one of its holders, the same for
+   all. The elected are pivots, and each owns the part of the shingles that elected it.
+2. Voronoi regions. A member's distance to a pivot is measured in the pivot's part: it shares
+   c of those shingles. It lives with its nearest pivot, the one with the largest c; if that is
+   `e` or less, also with the next nearest, until they hold more than `e` of its shingles
+   together, so that no document linked with it can lack all of them.
+3. Windows. By the triangle inequality in the pivot's part, a document linked with x shares at
+   least c - e shingles of it. Members of other regions that share the least that any member
+   living there asks, and whose size allows a link, are replicated across the border.
+4. A region of at most CELL members is joined in one task: its pivot and then the members
+   that live there are measured against those others that no measured distance to an earlier
+   pivot rules out (|d(x, p) - d(y, p)| <= radius) and that no link connects with them yet.
+5. In a larger region all members are measured against the pivot, over many tasks. Those in
+   its ball are linked with it and need no comparison among themselves. The others are
+   strangers; the region is cut by distance to the pivot into overlapping windows as wide as
+   the radius, and each window with few strangers is joined in tiles (strangers against a
+   block of members), while a window with many is the region of the next step, in which only
+   strangers stand as pivots and have to find their links. Below DEEP steps tiles take over.
+Each step is exact, so the links found connect what all links would connect.
+
+Before the first step an exact filter leaves only documents that can link at all: a prefix of
+each set, in hash order and a little longer than the threshold asks, is dealt by hash, and a
+document must meet others in a stated share of its prefix.
+
+Equal sets are one node, so copies cost one row each. Links are emitted only between groups
+that were apart, never all pairs of a region. No text or set goes to the driver. Shingles are
+64-bit hashes, so the result is exact up to a chance of 2^-64 for each pair of shingles.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing.
-Rows of equal id are separate documents of that id. A null id counts as the smallest; a group
-of null ids alone has a null component. An empty table gives an empty result. Only id and
-text are used, so other columns cannot clash.
+Very long texts are read whole; one set travels as one value. Rows of equal id are separate
+documents of that id, repeated rows too; ties of pivots are broken by hash and row. Any type
+of id will do; a null id counts as the smallest, and a group of null ids alone has a null
+component. An empty table gives an empty result. Only id and text are used, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -46,8 +62,15 @@ ENTRIES = 1 << 20
 #: Row numbers of one partition share all bits above these; no place in a partition is NOBODY.
 BLOCK_BITS = 31
 NOBODY = (1 << 32) - 1
-#: Regions of so many strangers at most take each of them as a pivot in the next round.
-SMALL = 256
+#: Members, and entries of their sets, of a region or tile that one task joins.
+CELL = 1024
+CELL_ENTRIES = 1 << 20
+#: Steps after which windows with many strangers are joined in tiles.
+DEEP = 5
+#: So many distances to earlier pivots are kept for each task's region.
+KEPT = 8
+#: Wanted texts up to this number are found by a broadcast of their keys and prints, 32 bytes each; beyond it texts are shuffled.
+BROADCAST_KEYS = 1 << 20
 
 
 def _least(n: int, sim: tuple[int, int]) -> int:
@@ -60,17 +83,23 @@ def _spare(n: int) -> int:
     return n // 20
 
 
+def _content_key(id_col: Column, text: Column) -> Column:
+    """Finds a row's text again. Many rows of one id, null ids among them, have different keys, and so have copies of one text."""
+    return F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("")), text)
+
+
 def _describe(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int], row: Column) -> DataFrame:
-    """(row, id, n, node, entries) of every row; node: the print of its set, entries: its prefix."""
-    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), whole_text(text_col).alias("text"))
+    """(row, id, key, n, node, entries) of every row; node: the print of its set, entries: its prefix."""
+    text = whole_text(text_col)
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), _content_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), width)
             prefixes = [s[: len(s) - _least(len(s), sim) + 1 + _spare(len(s))].tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_print, sets), pa.binary()), pa.array(prefixes, pa.binary())], ["row", "id", "n", "node", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_print, sets), pa.binary()), pa.array(prefixes, pa.binary())], ["row", "id", "key", "n", "node", "entries"])
 
-    return rows.mapInArrow(run, "row bigint, id bigint, n bigint, node binary, entries binary")
+    return rows.mapInArrow(run, f"row bigint, id {rows.schema['id'].dataType.simpleString()}, key bigint, n bigint, node binary, entries binary")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,29 +226,33 @@ def _summed(hits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, n, entries) of each node in reps(id, node), from the texts."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("of_id"), whole_text(text_col).alias("text"))
-    rows = texts.join(reps, F.col("of_id").eqNullSafe(F.col("id"))).select("node", "text")
+    """(rid, n, entries) of each node in reps(node, rid, key), from the texts."""
+    text = whole_text(text_col)
+    texts = docs.select(_content_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
+    few = (known := reps.count()) <= BROADCAST_KEYS
+    rows = texts.join(F.broadcast(reps) if few else reps, "key").select("rid", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 1 << 20, 256):
             sets = shingle_sets(batch.column("text"), width)
-            same = [(node, s) for node, s in zip(batch.column("node").to_pylist(), sets, strict=True) if set_print(s) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in same], pa.binary()), pa.array([len(x[1]) for x in same], pa.int64()), pa.array([x[1].tobytes() for x in same], pa.binary())], ["node", "n", "entries"])
+            same = [(rid, s) for rid, node, s in zip(batch.column("rid").to_pylist(), batch.column("node").to_pylist(), sets, strict=True) if set_print(s) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in same], pa.int64()), pa.array([len(x[1]) for x in same], pa.int64()), pa.array([x[1].tobytes() for x in same], pa.binary())], ["rid", "n", "entries"])
 
-    return rows.mapInArrow(run, "node binary, n bigint, entries binary")
+    sets = materialise(rows.mapInArrow(run, "rid bigint, n bigint, entries binary"), "join-sets")
+    # Fully repeated rows are found as often as they are repeated.
+    return sets if sets.count() == known else materialise(sets.dropDuplicates(["rid"]), "join-sets")
 
 
-def _unpacked(sets: DataFrame) -> DataFrame:
-    """(node, n, shingles) with the entries as an array of signed numbers."""
+def _shingles(members: DataFrame) -> DataFrame:
+    """(g, rid, n, core, s) for each shingle of members(g, rid, n, core, entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum([0, *batch.column("n").to_pylist()]).astype(np.int32)
-            values = np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "n", "shingles"])
+        for batch in text_slices(batches, "entries"):
+            n = batch.column("n").to_numpy()
+            keys = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in ("g", "rid", "n", "core")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.int64))], ["g", "rid", "n", "core", "s"])
 
-    return sets.select("node", "n", "entries").mapInArrow(run, "node binary, n bigint, shingles array<bigint>")
+    return members.select("g", "rid", "n", "core", "entries").mapInArrow(run, "g bigint, rid bigint, n bigint, core boolean, s bigint")
 
 
 def _shared_ok(shared: Column, a: Column, b: Column, sim: tuple[int, int]) -> Column:
@@ -227,13 +260,130 @@ def _shared_ok(shared: Column, a: Column, b: Column, sim: tuple[int, int]) -> Co
     return shared * sim[1] >= (a + b - shared) * sim[0]
 
 
-def _live(sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """(node, n, s, df, u) of shingles that several of the sets hold, for nodes with enough of them to link."""
-    held = sets.select("node", "n", F.explode("shingles").alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    live = held.join(often, "s")
-    keep = live.groupBy("node").agg(F.count("*").alias("u"), F.max("n").alias("m"), F.sum("df").alias("weight")).where(F.col("u") * sim[1] >= F.col("m") * sim[0])
-    return live.join(keep.drop("m"), "node")
+def _regions(members: DataFrame, depth: int, sim: tuple[int, int]) -> DataFrame:
+    """(g, pivot, rid, n, core, own) of the regions within each region of members(g, rid, n, core, own, entries).
+
+    core: the member lives there and has to find its links; the others are border documents.
+    """
+    held = _shingles(members)
+    rank = F.struct(F.xxhash64("rid", F.lit(depth)).alias("order"), "rid")
+    stood = held.groupBy("g", "s").agg(F.count("*").alias("holders"), F.min(F.when(F.col("core"), rank)).alias("first")).where("holders > 1 AND first IS NOT NULL")
+    live = held.join(stood.select("g", "s", F.col("first.rid").alias("pivot")), ["g", "s"])
+    counts = live.groupBy("g", "rid", "n", "core", "pivot").agg(F.count("*").alias("c"))
+    nearest = Window.partitionBy("g", "rid").orderBy(F.col("c").desc(), "pivot")
+    least = F.ceil(F.col("n") * sim[0] / sim[1])
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(nearest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("live", F.sum("c").over(Window.partitionBy("g", "rid")))
+    counts = counts.where(F.col("live") >= least).withColumn("lives", F.col("core") & (F.col("before") <= F.col("n") - least))
+    counts = materialise(counts.select("g", "pivot", "rid", "n", "c", "lives"), "join-counts")
+    asks = F.greatest(F.lit(1), F.col("c") - (F.col("n") - least))
+    homes = counts.where("lives").groupBy("g", "pivot").agg(F.min(asks).alias("asked"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    sized = (F.col("n") * sim[1] >= F.col("smallest") * sim[0]) & (F.col("n") * sim[0] <= F.col("largest") * sim[1])
+    near = counts.join(homes, ["g", "pivot"]).where(F.col("lives") | ((F.col("c") >= F.col("asked")) & sized))
+    return near.select(F.xxhash64("g", "pivot", F.lit(depth)).alias("g"), "pivot", "rid", "n", F.col("lives").alias("core"))
+
+
+def _ball(region: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Adds shared, the shingles shared with the pivot, to region(g, pivot, rid, ..., tasks, entries); the pivot's set is copied to as many salts as the region has tasks."""
+    salts = F.greatest(F.lit(1), F.col("tasks")).cast("int")
+    dealt = region.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int"))
+    pivots = region.select("g", "pivot", "tasks").distinct().join(sets.select(F.col("rid").alias("pivot"), F.col("n").alias("p_n"), F.col("entries").alias("p_entries")), "pivot")
+    pivots = pivots.select("g", "p_n", "p_entries", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "entries"):
+            shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("entries").to_pylist(), batch.column("p_entries").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g", "pivot", "rid", "n", "p_n", "core", "own")], pa.array(shared, pa.int64())], ["g", "pivot", "rid", "n", "p_n", "core", "own", "shared"])
+
+    return dealt.join(pivots, ["g", "salt"]).select("g", "pivot", "rid", "n", "p_n", "core", "own", "entries", "p_entries").mapInArrow(run, "g bigint, pivot bigint, rid bigint, n bigint, p_n bigint, core boolean, own bigint, shared bigint")
+
+
+def _windows(measured: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """(g, rid, n, core, own) of overlapping windows of distance to the pivot, for measured(..., near)."""
+    radius = 1 - sim[0] / sim[1]
+    away = 1 - F.col("shared") / (F.col("n") + F.col("p_n") - F.col("shared"))
+    # A hair wider than the radius, so that rounding loses nothing.
+    band = F.floor(away / (radius * 1.0000001)).cast("int")
+    strange = F.col("core") & ~F.col("near")
+    cut = measured.select(F.explode(F.array(band, band + 1)).alias("window"), "g", "rid", "n", strange.alias("core"), F.when(F.col("near"), F.col("pivot")).otherwise(F.col("own")).alias("own"))
+    return cut.select(F.xxhash64("g", "window").alias("g"), "rid", "n", "core", "own")
+
+
+def join_region(rids: np.ndarray, sizes: np.ndarray, core: np.ndarray, own: np.ndarray, sets: list[np.ndarray], pivot: int, sim: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between the groups of one region: every core member meets all others that could link with it and are not yet connected with it.
+
+    `own` names groups that are connected beforehand. Each member that has met the others is a
+    pivot for the rest: what is farther from or nearer to it by more than the radius cannot link.
+    """
+    k = len(rids)
+    group = np.unique(own, return_inverse=True)[1]
+    met = np.zeros(k, bool)
+    radius = (1 - sim[0] / sim[1]) * 1.0000001
+    away: list[np.ndarray] = []
+    links = []
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    whole = np.concatenate(sets) if k else np.empty(0, np.uint64)
+    order = np.flatnonzero(core)
+    first = np.flatnonzero(rids == pivot)[:1]
+    for turn, i in enumerate([*first.tolist(), *order[order != (first[0] if len(first) else -1)].tolist()]):
+        ask = group != group[i]
+        if turn or k < 8:
+            ask &= ~met & (sizes * sim[1] >= sizes[i] * sim[0]) & (sizes * sim[0] <= sizes[i] * sim[1])
+            for v in away:
+                if not np.isnan(v[i]):
+                    ask &= ~(np.abs(v - v[i]) > radius)
+        met[i] = True
+        to = np.flatnonzero(ask)
+        if not len(to):
+            continue
+        if len(to) * 2 < k:
+            values = np.concatenate([whole[starts[j] : starts[j + 1]] for j in to.tolist()])
+            lengths = sizes[to]
+        else:
+            to, values, lengths = np.arange(k), whole, sizes
+        mine = sets[i]
+        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+        shared = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+        union = sizes[i] + sizes[to] - shared
+        if len(away) < KEPT:
+            v = np.full(k, np.nan)
+            v[to] = 1 - shared / union
+            away.append(v)
+        near = to[(shared * sim[1] >= union * sim[0]) & ask[to]]
+        for j in near[np.unique(group[near], return_index=True)[1]].tolist():
+            links.append((int(rids[i]), int(rids[j])))
+            group[group == group[j]] = group[i]
+    return links
+
+
+def _join_tasks(dealt: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """(a, b) links of dealt(task, pivot, rid, n, core, own, entries): each task's rows are one region or tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def join(rows: list[tuple]) -> list[tuple[int, int]]:
+            pivots, rids, sizes, core, own, sets = zip(*rows, strict=True)
+            return join_region(np.array(rids), np.array(sizes), np.array(core), np.array(own), [np.frombuffer(x, np.uint64) for x in sets], pivots[0], sim)
+
+        now, rows = None, []
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            for task, *row in zip(*[batch.column(c).to_pylist() for c in ("task", "pivot", "rid", "n", "core", "own", "entries")], strict=True):
+                if task != now and rows:
+                    links += join(rows)
+                    rows = []
+                now = task
+                rows.append(row)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+                links = []
+        if rows:
+            links += join(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    return dealt.select("task", "pivot", "rid", "n", "core", "own", "entries").repartition("task").sortWithinPartitions("task", "rid").mapInArrow(run, "a bigint, b bigint")
+
+
+def _tasks(count: str, entries: str, cell: int, cell_entries: int) -> Column:
+    return F.ceil(F.greatest(F.col(count) / cell, F.col(entries) / cell_entries)).cast("int")
 
 
 def _ranges(described: DataFrame) -> int:
@@ -242,96 +392,63 @@ def _ranges(described: DataFrame) -> int:
     return max(4 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES)
 
 
-def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
-    """(node, label): nodes that may have links; equal labels for those that links connect."""
-    met = _met(described, _ranges(described)).join(described.select("row", "id", "n", "node"), "row")
-    asked = 1 + F.floor(F.ceil(F.col("n") * sim[0] / sim[1]) / 20)
-    reps = met.where(F.col("met") >= asked).groupBy("node").agg(F.min("id").alias("id"))
-    # Rows of one id may hold the same text: equal nodes are equal sets, so any one stands for them.
-    whole = materialise(_sets_of(docs, reps, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()), "join-sets")
-    own = whole.groupBy("node").agg(F.min("row").alias("row"))
-    whole = whole.join(own, ["node", "row"], "left_semi") if whole.count() > own.count() else whole
-    enough = _met(whole, _ranges(whole)).join(whole.select("row", "n"), "row").where(F.col("met") * sim[1] >= F.col("n") * sim[0])
-    sets = materialise(_unpacked(whole.join(enough.select("row"), "row", "left_semi")), "join-sets")
-    # Counted once more, among the documents that passed.
-    live = materialise(_live(sets, sim), "join-live")
-    nodes = live.groupBy("node").agg(F.max("n").alias("n"), F.max("u").alias("u"), (F.max("weight") / F.max("n")).alias("central"))
-    nodes = materialise(nodes, "join-nodes")
-
-    # Regions: the live entries of each prefix, rarest first. Shingles that nobody shares come first of all and take their places.
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
-    regions = live.withColumn("nth", nth).where(F.col("nth") <= F.col("u") - F.ceil(F.col("n") * sim[0] / sim[1]) + 1).select(F.col("s").alias("g"), "node", F.col("u").alias("inside"), F.col("u").alias("outside"))
-    labels = nodes.select("node", F.col("node").alias("label"))
-    found: DataFrame | None = None
+def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell_entries: int = CELL_ENTRIES, deep: int = DEEP) -> DataFrame:
+    """(a, b) links between rows of sets(rid, n, entries) that connect whatever all links connect."""
+    members = sets.select(F.lit(0).cast("bigint").alias("g"), "rid", "n", F.lit(True).alias("core"), F.col("rid").alias("own"), "entries")
+    found: list[DataFrame] = []
     depth = 0
     while True:
-        able = materialise(_able(regions.join(nodes, "node").join(labels, "node"), sim), "join-regions")
-        if able.isEmpty():
-            return labels
-        # Pivots are the most central members of buckets. At first each region has one; then those of other groups than
-        # the region's largest are dealt into buckets, since a region ends when they have met all its members.
-        buckets = F.when(F.col("strangers") <= SMALL, F.lit(1 << 20)).otherwise(F.greatest(F.lit(SMALL), F.ceil(F.sqrt("strangers"))))
-        bucket = F.pmod(F.xxhash64("node", F.lit(depth)), buckets.cast("bigint")) if depth else F.lit(0)
-        stood = able.where("label <> major") if depth else able
-        pivots = stood.groupBy("g", bucket.alias("bucket")).agg(F.max(F.struct("central", "node", "n", "u", "label", "inside", "outside")).alias("p")).select("g", "p.*")
-        pivots = materialise(pivots.toDF("g", "p_central", "pivot", "p_n", "p_u", "p_label", "p_inside", "p_outside"), "join-pivots")
-        pairs = able.join(pivots.drop("p_central"), "g").where(F.col("label") != F.col("p_label"))
-        most = F.least(F.col("u"), F.col("p_u"), F.least("inside", "p_inside") + F.least("outside", "p_outside"))
-        pairs = pairs.where(_shared_ok(most, F.col("n"), F.col("p_n"), sim))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        measured = materialise(_measure(pairs, sets), "join-measured")
-        near = measured.where(_shared_ok(F.col("shared"), F.col("n_a"), F.col("n_b"), sim)).select("a", "b")
-        found = near if found is None else found.unionByName(near)
-        labels = connected(labels, found)
-        # Pivots have met their whole region and leave it; at depth 0 the others are cut into windows of distance to the pivot.
-        regions = able.select("g", "node", "u", "inside", "outside").join(pivots.select("g", F.col("pivot").alias("node")), ["g", "node"], "left_anti")
-        regions = regions.drop("u") if depth else _windows(regions, pivots, measured, sim)
+        regions = _regions(members, depth, sim)
+        if depth:
+            # `own` stays with the member inside the region that it comes from.
+            own = members.groupBy("rid").agg(F.min("own").alias("own"))
+            regions = regions.join(own, "rid")
+        else:
+            regions = regions.withColumn("own", F.col("rid"))
+        regions = materialise(regions, "join-regions")
+        sizes = regions.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max("core").alias("asks")).where("k > 1 AND asks")
+        sizes = sizes.withColumn("tasks", _tasks("k", "size", cell, cell_entries)).drop("asks")
+        sized = materialise(regions.join(sizes, "g").join(sets.select("rid", "entries"), "rid"), "join-sized")
+        small = sized.where("tasks = 1").withColumn("task", F.col("g"))
+        found.append(materialise(_join_tasks(small, sim), "join-links"))
+        large = sized.where("tasks > 1")
+        if large.isEmpty():
+            break
+        near = _shared_ok(F.col("shared"), F.col("n"), F.col("p_n"), sim)
+        measured = materialise(_ball(large, sets, sim).withColumn("near", near), "join-measured")
+        found.append(measured.where("near AND rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
+        windows = _windows(measured, sim)
+        stats = windows.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.count_if("core").alias("strangers"), F.sum(F.when(F.col("core"), F.col("n"))).alias("strange")).where("strangers > 0 AND k > 1")
+        windows = materialise(windows.join(stats, "g").join(sets.select("rid", "entries"), "rid"), "join-windows")
+        few = F.lit(depth + 1 >= deep) | (_tasks("strangers", "strange", cell, cell_entries) <= 1)
+        tiled = windows.where(few).withColumn("rows", _tasks("strangers", "strange", cell, cell_entries)).withColumn("columns", _tasks("k", "size", cell, cell_entries)).withColumn("h", F.xxhash64("rid", F.lit(-1)))
+        # Tile (i, j): strangers of row i, asking, and members of column j.
+        asking = tiled.where("core").select("g", "rid", "n", "core", "own", "entries", F.pmod("h", F.col("rows")).alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"))
+        asked = tiled.select("g", "rid", "n", F.lit(False).alias("core"), "own", "entries", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(F.shiftright("h", 20), F.col("columns")).alias("j"))
+        tiles = asking.unionByName(asked).withColumn("task", F.xxhash64("g", "i", "j")).withColumn("pivot", F.lit(-1).cast("bigint"))
+        found.append(materialise(_join_tasks(tiles, sim), "join-links"))
+        members = windows.where(~few).select("g", "rid", "n", "core", "own", "entries")
+        if members.isEmpty():
+            break
         depth += 1
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
 
 
-def _able(members: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Members of regions that have several groups, if they could still link to another group's member.
-
-    `inside` and `outside` bound what a member shares with others: of two members' common
-    shingles, those in the region's first pivot are at most the smaller `inside`, the others at
-    most the smaller `outside`. Adds size, strangers (members outside the largest group) and major.
-    """
-    by_label = members.groupBy("g", "label").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("inside").alias("inside"), F.max("outside").alias("outside"))
-    # Two labels' extremes are enough to know, for each label, the extreme among all others.
-    ends = by_label.groupBy("g").agg(
-        F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.min("label").alias("one"), F.max("label").alias("other"), F.min("n").alias("smallest"), F.max(F.struct("inside", "label")).alias("in1"), F.max(F.struct("outside", "label")).alias("out1")
-    ).where("one <> other")
-    second = by_label.join(ends, "g").groupBy("g").agg(F.max(F.when(F.col("label") != F.col("in1.label"), F.col("inside"))).alias("in2"), F.max(F.when(F.col("label") != F.col("out1.label"), F.col("outside"))).alias("out2"))
-    known = members.join(ends.join(second, "g"), "g")
-    inside = F.least("inside", F.when(F.col("label") == F.col("in1.label"), F.col("in2")).otherwise(F.col("in1.inside")))
-    outside = F.least("outside", F.when(F.col("label") == F.col("out1.label"), F.col("out2")).otherwise(F.col("out1.outside")))
-    partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * sim[0] / sim[1]))
-    known = known.where(_shared_ok(F.least(F.col("u"), inside + outside), F.col("n"), partner, sim))
-    return known.select("g", "node", "n", "u", "central", "label", "inside", "outside", "size", (F.col("size") - F.col("top.k")).alias("strangers"), F.col("top.label").alias("major"))
-
-
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, shared) of pairs(a, b)."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("bigint").alias("shared"))
-
-
-def _windows(regions: DataFrame, pivots: DataFrame, measured: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Regions cut by distance to their pivot into overlapping windows, with what each member shares with the pivot.
-
-    Members that were not measured, as they cannot link to the pivot, stay in all windows.
-    """
-    radius = 1 - sim[0] / sim[1]
-    last = int(1 / radius) + 1
-    away = measured.select("a", "b", "shared", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
-    asked = regions.join(pivots.select("g", "pivot"), "g").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
-    # A hair wider than the radius, so that rounding loses nothing.
-    band = F.floor(F.col("d") / (radius * 1.0000001)).cast("int")
-    spots = F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(band, band + 1))
-    kept = asked.join(away, ["a", "b"], "left").select("pivot", "node", F.coalesce("shared", "inside").alias("inside"), F.when(F.col("shared").isNull(), F.col("outside")).otherwise(F.col("u") - F.col("shared")).alias("outside"), F.explode(spots).alias("window"))
-    # Regions of one pivot become its Voronoi region: the same members met it in many of them.
-    return kept.select(F.xxhash64("pivot", "window").alias("g"), "node", "inside", "outside").dropDuplicates(["g", "node"])
+def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
+    """(node, label): nodes that have links; equal labels for those that links connect."""
+    met = _met(described, _ranges(described)).join(described.select("row", "key", "n", "node"), "row")
+    asked = 1 + F.floor(F.ceil(F.col("n") * sim[0] / sim[1]) / 20)
+    # Rows of one node have equal sets, so any one stands for them.
+    reps = met.where(F.col("met") >= asked).groupBy("node").agg(F.min(F.struct("row", "key")).alias("one"))
+    reps = materialise(reps.select("node", F.col("one.row").alias("rid"), F.col("one.key").alias("key")), "join-reps")
+    sets = _sets_of(docs, reps, id_col, text_col, width)
+    links = materialise(links_of(sets, sim).where("a <> b").distinct(), "join-links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    labels = connected(ends.withColumn("label", F.col("node")), links)
+    return reps.join(labels.toDF("rid", "label"), "rid").select("node", "label")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int], row: Column) -> DataFrame:
