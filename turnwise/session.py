@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "turnwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,26 +30,47 @@ def get_spark(app: str = "turnwise", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share, named in spark.checkpoint.dir.
+
+    Where that is unset, a local folder serves a session whose executors are threads of the
+    driver (tests); on a cluster it would lose results, so the job fails instead.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/turnwise-{os.getuid()}"
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/turnwise-{os.getuid()}"
+
+
+#: Paths written inside the innermost `scratch` block.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("turnwise_written", default=None)
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes inside the block are deleted at its end, but for those that it was told to keep."""
+    paths: list[str] = []
+    token = _WRITTEN.set(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     The lineage ends there: a lost executor costs a re-read, never a recomputation of
-    what produced df, and later jobs see the same rows in the same blocks.
+    what produced df, and later jobs see the same rows in the same blocks. `keep`: the
+    table outlives the `scratch` block, as it is the block's result.
     """
     path = f"{shared_dir(df.sparkSession)}/turnwise/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    paths = _WRITTEN.get()
+    if paths is not None and not keep:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def keyed(docs: DataFrame, tag: str) -> DataFrame:
-    """(row, doc) of every row: a written key, and the row as one column, so that none of its names can clash.
-
-    What is decided on a row comes back to that row alone, whatever other rows have its id.
-    """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole), tag)
