@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, node string, size int, row int, __times int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, node string, size int, row int, __times int, gone int, __gone int, of_id int, of_key int, key int, doc int, stays int, times int, sha256 int, of_sha256 int, rows int"
 
 
 def words(rng: random.Random, n: int) -> list[str]:
@@ -23,8 +23,8 @@ def rows() -> list[tuple]:
     texts.append(" ".join(base[:60] + words(rng, 60)))
     texts.append(" ".join(words(rng, 30_000)))
     texts += [" ".join(words(rng, rng.randint(1, 200))) for _ in range(20)]
-    out = [(i, t, "en", None if i % 7 == 0 else f"src{i % 4}", len(t or ""), -i, "x", 1, 2, 3) for i, t in enumerate(texts)]
-    return [*out, out[7], (None, "no id", "en", "src1", 5, 0, "x", 1, 2, 3)]
+    out = [(i, t, "en", None if i % 7 == 0 else f"src{i % 4}", len(t or ""), -i, "x", 1, 2, 3, *range(11)) for i, t in enumerate(texts)]
+    return [*out, out[7], (None, "no id", "en", "src1", 5, 0, "x", 1, 2, 3, *range(11))]
 
 
 def frame(spark):

@@ -9,12 +9,16 @@ Rows of one fingerprint are then compared with the group's representative (its l
 chunk by chunk. Of a large group, the representative's chunks are copied to as many salts as
 the group needs, so that no task gets a whole group. Rows that differ from it form the next
 round's groups, until none differs, so a collision costs a round and never a wrong merge.
-Texts travel only where a fingerprint repeats.
+What is decided on rows comes back to them by id and digest. The written table of rows to
+compare is broadcast where Spark finds it small; then texts travel only where a fingerprint
+repeats, and else all texts are shuffled once.
 
 Defined results: null counts as empty; all empty texts are one group. Of fully repeated rows
 (same id, same text) each is returned, and all of them are kept or none, as the id decides.
-An empty table gives an empty result. Only id and text are used, so other columns cannot
-clash. A null id is ordered below all others. `distinct_documents` keeps one row of each group.
+Very long texts are cut into segments and chunks. An empty table gives an empty result. Any
+type of id will do, and a null id is ordered below all others. Only id and text are used, so
+other columns cannot clash. `distinct_documents` keeps one row of each group: of rows with
+equal id and text that differ in other columns, any one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from turnwise.llm.text import text_slices, whole_text
-from turnwise.session import keyed, materialise
+from turnwise.session import materialise, scratch
 
 # The largest primes below 2^31 and four bases.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -91,92 +95,108 @@ def _hash_rows(df: DataFrame, keep: str, primes: tuple[int, ...], bases: tuple[i
     return df.mapInArrow(run, f"{keep}, h array<bigint>")
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, key_col: str | None = None) -> DataFrame:
-    """(id, n_bytes, sha256, h, of_row) of every row; of_row: its key_col, null without one."""
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES) -> DataFrame:
+    """(id, n_bytes, sha256, h) of every row."""
     text = whole_text(text_col)
-    of_row = F.col(f"`{key_col}`") if key_col else F.lit(None)
-    rows = docs.select(of_row.cast("bigint").alias("of_row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("sha256")).withColumn("n_bytes", F.octet_length("bytes").cast("bigint"))
-    short = _hash_rows(rows.where(F.col("n_bytes") <= segment_bytes), "of_row bigint, id bigint, n_bytes bigint, sha256 string", primes, bases)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("sha256")).withColumn("n_bytes", F.octet_length("bytes").cast("bigint"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    short = _hash_rows(rows.where(F.col("n_bytes") <= segment_bytes), f"id {id_type}, n_bytes bigint, sha256 string", primes, bases)
     cut = F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / segment_bytes).cast("int"))
     long = rows.where(F.col("n_bytes") > segment_bytes).withColumn("row", F.monotonically_increasing_id()).withColumn("seg", F.explode(cut))
-    long = long.select("row", "of_row", "id", "n_bytes", "sha256", "seg", F.substring(F.col("bytes"), F.col("seg") * segment_bytes + 1, F.lit(segment_bytes)).alias("bytes")).repartition("sha256", "seg")
-    hashed = _hash_rows(long, "row bigint, of_row bigint, id bigint, n_bytes bigint, sha256 string, seg int", primes, bases)
+    long = long.select("row", "id", "n_bytes", "sha256", "seg", F.substring(F.col("bytes"), F.col("seg") * segment_bytes + 1, F.lit(segment_bytes)).alias("bytes")).repartition("sha256", "seg")
+    hashed = _hash_rows(long, f"row bigint, id {id_type}, n_bytes bigint, sha256 string, seg int", primes, bases)
     # H of the whole = sum over segments of H(segment) * r^(bytes after it): a commutative sum, so it combines map-side.
     after = F.greatest(F.col("n_bytes") - (F.col("seg") + 1) * segment_bytes, F.lit(0))
-    shifted = _shift(hashed.withColumn("after", after), primes, bases)
+    shifted = _shift(hashed.withColumn("after", after), id_type, primes, bases)
     sums = [(F.sum(F.col("h")[i]) % p).alias(f"h{i}") for i, p in enumerate(primes)]
-    joined = shifted.groupBy("row", "of_row", "id", "n_bytes", "sha256").agg(*sums)
-    joined = joined.select("of_row", "id", "n_bytes", "sha256", F.array(*[F.col(f"h{i}") for i in range(len(primes))]).alias("h"))
+    joined = shifted.groupBy("row", "id", "n_bytes", "sha256").agg(*sums)
+    joined = joined.select("id", "n_bytes", "sha256", F.array(*[F.col(f"h{i}") for i in range(len(primes))]).alias("h"))
     return short.unionByName(joined)
 
 
-def _shift(df: DataFrame, primes: tuple[int, ...], bases: tuple[int, ...]) -> DataFrame:
+def _shift(df: DataFrame, id_type: str, primes: tuple[int, ...], bases: tuple[int, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [[x * pow(r, n, p) % p for x, r, p in zip(part, bases, primes, strict=True)] for part, n in zip(b.column("h").to_pylist(), b.column("after").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("row", "of_row", "id", "n_bytes", "sha256")], pa.array(h, pa.list_(pa.int64()))], ["row", "of_row", "id", "n_bytes", "sha256", "h"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("row", "id", "n_bytes", "sha256")], pa.array(h, pa.list_(pa.int64()))], ["row", "id", "n_bytes", "sha256", "h"])
 
-    return df.mapInArrow(run, "row bigint, of_row bigint, id bigint, n_bytes bigint, sha256 string, h array<bigint>")
+    return df.mapInArrow(run, f"row bigint, id {id_type}, n_bytes bigint, sha256 string, h array<bigint>")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    out = _grouped(docs, id_col, text_col, segment_bytes, primes, bases, salt_rows)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    with scratch(docs.sparkSession):
+        prints, groups = _grouped(docs, id_col, text_col, segment_bytes, primes, bases, salt_rows)
+        alone = prints.select("id", "sha256").join(groups.select(F.col("id").alias("of_id"), F.col("sha256").alias("of_sha256"), "keep_id", "group_size"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256")), "left")
+        keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+        out = alone.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256"))
+        return materialise(out, "dedup-result", keep=True)
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, primes: tuple[int, ...] = PRIMES, bases: tuple[int, ...] = BASES, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row of each group of equal texts, with the largest id; all columns are kept."""
-    whole = keyed(docs, "dedup-rows")
-    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
-    gone = _grouped(read, "id", "text", segment_bytes, primes, bases, salt_rows, "row").where("of_row <> keep_row").select(F.col("of_row").alias("row"))
-    return whole.join(gone, "row", "left_anti").select("doc.*")
-
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int, primes: tuple[int, ...], bases: tuple[int, ...], salt_rows: int, key_col: str | None = None) -> DataFrame:
-    """(of_row, id, sha256, keep_id, group_size, keep_row) of every row; keep_row: of the group's rows with keep_id the first."""
-    prints = fingerprint(docs, id_col, text_col, segment_bytes, primes, bases, key_col)
+    with scratch(docs.sparkSession):
+        _, groups = _grouped(docs, id_col, text_col, segment_bytes, primes, bases, salt_rows)
+        marks = groups.select("id", "sha256", F.col("id").eqNullSafe(F.col("keep_id")).alias("stays"), "times").where("times > 1 OR NOT stays")
+        marks = materialise(marks.toDF("of_id", "of_sha256", "stays", "times"), "dedup-marks", keep=True)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("id"), F.sha2(whole_text(text_col), 256).alias("sha256"))
+    is_marked = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256"))
+    unmarked = rows.join(marks, is_marked, "left_anti").select("doc")
+    # Rows with equal id and text: one of them stays.
+    repeated = rows.join(marks.where("stays"), is_marked).groupBy("id", "sha256").agg(F.first("doc").alias("doc")).select("doc")
+    return unmarked.unionByName(repeated).select("doc.*")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int, primes: tuple[int, ...], bases: tuple[int, ...], salt_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, sha256, key) of every row, and (id, sha256, keep_id, group_size, times) of every id and digest whose text several rows have; times: so many rows have both."""
+    prints = fingerprint(docs, id_col, text_col, segment_bytes, primes, bases)
     key = F.concat_ws("-", F.col("n_bytes").cast("string"), F.array_join(F.transform("h", lambda x: x.cast("string")), "-"))
-    prints = materialise(prints.select("of_row", "id", "sha256", key.alias("key")), "dedup-prints")
-    repeated = prints.groupBy("key").agg(F.max("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    pending = prints.join(repeated, "key").select("id", "sha256", "key", "rep", "n").distinct()
-    text = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.encode(whole_text(text_col), "UTF-8").alias("bytes"), F.sha2(whole_text(text_col), 256).alias("sha256"))
-    settled = None
+    prints = materialise(prints.select("id", "sha256", key.alias("key")), "dedup-prints")
+    # Rows of one id and digest are one candidate from here on.
+    known = prints.groupBy("id", "sha256", "key").agg(F.count("*").alias("times"))
+    # Small tables are written before they meet a hot key: then they are broadcast, or the join's own shuffle can be split.
+    repeated = materialise(prints.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "dedup-repeated")
+    known = materialise(known.join(repeated, "key"), "dedup-known")
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.encode(whole_text(text_col), "UTF-8").alias("bytes"), F.sha2(whole_text(text_col), 256).alias("sha256"))
+    pending, settled = known.select("id", "sha256", "key"), None
     while True:
-        judged = materialise(_compare(materialise(pending, "dedup-pending"), text, segment_bytes, salt_rows), "dedup-judged")
-        same = judged.where("same").select("id", "sha256", "key", "rep")
+        judged = _compare(_led(pending), text, segment_bytes, salt_rows)
+        same = judged.where("same").select("id", "sha256", "key", "rep", "lead")
         settled = same if settled is None else settled.unionByName(same)
-        differ = judged.where("NOT same").select("id", "sha256", "key")
-        if differ.isEmpty():
+        pending = judged.where("NOT same").select("id", "sha256", "key")
+        if pending.isEmpty():
             break
-        again = differ.groupBy("key").agg(F.max("id").alias("rep"), F.count("*").alias("n"))
-        pending = differ.join(again, "key")
-    settled = settled.toDF("set_id", "set_sha256", "set_key", "rep")
-    same = F.col("id").eqNullSafe(F.col("set_id")) & (F.col("sha256") == F.col("set_sha256")) & (F.col("key") == F.col("set_key"))
-    grouped = prints.join(settled, same, "left").select("of_row", "id", "sha256", "key", F.coalesce("rep", "id").alias("keep_id"))
-    # Equal texts have one digest, which parts texts of one fingerprint whose representatives share an id.
-    first = F.min(F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.col("of_row")))
-    sizes = grouped.groupBy(F.col("key").alias("of_key"), F.col("sha256").alias("of_sha256"), F.col("keep_id").alias("of_keep")).agg(F.count("*").alias("group_size"), first.alias("keep_row"))
-    out = grouped.join(sizes, (F.col("key") == F.col("of_key")) & (F.col("sha256") == F.col("of_sha256")) & F.col("keep_id").eqNullSafe(F.col("of_keep")))
-    return out.select("of_row", "id", "sha256", "keep_id", "group_size", "keep_row")
+    # A group is named by its representative: the id and, as that may have several texts, the digest.
+    settled = settled.toDF("set_id", "set_sha256", "key", "rep", "lead")
+    grouped = known.withColumnRenamed("key", "of_key").join(settled, F.col("id").eqNullSafe(F.col("set_id")) & (F.col("sha256") == F.col("set_sha256")) & (F.col("of_key") == F.col("key")))
+    grouped = materialise(grouped.select("id", "sha256", "times", "key", "rep", "lead"), "dedup-grouped")
+    sizes = materialise(grouped.groupBy("key", "rep", "lead").agg(F.sum("times").alias("group_size")).toDF("k", "r", "l", "group_size"), "dedup-sizes")
+    out = grouped.join(sizes, (F.col("key") == F.col("k")) & F.col("rep").eqNullSafe(F.col("r")) & (F.col("lead") == F.col("l")))
+    return prints, materialise(out.select("id", "sha256", F.col("rep").alias("keep_id"), "group_size", "times"), "dedup-groups")
+
+
+def _led(pending: DataFrame) -> DataFrame:
+    """Adds rep, lead and n to pending(id, sha256, key): a key's largest id, of that the largest digest, and its number of rows."""
+    best = F.max(F.struct(F.col("id").isNotNull().alias("named"), "id", "sha256")).alias("best")
+    top = pending.groupBy("key").agg(best, F.count("*").alias("n")).select("key", F.col("best.id").alias("rep"), F.col("best.sha256").alias("lead"), "n")
+    return materialise(pending.join(materialise(top, "dedup-top"), "key"), "dedup-pending")
 
 
 def _compare(pending: DataFrame, text: DataFrame, chunk_bytes: int, salt_rows: int) -> DataFrame:
-    """(id, sha256, key, rep, same): every pending row against its representative, chunk by chunk.
+    """(id, sha256, key, rep, lead, same): every pending row against its representative, chunk by chunk.
 
     A row's identity is its id and digest, so that an id used by several texts does no harm.
     Of an id that has several texts of one fingerprint, one text is the representative.
     """
     who = ["id", "sha256"]
-    lead = pending.where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("key").agg(F.min("sha256").alias("lead"))
-    pending = pending.join(lead, "key")
     is_rep = F.col("id").eqNullSafe(F.col("rep")) & (F.col("sha256") == F.col("lead"))
     cut = F.explode(F.sequence(F.lit(0), (F.greatest(F.octet_length("bytes") - 1, F.lit(0)) / chunk_bytes).cast("int")))
     part = F.substring(F.col("bytes"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
-    named = text.select(F.col("id").alias("of_id"), F.col("sha256").alias("of_sha256"), "bytes")
-    texts = pending.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256"))).drop("of_id", "of_sha256")
-    members = texts.where(~is_rep).withColumn("salt", F.pmod(F.xxhash64(*who), salts).cast("int")).withColumn("chunk", cut).select(*who, "key", "rep", "salt", "chunk", part.alias("a"))
+    asked = pending.where("n > 1").withColumnRenamed("id", "of_id").withColumnRenamed("sha256", "of_sha256")
+    texts = text.join(asked, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256"))).drop("of_id", "of_sha256")
+    members = texts.where(~is_rep).withColumn("salt", F.pmod(F.xxhash64(*who), salts).cast("int")).withColumn("chunk", cut).select(*who, "key", "rep", "lead", "salt", "chunk", part.alias("a"))
     reps = texts.where(is_rep).dropDuplicates(["key"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("chunk", cut).select("key", "salt", "chunk", part.alias("b"))
-    judged = members.join(reps, ["key", "salt", "chunk"], "left").groupBy(*who, "key", "rep").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
-    return judged.unionByName(pending.where(is_rep).select(*who, "key", "rep", F.lit(True).alias("same")))
+    judged = members.join(reps, ["key", "salt", "chunk"], "left").groupBy(*who, "key", "rep", "lead").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    return materialise(judged.unionByName(pending.where(is_rep).select(*who, "key", "rep", "lead", F.lit(True).alias("same"))), "dedup-judged")

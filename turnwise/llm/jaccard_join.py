@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnwise.llm.components import connected
 from turnwise.llm.shingles import set_print, shingle_sets
 from turnwise.llm.text import text_slices, whole_text
-from turnwise.session import keyed, materialise
+from turnwise.session import materialise, scratch
 
 WIDTH = 5
 #: The threshold as a fraction of whole numbers: intersection * SIM[1] >= union * SIM[0].
@@ -451,27 +451,35 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
     return reps.join(labels.toDF("rid", "label"), "rid").select("node", "label")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int], row: Column) -> DataFrame:
-    """(row, id, n, component, first) of every row; first: of the group's rows the one with the smallest id and row."""
-    described = materialise(_describe(docs, id_col, text_col, width, sim, row), "join-described")
-    lowest = described.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("low"))
-    merged = lowest.join(linked(docs, described, id_col, text_col, width, sim), "node")
-    merged = merged.join(merged.groupBy("label").agg(F.min("low").alias("least")), "label").select("node", "least")
-    lowest = lowest.join(merged, "node", "left").select("node", F.coalesce("least", "low").alias("low"))
-    out = described.select("row", "id", "n", "node").join(lowest, "node", "left")
-    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low.id"))
-    return out.select("row", "id", "n", alone.alias("component"), ((F.col("n") == 0) | (F.col("row") == F.col("low.row"))).alias("first"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
+    """(id, key, n, component, first) of every row; first: of the group's rows the one with the smallest id and row."""
+    described = materialise(_describe(docs, id_col, text_col, width, sim, F.monotonically_increasing_id()), "join-described")
+    lowest = described.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("low"), F.count("*").alias("rows"))
+    merged = materialise(lowest.join(linked(docs, described, id_col, text_col, width, sim), "node").select("node", "label", "low"), "join-merged")
+    least = materialise(merged.groupBy("label").agg(F.min("low").alias("least")), "join-least")
+    merged = merged.join(least, "label").select("node", "least")
+    lowest = lowest.join(merged, "node", "left").where("least IS NOT NULL OR rows > 1").select("node", F.coalesce("least", "low").alias("low"))
+    lowest = materialise(lowest, "join-lowest")
+    out = described.select("row", "id", "key", "n", "node").join(lowest, "node", "left")
+    alone = F.when(F.col("low").isNull(), F.col("id")).otherwise(F.col("low.id"))
+    return out.select("id", "key", "n", alone.alias("component"), (F.col("low").isNull() | (F.col("row") == F.col("low.row"))).alias("first"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) of every row."""
-    out = _grouped(docs, id_col, text_col, width, sim, F.monotonically_increasing_id())
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    with scratch(docs.sparkSession):
+        out = _grouped(docs, id_col, text_col, width, sim)
+        return materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "join-result", keep=True)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, sim: tuple[int, int] = SIM) -> DataFrame:
-    """One row of each group, with the smallest id; all columns are kept."""
-    whole = keyed(docs, "join-rows")
-    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
-    gone = _grouped(read, "id", "text", width, sim, F.col("row")).where("NOT first").select("row")
-    return whole.join(gone, "row", "left_anti").select("doc.*")
+    """One row of each group, with the smallest id; all columns are kept. Of rows with equal id and text that differ in other columns any one stays; documents without words all stay."""
+    with scratch(docs.sparkSession):
+        decided = _grouped(docs, id_col, text_col, width, sim).where("n > 0").groupBy("id", "key").agg(F.max("first").alias("stays"), F.count("*").alias("times"))
+        marks = materialise(decided.where("times > 1 OR NOT stays").toDF("of_id", "of_key", "stays", "times"), "join-marks", keep=True)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("id"), _content_key(F.col(f"`{id_col}`"), whole_text(text_col)).alias("key"))
+    is_marked = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+    unmarked = rows.join(marks, is_marked, "left_anti").select("doc")
+    repeated = rows.join(marks.where("stays"), is_marked).groupBy("id", "key").agg(F.first("doc").alias("doc")).select("doc")
+    return unmarked.unionByName(repeated).select("doc.*")

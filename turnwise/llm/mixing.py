@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.llm.text import WORD
-from turnwise.session import keyed, materialise
+from turnwise.session import materialise, scratch
 
 #: The golden ratio's fraction in 31 bits, made odd; cells of the unit interval; slots in a chunk.
 POINTS = 1 << 31
@@ -60,15 +60,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return per.select("source", "source_size", "weight", "nth", target.alias("target"))
 
 
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    """Finds a row again, with its id: rows of one id, null ids among them, have different keys unless text and source are equal too."""
+    return F.xxhash64(F.col(f"`{source_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`").isNull())
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    return _taken(read, weights, share, cap, block_words).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    with scratch(docs.sparkSession):
+        out = _taken(docs, weights, share, cap, block_words, id_col, text_col, source_col)
+        return materialise(out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken"), "mix-result", keep=True)
 
 
-def _taken(read: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(row, id, size, source_size, target, taken) of read(row, id, source, size)."""
-    spark = read.sparkSession
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: tuple[int, int], cap: int, block_words: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, id, key, size, source_size, target, taken) of every row."""
+    spark = docs.sparkSession
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _key(id_col, text_col, source_col).alias("key"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     sized = materialise(read.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     sources = materialise(source_targets(sized, weights, share, cap), "mix-sources")
     whole = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -90,23 +97,31 @@ def _taken(read: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[i
     takes = ranked.groupBy("nth", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
 
     # Documents to blocks: inside hash buckets, then over the buckets before.
-    known = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "id", "size", "h", F.substring("h", 1, 3).alias("bucket"), "nth", "source_size", "target")
+    known = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "id", "key", "size", "h", F.substring("h", 1, 3).alias("bucket"), "nth", "source_size", "target")
     totals = known.groupBy("nth", "bucket").agg(F.sum("size").alias("n"))
     base = totals.select("nth", "bucket", (F.sum("n").over(Window.partitionBy("nth").orderBy("bucket")) - F.col("n")).alias("base"))
     inside = Window.partitionBy("nth", "bucket").orderBy("h", "id", "size", "row")
     placed = known.withColumn("run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).join(base, ["nth", "bucket"]).withColumn("a", F.col("base") + F.col("run"))
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(a div {block_words}, (a + size - 1) div {block_words})"))
-    pieces = placed.select("row", "id", "size", "nth", "source_size", "target", "a", F.explode_outer(spans).alias("block"))
+    pieces = placed.select("row", "id", "key", "size", "nth", "source_size", "target", "a", F.explode_outer(spans).alias("block"))
     shared = F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("a"), F.col("block") * block_words)
     met = pieces.join(takes, ["nth", "block"], "left").withColumn("words", F.coalesce(shared * F.col("times"), F.lit(0)))
-    return met.groupBy("row", "id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-
-
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as documents: every row as often as it was taken, rounded to whole documents; its columns are kept."""
-    whole = keyed(docs, "mix-rows")
-    read = whole.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[source_col].alias("source"), word_count(F.col("doc")[text_col]).alias("size"))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    taken = _taken(read, **options).select("row", times.alias("times")).where("times > 0")
-    copies = whole.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select("doc.*")
+    return met.groupBy("row", "id", "key", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as documents: every row as often as it was taken, rounded to whole documents; its columns are kept.
+
+    Rows with equal id, text and source are given out as copies of one of them.
+    """
+    with scratch(docs.sparkSession):
+        times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+        taken = _taken(docs, weights, share, cap, block_words, id_col, text_col, source_col).withColumn("times", times)
+        taken = taken.groupBy("id", "key").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("rows")).where("times > 0")
+        taken = materialise(taken.toDF("of_id", "of_key", "times", "rows"), "mix-times", keep=True)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("id"), _key(id_col, text_col, source_col).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+    single = rows.join(taken.where("rows = 1"), same).select("doc", "times")
+    repeated = rows.join(taken.where("rows > 1"), same).groupBy("id", "key", "times").agg(F.first("doc").alias("doc")).select("doc", "times")
+    return single.unionByName(repeated).select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

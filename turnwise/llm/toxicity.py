@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnwise.llm.labelled import held_out, training_sample
 from turnwise.llm.text import text_slices, whole_text
-from turnwise.session import materialise
+from turnwise.session import materialise, scratch
 
 MAX_TRAIN = 10_000
 THRESHOLD = 0.7
@@ -278,7 +278,8 @@ def votes_of(rows: list[list[int]], size: int, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     sample = training_sample(docs, labels, target, max_train, id_col, text_col)
-    terms = find_terms(sample)
+    with scratch(docs.sparkSession):
+        terms = find_terms(sample)
     finder = Finder(terms)
     rows = _found(sample, terms).orderBy("id").collect()
     found, y = [r["found"] for r in rows], np.array([r["y"] for r in rows], float)
