@@ -9,9 +9,9 @@ Rows of one fingerprint are then compared with the group's representative (its l
 chunk by chunk. Of a large group, the representative's chunks are copied to as many salts as
 the group needs, so that no task gets a whole group. Rows that differ from it form the next
 round's groups, until none differs, so a collision costs a round and never a wrong merge.
-What is decided on rows comes back to them by id and digest. The written table of rows to
-compare is broadcast where Spark finds it small; then texts travel only where a fingerprint
-repeats, and else all texts are shuffled once.
+What is decided on rows comes back to them by id and digest. A bitmap of fixed size tells
+before the shuffle which rows that may concern, so texts travel only where a fingerprint
+repeats.
 
 Defined results: null counts as empty; all empty texts are one group. Of fully repeated rows
 (same id, same text) each is returned, and all of them are kept or none, as the id decides.
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from turnwise.llm.bitmaps import bitmap, with_hit
 from turnwise.llm.text import text_slices, whole_text
 from turnwise.session import materialise, scratch
 
@@ -141,11 +142,11 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         marks = materialise(marks.toDF("of_id", "of_sha256", "stays", "times"), "dedup-marks", keep=True)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(whole, F.col(f"`{id_col}`").alias("id"), F.sha2(whole_text(text_col), 256).alias("sha256"))
+    rows = with_hit(rows, F.xxhash64("id", "sha256"), bitmap(marks, F.xxhash64("of_id", "of_sha256")))
     is_marked = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256"))
-    unmarked = rows.join(marks, is_marked, "left_anti").select("doc")
-    # Rows with equal id and text: one of them stays.
-    repeated = rows.join(marks.where("stays"), is_marked).groupBy("id", "sha256").agg(F.first("doc").alias("doc")).select("doc")
-    return unmarked.unionByName(repeated).select("doc.*")
+    # Of rows with equal id and text, which are all marked, one stays.
+    judged = rows.where("hit").join(marks, is_marked, "left").where("stays IS NULL OR stays").groupBy("id", "sha256").agg(F.first("doc").alias("doc"))
+    return rows.where("NOT hit").select("doc").unionByName(judged.select("doc")).select("doc.*")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int, primes: tuple[int, ...], bases: tuple[int, ...], salt_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -195,6 +196,7 @@ def _compare(pending: DataFrame, text: DataFrame, chunk_bytes: int, salt_rows: i
     part = F.substring(F.col("bytes"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
     asked = pending.where("n > 1").withColumnRenamed("id", "of_id").withColumnRenamed("sha256", "of_sha256")
+    text = with_hit(text, F.xxhash64(*who), bitmap(asked, F.xxhash64("of_id", "of_sha256"))).where("hit").drop("hit")
     texts = text.join(asked, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha256") == F.col("of_sha256"))).drop("of_id", "of_sha256")
     members = texts.where(~is_rep).withColumn("salt", F.pmod(F.xxhash64(*who), salts).cast("int")).withColumn("chunk", cut).select(*who, "key", "rep", "lead", "salt", "chunk", part.alias("a"))
     reps = texts.where(is_rep).dropDuplicates(["key"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("chunk", cut).select("key", "salt", "chunk", part.alias("b"))

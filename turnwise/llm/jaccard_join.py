@@ -5,8 +5,8 @@ also when only a part of all shingles is looked at. Two linked documents x and y
 few: y lacks at most `e` = size(x) - threshold * size(x) shingles of x.
 
 A step of the join, inside one region (at first: everything):
-1. Pivots. Every shingle that several members hold elects one of its holders, the same for
-   all. The elected are pivots, and each owns the part of the shingles that elected it.
+1. Pivots. Every shingle that several members hold elects one of its holders, the one with
+   the lowest row number. The elected are pivots, and each owns the part of the shingles that elected it.
 2. Voronoi regions. A member's distance to a pivot is measured in the pivot's part: it shares
    c of those shingles. It lives with its nearest pivot, the one with the largest c; if that is
    `e` or less, also with the next nearest, until they hold more than `e` of its shingles
@@ -35,7 +35,7 @@ that were apart, never all pairs of a region. No text or set goes to the driver.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing.
 Very long texts are read whole; one set travels as one value. Rows of equal id are separate
-documents of that id, repeated rows too; ties of pivots are broken by hash and row. Any type
+documents of that id, repeated rows too; ties of pivots are broken by row number. Any type
 of id will do; a null id counts as the smallest, and a group of null ids alone has a null
 component. An empty table gives an empty result. Only id and text are used, so other columns
 cannot clash.
@@ -49,6 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.llm.bitmaps import bitmap, with_hit
 from turnwise.llm.components import connected
 from turnwise.llm.shingles import set_print, shingle_sets
 from turnwise.llm.text import text_slices, whole_text
@@ -69,8 +70,6 @@ CELL_ENTRIES = 1 << 20
 DEEP = 5
 #: So many distances to earlier pivots are kept for each task's region.
 KEPT = 8
-#: Wanted texts up to this number are found by a broadcast of their keys and prints, 32 bytes each; beyond it texts are shuffled.
-BROADCAST_KEYS = 1 << 20
 
 
 def _least(n: int, sim: tuple[int, int]) -> int:
@@ -229,8 +228,8 @@ def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
     """(rid, n, entries) of each node in reps(node, rid, key), from the texts."""
     text = whole_text(text_col)
     texts = docs.select(_content_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
-    few = (known := reps.count()) <= BROADCAST_KEYS
-    rows = texts.join(F.broadcast(reps) if few else reps, "key").select("rid", "node", "text")
+    wanted = with_hit(texts, F.col("key"), bitmap(reps, F.col("key"))).where("hit").drop("hit")
+    rows = wanted.join(reps, "key").select("rid", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 1 << 20, 256):
@@ -240,7 +239,7 @@ def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
 
     sets = materialise(rows.mapInArrow(run, "rid bigint, n bigint, entries binary"), "join-sets")
     # Fully repeated rows are found as often as they are repeated.
-    return sets if sets.count() == known else materialise(sets.dropDuplicates(["rid"]), "join-sets")
+    return sets if sets.count() == reps.count() else materialise(sets.dropDuplicates(["rid"]), "join-sets")
 
 
 def _shingles(members: DataFrame) -> DataFrame:
@@ -266,9 +265,8 @@ def _regions(members: DataFrame, depth: int, sim: tuple[int, int]) -> DataFrame:
     core: the member lives there and has to find its links; the others are border documents.
     """
     held = _shingles(members)
-    rank = F.struct(F.xxhash64("rid", F.lit(depth)).alias("order"), "rid")
-    stood = held.groupBy("g", "s").agg(F.count("*").alias("holders"), F.min(F.when(F.col("core"), rank)).alias("first")).where("holders > 1 AND first IS NOT NULL")
-    live = held.join(stood.select("g", "s", F.col("first.rid").alias("pivot")), ["g", "s"])
+    stood = held.groupBy("g", "s").agg(F.count("*").alias("holders"), F.min(F.when(F.col("core"), F.col("rid"))).alias("pivot")).where("holders > 1 AND pivot IS NOT NULL")
+    live = held.join(stood.select("g", "s", "pivot"), ["g", "s"])
     counts = live.groupBy("g", "rid", "n", "core", "pivot").agg(F.count("*").alias("c"))
     nearest = Window.partitionBy("g", "rid").orderBy(F.col("c").desc(), "pivot")
     least = F.ceil(F.col("n") * sim[0] / sim[1])
@@ -479,7 +477,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marks = materialise(decided.where("times > 1 OR NOT stays").toDF("of_id", "of_key", "stays", "times"), "join-marks", keep=True)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(whole, F.col(f"`{id_col}`").alias("id"), _content_key(F.col(f"`{id_col}`"), whole_text(text_col)).alias("key"))
+    rows = with_hit(rows, F.xxhash64("id", "key"), bitmap(marks, F.xxhash64("of_id", "of_key")))
     is_marked = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
-    unmarked = rows.join(marks, is_marked, "left_anti").select("doc")
-    repeated = rows.join(marks.where("stays"), is_marked).groupBy("id", "key").agg(F.first("doc").alias("doc")).select("doc")
-    return unmarked.unionByName(repeated).select("doc.*")
+    judged = rows.where("hit").join(marks, is_marked, "left")
+    # Rows with equal id and text: one of them stays.
+    repeated = judged.where("stays").groupBy("id", "key").agg(F.first("doc").alias("doc"))
+    return rows.where("NOT hit").select("doc").unionByName(judged.where("stays IS NULL").select("doc")).unionByName(repeated.select("doc")).select("doc.*")
