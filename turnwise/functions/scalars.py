@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnwise.operators.metrics import ratio
 from turnwise.registry import register
@@ -135,10 +135,19 @@ def ud06_second_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, sf_dir).join(second, ["call_id", "criterion_id"], "left").select("call_id", "criterion_id", F.when(agreed, F.col("status")).otherwise("FLAGGED").alias("status"))
 
 
-@register("ud08_shortcut", oracle("SELECT call_id, category_id, count(*) AS hits, CAST(count_if(confidence_pct >= 95) AS DOUBLE) / count(*) >= 0.8 AS shortcut FROM hits GROUP BY 1, 2"))
+@register(
+    "ud08_shortcut",
+    oracle("""
+, per AS (SELECT call_id, category_id, subcategory_id, count(*) AS n, max(confidence_pct) AS top, max(hit_key * 29 % 101) AS near FROM hits GROUP BY ALL),
+best AS (SELECT call_id, category_id, sum(n) AS hits, max(n) AS sub_n, max(top) AS score, max(near) AS near FROM per GROUP BY ALL)
+SELECT call_id, category_id, hits, score >= 95 AND hits * 100 >= 80 * sum(hits) OVER (PARTITION BY call_id) AND sub_n * 100 >= 80 * hits AND near >= 75 AS shortcut FROM best"""),
+)
 def ud08_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a cheap classifier is sure enough to skip the costly one."""
-    return hits(spark, sf_dir).groupBy("call_id", "category_id").agg(F.count("*").alias("hits"), (ratio(F.count_if(F.col("confidence_pct") >= 95), F.count("*")) >= 0.8).alias("shortcut"))
+    """Whether a cheap classifier is sure enough to skip the costly one: its score, the category's share of the call's votes, the subcategory's share of those, and the nearest neighbour's closeness, all at their thresholds."""
+    per = hits(spark, sf_dir).groupBy("call_id", "category_id", "subcategory_id").agg(F.count("*").alias("n"), F.max("confidence_pct").alias("top"), F.max(F.col("hit_key") * 29 % 101).alias("near"))
+    best = per.groupBy("call_id", "category_id").agg(F.sum("n").alias("hits"), F.max("n").alias("sub_n"), F.max("top").alias("score"), F.max("near").alias("near"))
+    share = F.col("hits") * 100 >= F.sum("hits").over(Window.partitionBy("call_id")) * 80
+    return best.select("call_id", "category_id", "hits", ((F.col("score") >= 95) & share & (F.col("sub_n") * 100 >= F.col("hits") * 80) & (F.col("near") >= 75)).alias("shortcut"))
 
 
 @register("fn04_clamp", oracle("SELECT call_id, greatest(0.0, least(1.0, (score_tenths - 200) / 500.0))::DOUBLE AS share FROM calls"))

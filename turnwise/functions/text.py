@@ -47,9 +47,9 @@ def fold_accents(text: Column) -> Column:
     return fold(text)
 
 
-@register("str03_fold_accents", "SELECT doc_id, strip_accents(text) AS folded FROM documents WHERE lang = 'es'")
+@register("str03_fold_accents", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def str03_fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", fold_accents(F.col("text")).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", fold_accents(F.col("text")).alias("folded"))
 
 
 @register(
@@ -154,16 +154,16 @@ def str29_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", F.expr("greatest(words * 13 div 10 + 1, (octet_length(text) + 2) div 3)").alias("tokens"))
 
 
-@register("str30_cut_on_word", r"SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 80), ' [^ ]*$', ''), '[ ,;:]+$', '') AS head FROM documents WHERE length(text) > 80")
+@register("str30_cut_on_word", r"SELECT doc_id, CASE WHEN length(text) > 80 THEN regexp_replace(regexp_replace(substr(text, 1, 80), ' [^ ]*$', ''), '[ ,;:]+$', '') ELSE text END AS head FROM documents")
 def str30_cut_on_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title of 80 characters at most, cut at a space."""
     head = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 80), r" [^ ]*\z", ""), r"[ ,;:]+\z", "")
-    return table(spark, sf_dir, "documents").where(F.length("text") > 80).select("doc_id", head.alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 80, head).otherwise(F.col("text")).alias("head"))
 
 
-@register("str31_whole_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])of the([^a-z0-9_]|$)') AS mentions FROM documents WHERE lang = 'en'")
+@register("str31_whole_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])of the([^a-z0-9_]|$)') AS mentions FROM documents")
 def str31_whole_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lower("text").rlike("(^|[^a-z0-9_])of the([^a-z0-9_]|$)").alias("mentions"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").rlike("(^|[^a-z0-9_])of the([^a-z0-9_]|$)").alias("mentions"))
 
 
 @register("str32_citations", oracle(r"SELECT conv_id, turn, array_to_string(regexp_extract_all(text || ' (turns ' || turn || ', ' || (turn + 1) || ')', '\(turns? ([0-9, ]+)\)', 1), ';') AS cited FROM turns"))

@@ -27,12 +27,23 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-@register("fn10_cosine", "SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS cosine FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)")
+def cosine(a: Column, b: Column) -> Column:
+    """Between 0 and 1; 0 where a vector is all zeros."""
+    lengths = norm(a) * norm(b)
+    return F.when(lengths == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / lengths)))
+
+
+_COSINE = "CASE WHEN {a} * {b} = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / ({a} * {b}))) END".format(
+    a="sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))", b="sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))"
+)
+
+
+@register("fn10_cosine", f"SELECT vec_id, round({_COSINE}, 9) AS cosine FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)")
 def fn10_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every vector with the first one; all have unit length here."""
+    """Of every vector with the first one."""
     e = table(spark, sf_dir, "embeddings")
     q = e.orderBy("vec_id").limit(1).select(doubles("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(dot(doubles("embedding"), F.col("q")), 9).alias("cosine"))
+    return e.join(F.broadcast(q)).select("vec_id", F.round(cosine(doubles("embedding"), F.col("q")), 9).alias("cosine"))
 
 
 @register("fn11_l2_norm", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS l2 FROM embeddings")
@@ -42,13 +53,13 @@ def fn11_l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "jn20_vector_search",
-    "SELECT vec_id, label FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 20",
+    "SELECT vec_id, label FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) ORDER BY round(" + _COSINE + ", 9) DESC, vec_id LIMIT 20",
 )
 def jn20_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of one query (a top-k report)."""
     e = table(spark, sf_dir, "embeddings")
     q = e.orderBy("vec_id").limit(1).select(doubles("embedding").alias("q"))
-    return e.join(F.broadcast(q)).orderBy(dot(doubles("embedding"), F.col("q")).desc(), "vec_id").limit(20).select("vec_id", "label")
+    return e.join(F.broadcast(q)).orderBy(F.round(cosine(doubles("embedding"), F.col("q")), 9).desc(), "vec_id").limit(20).select("vec_id", "label")
 
 
 def nearest(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -92,11 +92,14 @@ def gr06_group_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "gr07_reduce_levels",
     oracle("""
-, n AS (SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at, call_id) - 1 AS leaf FROM calls), k AS (SELECT agent_id, leaf, unnest([1, 2, 3]) AS level FROM n)
+, n AS (SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at, call_id) - 1 AS leaf, count(*) OVER (PARTITION BY agent_id) AS all_leaves FROM calls),
+k AS (SELECT agent_id, leaf, unnest(range(1, greatest(1, CAST(ceil(log2(all_leaves)) AS BIGINT)) + 1)) AS level FROM n)
 SELECT agent_id, level, leaf // CAST(power(2, level) AS BIGINT) AS node, count(*) AS leaves FROM k GROUP BY ALL"""),
 )
 def gr07_reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the first three levels of a pairwise reduction over an agent's calls."""
-    leaf = F.row_number().over(Window.partitionBy("agent_id").orderBy("created_at", "call_id")) - 1
-    leaves = calls(spark, sf_dir).select("agent_id", leaf.alias("leaf")).withColumn("level", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    """Nodes of all levels of a pairwise reduction over an agent's calls, up to the root."""
+    by = Window.partitionBy("agent_id")
+    ranked = calls(spark, sf_dir).select("agent_id", (F.row_number().over(by.orderBy("created_at", "call_id")) - 1).alias("leaf"), F.count("*").over(by).alias("all_leaves"))
+    top = F.greatest(F.lit(1), F.ceil(F.log2("all_leaves")).cast("bigint"))
+    leaves = ranked.select("agent_id", "leaf", F.explode(F.sequence(F.lit(1).cast("bigint"), top)).alias("level"))
     return leaves.groupBy("agent_id", "level", F.expr("leaf div CAST(power(2, level) AS BIGINT)").alias("node")).agg(F.count("*").alias("leaves"))

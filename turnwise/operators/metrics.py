@@ -172,11 +172,12 @@ def ag08_subcategory_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ag10_precision_with_support",
-    oracle("SELECT subcategory_id, count_if(confidence_pct >= 50) AS confirmed, count(*) AS judged, CASE WHEN count(*) >= 5 THEN CAST(count_if(confidence_pct >= 50) * 100 AS DOUBLE) / count(*) END AS precision_pct FROM hits WHERE hit_key % 7 = 0 GROUP BY 1"),
+    oracle("SELECT subcategory_id, count_if(human_status = 'PASS') AS confirmed, count(*) AS judged, CASE WHEN count(*) >= 5 THEN CAST(count_if(human_status = 'PASS') * 100 AS DOUBLE) / count(*) END AS precision_pct FROM hits h JOIN overrides o ON h.call_id = o.call_id AND h.turn_id = o.criterion_id AND h.version = o.review_version GROUP BY 1"),
 )
 def ag10_precision_with_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NULL below five judged hits."""
-    per = hits(spark, sf_dir).where("hit_key % 7 = 0").groupBy("subcategory_id").agg(n_if("confidence_pct >= 50").alias("confirmed"), F.count("*").alias("judged"))
+    """Of the hits that people judged, those confirmed; NULL below five."""
+    o = overrides(spark, sf_dir).select("call_id", F.col("criterion_id").cast("bigint").alias("turn_id"), F.col("review_version").alias("version"), "human_status")
+    per = hits(spark, sf_dir).join(o, ["call_id", "turn_id", "version"]).groupBy("subcategory_id").agg(n_if("human_status = 'PASS'").alias("confirmed"), F.count("*").alias("judged"))
     return per.withColumn("precision_pct", F.when(F.col("judged") >= 5, ratio(F.col("confirmed") * 100, F.col("judged"))))
 
 

@@ -11,7 +11,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("operators.metrics", "operators.relational", "operators.windows", "operators.intervals", "operators.graph", "functions.text", "functions.masking", "functions.vectors", "functions.scalars", "plans.rules", "streaming.events", "sources.ingest")
+MODULES = ("operators.metrics", "operators.relational", "operators.windows", "operators.intervals", "operators.graph", "operators.segments", "operators.feeds", "operators.evaluation", "functions.text", "functions.masking", "functions.vectors", "functions.scalars", "plans.rules", "plans.phrases", "streaming.events", "sources.ingest")
 
 
 def register(name: str, sql: str | None = None) -> Callable:

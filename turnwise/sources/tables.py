@@ -55,7 +55,7 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal hits: category, subcategory, speaker, time in the call and confidence; of the call's current version or an older one."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("call_id"),
         (F.col("l_suppkey") % 3 + 1).alias("version"),
@@ -122,7 +122,7 @@ calls AS (
     CASE WHEN l_linenumber % 2 = 0 THEN 'AGENT' ELSE 'CALLER' END AS speaker, CAST(l_linenumber AS BIGINT) AS turn_id,
     CAST(l_linenumber AS BIGINT) * 12 + l_suppkey % 7 AS start_s, CAST(l_linenumber AS BIGINT) * 12 + l_suppkey % 7 + CAST(trunc(l_quantity) AS BIGINT) % 15 AS end_s,
     l_partkey * 13 % 101 AS confidence_pct, l_partkey AS hit_key
-  FROM lineitem WHERE l_partkey % 4 = 0
+  FROM lineitem
 ), attempts AS (
   SELECT event_id, ts AS recorded_at, user_id AS job_id, event_type AS route_class, n,
     CASE WHEN n % 5 <> 0 THEN 'm' || (n % 5) END AS model,
