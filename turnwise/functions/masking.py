@@ -43,11 +43,6 @@ def spans(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return some.mapInPandas(run, "id bigint, start int, end int, label string, value string").withColumnRenamed("id", id_col)
 
 
-@register("str19_find_pii")
-def str19_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(table(spark, sf_dir, "documents"), "doc_id")
-
-
 @register(
     "str20_pii_counts",
     r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS emails, len(regexp_extract_all(text, '\+1 \(\d{3}\) \d{3}-\d{4}')) AS phones, len(regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS ips FROM documents",

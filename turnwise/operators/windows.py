@@ -190,38 +190,12 @@ def pack(sizes: list[int], limit: int, most: int) -> list[int]:
 
 @register("wn19_turn_packs")
 def wn19_turn_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns packed into windows of 60 turns and 350 bytes: each pack depends on the one before, so a fold per call."""
+    """Consecutive turns packed into windows of 60 turns and 3500 bytes: each pack depends on the one before, so a fold per call."""
     import pandas as pd
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("turn")
-        return pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "pack": pack(f["size"].tolist(), 350, 60)})
+        return pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "pack": pack(f["size"].tolist(), 3500, 60)})
 
     t = turns(spark, sf_dir).select("conv_id", "turn", F.octet_length("text").alias("size"))
     return t.groupBy("conv_id").applyInPandas(run, "conv_id bigint, turn bigint, pack int")
-
-
-def windows_open(found: list[bool], starts: list[float], turns_limit: int = 4, seconds: float = 30.0) -> list[bool]:
-    """A window opens on a finding and closes once both limits passed since the last one."""
-    out, since, at = [], None, 0.0
-    for hit, start in zip(found, starts, strict=True):
-        if hit:
-            since, at = 0, start
-        elif since is not None:
-            since += 1
-            if since >= turns_limit and start - at > seconds:
-                since = None
-        out.append(since is not None)
-    return out
-
-
-@register("ses01_payment_window")
-def ses01_payment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns inside a read-out window; a turn of more than 20 words stands for one with a number."""
-    import pandas as pd
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("turn")
-        return pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "inside": windows_open((f["words"] > 20).tolist(), (f["start_ds"] / 10).tolist())})
-
-    return turns(spark, sf_dir).select("conv_id", "turn", "words", "start_ds").groupBy("conv_id").applyInPandas(run, "conv_id bigint, turn bigint, inside boolean")
