@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from turnwise.registry import register
 from turnwise.sources.tables import table
 
-#: Vectors of one block of the query set.
-BLOCK = 1024
+#: Vectors of one block of the query set, and of one pack of the bank.
+BLOCK, PACK = 1024, 8192
 
 
 def doubles(v: str) -> Column:
@@ -62,26 +62,37 @@ def jn20_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(q)).orderBy(F.round(cosine(doubles("embedding"), F.col("q")), 9).desc(), "vec_id").limit(20).select("vec_id", "label")
 
 
+def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
+    """Vectors in packs of about `size`, one pack to a row; their number follows the table's, so a row's bytes do not."""
+    packs = max(1, -(-vectors.count() // size))
+    dealt = vectors.withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)))
+    return dealt.groupBy("pack").agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias(name)).select(name)
+
+
 def nearest(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, label, cosine): exact k nearest bank vectors of each query.
 
-    Queries are packed into blocks; each task multiplies its bank vectors with a block and
-    keeps the block's k best rows per query, so only k rows per query and task are shuffled.
+    A stated query set meets the whole bank block by block: each pack of the bank is multiplied
+    with each block of queries, and only the pack's k best rows of a query are shuffled.
     """
-    blocks = queries.select(F.col("vec_id").alias("query_id"), "embedding").withColumn("block", F.expr(f"query_id div {BLOCK * 20}")).groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    parts = bank.select("vec_id", "label", "embedding").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy("part").agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("b"))
+    columns = ("vec_id", "label", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(pack: pa.StructArray) -> tuple[np.ndarray, pa.StructArray]:
+            return np.asarray(pack.field("embedding").flatten(), float).reshape(len(pack), -1), pack
+
         for batch in batches:
-            for q, b in zip(batch.column("q").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                left, right = np.array([x["embedding"] for x in q], float), np.array([x["embedding"] for x in b], float)
+            for row in range(batch.num_rows):
+                (left, q), (right, b) = matrix(batch.column("q")[row].values), matrix(batch.column("b")[row].values)
+                ids, labels, asked = (np.asarray(x) for x in (b.field("vec_id"), b.field("label"), q.field("vec_id")))
                 cos = left @ right.T
-                ids = np.array([x["vec_id"] for x in b])
-                for i, row in enumerate(cos):
-                    best = np.lexsort((ids, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([q[i]["query_id"]] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array([b[j]["label"] for j in best], pa.int32()), pa.array(row[best])], ["query_id", "vec_id", "label", "cosine"])
+                for i, near in enumerate(cos):
+                    # The k-th best score first, then ties by id.
+                    at = np.flatnonzero(near >= np.partition(near, -k)[-k]) if len(near) > k else np.arange(len(near))
+                    best = at[np.lexsort((ids[at], -near[at]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), asked[i]), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(labels[best], pa.int32()), pa.array(near[best])], ["query_id", "vec_id", "label", "cosine"])
 
-    met = parts.join(blocks).mapInArrow(run, "query_id bigint, vec_id bigint, label int, cosine double")
+    met = _packed(bank.select(*columns), PACK, "b").join(_packed(queries.select(*columns), BLOCK, "q")).mapInArrow(run, "query_id bigint, vec_id bigint, label int, cosine double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return met.withColumn("nth", nth).where(F.col("nth") <= k)
 

@@ -21,14 +21,19 @@ SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream; watermarks need TIMESTAMP."""
-    return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    """The events as a stream, from a folder of part files or a single file; watermarks need TIMESTAMP."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = spark.readStream.schema(SCHEMA)
+    source = source.parquet(f"{sf_dir}/events.parquet") if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return source.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def run(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs a stream to the end of its input and returns what it wrote."""
+    """Runs a stream to the end of its input and returns what it wrote; nothing, if there was no input."""
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/turnwise/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{base}/out/batch=-1")
     put = each or (lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/out").drop("batch")
