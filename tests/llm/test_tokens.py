@@ -89,3 +89,17 @@ def test_media_digests(spark):
     want = {(r[0], len(t := (r[1] or "").encode()), len(p := mpeg_audio.pad(t)), hashlib.sha256(p).hexdigest()) for r in cases.rows()}
     assert got == want
     assert mpeg_audio.media_digests(cases.empty(spark)).count() == 0
+
+
+def test_a_warm_cache_packs_no_text(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    docs = cases.frame(spark)
+    ask = lambda: sorted(map(tuple, token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, cache_path=f"file://{tmp_path}").collect()), key=str)
+    cold = ask()
+    packed = []
+    distinct = token_counts._distinct_texts
+    monkeypatch.setattr(token_counts, "_distinct_texts", lambda rows: packed.append(rows.count()) or distinct(rows))
+    assert ask() == cold and packed == [0]
+    docs = docs.unionByName(docs.where("doc_id = 3").selectExpr("* EXCEPT (text)", "'quite new' AS text").select(docs.columns))
+    assert len(ask()) == len(cold) + 1 and packed == [0, 1]

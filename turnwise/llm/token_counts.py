@@ -2,9 +2,10 @@
 
 A text's key is the SHA-256 of its normalised content, and a tokenizer's the SHA-256 of its
 file, its library's version and the options used. Stored counts lie in a Parquet table with a
-folder for each tokenizer key. Keys are joined to it; only texts of the distinct missing keys
-travel, once each task has dropped its own repeats and compressed the rest, and are encoded;
-their counts are appended to the table, from which the result is then joined.
+folder for each tokenizer key. Keys are joined to it first. Of the texts, a bitmap of fixed
+size passes those of missing keys; each task drops its own repeats and compresses the rest,
+which then travel, meet the missing keys exactly and are encoded; their counts are appended to
+the table, from which the result is then joined.
 
 Normalisation here is only null to empty: a count depends on every byte. Two writers may
 append the same key; both wrote the same count, and the reader takes one.
@@ -33,11 +34,16 @@ import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
+from turnwise.llm.bitmaps import bitmap, with_hit
 from turnwise.llm.pretokens import PieceCache
 from turnwise.llm.text import text_slices, whole_text
 from turnwise.session import materialise, shared_dir
 
 
+#: Digests that a task remembers to drop repeats.
+SEEN = 200_000
+
+
 def tokenizer_key(content: bytes, kind: str) -> str:
     library = {"json": "tokenizers", "model": "sentencepiece"}[kind]
     return hashlib.sha256(b"\0".join([content, library.encode(), version(library).encode(), b"no added tokens"])).hexdigest()
@@ -92,6 +98,9 @@ def _distinct_texts(rows: DataFrame) -> DataFrame:
             digests, packed = [], []
             for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text"), strict=True):
                 if digest not in seen:
+                    # Bounded: a repeat that slips through is dropped where the digests are sorted.
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(digest)
                     digests.append(digest)
                     packed.append(pack.compress(text.as_buffer()))
@@ -136,10 +145,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, cache_path:
     text = whole_text(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     keyed = materialise(rows.select("id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "token-keys")
-    missing = _distinct_texts(rows.select("digest", "text")).repartition("digest")
     stored = stored_counts(spark, path)
-    if stored is not None:
-        missing = missing.join(stored.select("digest"), "digest", "left_anti")
-    _encode(missing.sortWithinPartitions("digest"), content, kind, pattern).write.mode("append").parquet(path)
+    texts = rows.select("digest", "text")
+    if stored is None:
+        packed = _distinct_texts(texts).repartition("digest")
+    else:
+        missing = materialise(keyed.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "token-missing")
+        wanted = with_hit(texts, F.xxhash64("digest"), bitmap(missing, F.xxhash64("digest"))).where("hit").select("digest", "text")
+        packed = _distinct_texts(wanted).join(missing, "digest", "left_semi").repartition("digest")
+    _encode(packed.sortWithinPartitions("digest"), content, kind, pattern).write.mode("append").parquet(path)
     counts = stored_counts(spark, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
