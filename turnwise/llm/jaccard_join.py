@@ -27,7 +27,8 @@ Each step is exact, so the links found connect what all links would connect.
 
 Before the first step an exact filter leaves only documents that can link at all: a prefix of
 each set, in hash order and a little longer than the threshold asks, is dealt by hash, and a
-document must meet others in a stated share of its prefix.
+document must meet others in a stated share of its prefix. Those that do go through the same
+filter again with a longer prefix (two fifths of the set, of which half must be met).
 
 Equal sets are one node, so copies cost one row each. Links are emitted only between groups
 that were apart, never all pairs of a region. No text or set goes to the driver. Shingles are
@@ -60,6 +61,8 @@ WIDTH = 5
 SIM = (80, 100)
 #: Entries of prefixes that one task sorts at a time.
 ENTRIES = 1 << 20
+#: The longer prefix asks one in so many of the entries that a linked set would share.
+ASKED = 4
 #: Row numbers of one partition share all bits above these; no place in a partition is NOBODY.
 BLOCK_BITS = 31
 NOBODY = (1 << 32) - 1
@@ -225,7 +228,7 @@ def _summed(hits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(rid, n, entries) of each node in reps(node, rid, key), from the texts."""
+    """(rid, n, entries, at) of each node in reps(node, rid, key), from the texts; at numbers the rows of each partition without gaps."""
     text = whole_text(text_col)
     texts = docs.select(_content_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
     wanted = with_hit(texts, F.col("key"), bitmap(reps, F.col("key"))).where("hit").drop("hit")
@@ -237,9 +240,29 @@ def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
             same = [(rid, s) for rid, node, s in zip(batch.column("rid").to_pylist(), batch.column("node").to_pylist(), sets, strict=True) if set_print(s) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in same], pa.int64()), pa.array([len(x[1]) for x in same], pa.int64()), pa.array([x[1].tobytes() for x in same], pa.binary())], ["rid", "n", "entries"])
 
-    sets = materialise(rows.mapInArrow(run, "rid bigint, n bigint, entries binary"), "join-sets")
+    sets = rows.mapInArrow(run, "rid bigint, n bigint, entries binary")
+    found = materialise(sets.withColumn("at", F.monotonically_increasing_id()), "join-sets")
+    if found.count() == reps.count():
+        return found
     # Fully repeated rows are found as often as they are repeated.
-    return sets if sets.count() == reps.count() else materialise(sets.dropDuplicates(["rid"]), "join-sets")
+    return materialise(found.dropDuplicates(["rid"]).withColumn("at", F.monotonically_increasing_id()), "join-sets")
+
+
+def _able(sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Those of sets(rid, n, entries, at) that meet others in `asked` entries of a longer prefix; a few more may pass, and every linked one does.
+
+    With a prefix of n - least + asked entries, two linked sets share what the larger asks: the one
+    whose prefix ends at the lower hash has least - asked entries behind it, and that number and
+    `asked` both grow with n.
+    """
+    least = F.ceil(F.col("n") * sim[0] / sim[1])
+    asked = F.greatest(F.lit(1), F.floor(least / ASKED))
+    prefix = F.substring("entries", F.lit(1), (8 * (F.col("n") - least + asked)).cast("int"))
+    entries = sets.select(F.col("at").alias("row"), prefix.alias("entries"))
+    met = _met(entries, _ranges(entries)).join(sets.select(F.col("at").alias("row"), "rid", "n"), "row")
+    kept = materialise(met.where(F.col("met") >= asked).select("rid"), "join-able")
+    hit = with_hit(sets, F.xxhash64("rid"), bitmap(kept, F.xxhash64("rid"))).where("hit")
+    return materialise(hit.select("rid", "n", "entries"), "join-able-sets")
 
 
 def _shingles(members: DataFrame) -> DataFrame:
@@ -442,7 +465,7 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
     # Rows of one node have equal sets, so any one stands for them.
     reps = met.where(F.col("met") >= asked).groupBy("node").agg(F.min(F.struct("row", "key")).alias("one"))
     reps = materialise(reps.select("node", F.col("one.row").alias("rid"), F.col("one.key").alias("key")), "join-reps")
-    sets = _sets_of(docs, reps, id_col, text_col, width)
+    sets = _able(_sets_of(docs, reps, id_col, text_col, width), sim)
     links = materialise(links_of(sets, sim).where("a <> b").distinct(), "join-links")
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = connected(ends.withColumn("label", F.col("node")), links)
