@@ -43,18 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/turnwise-{os.getuid()}"
 
 
-#: Paths written inside the innermost `scratch` block.
-_WRITTEN: ContextVar[list[str] | None] = ContextVar("turnwise_written", default=None)
+#: Paths written inside the open `scratch` blocks, the innermost last.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("turnwise_written", default=())
+
+#: Shuffle files go when their query ends; what is read again is a written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that `materialise` writes inside the block are deleted at its end, but for those that it was told to keep."""
+    """Tables that `materialise` writes inside the block are deleted at its end, but for those that it was told to keep: these belong to the block around it.
+
+    Shuffle files of queries built inside the block are deleted as each query ends, so disk
+    holds one query's shuffles and the tables still to be read.
+    """
     paths: list[str] = []
-    token = _WRITTEN.set(paths)
+    token = _WRITTEN.set((*_WRITTEN.get(), paths))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
+        spark.conf.set(_CLEANUP, before)
         _WRITTEN.reset(token)
         for path in paths:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,11 +76,11 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
 
     The lineage ends there: a lost executor costs a re-read, never a recomputation of
     what produced df, and later jobs see the same rows in the same blocks. `keep`: the
-    table outlives the `scratch` block, as it is the block's result.
+    table outlives the innermost `scratch` block, as it is the block's result.
     """
     path = f"{shared_dir(df.sparkSession)}/turnwise/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    paths = _WRITTEN.get()
-    if paths is not None and not keep:
-        paths.append(path)
+    blocks = _WRITTEN.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
