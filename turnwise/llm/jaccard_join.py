@@ -262,7 +262,7 @@ def _able(sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
     met = _met(entries, _ranges(entries)).join(sets.select(F.col("at").alias("row"), "rid", "n"), "row")
     kept = materialise(met.where(F.col("met") >= asked).select("rid"), "join-able")
     hit = with_hit(sets, F.xxhash64("rid"), bitmap(kept, F.xxhash64("rid"))).where("hit")
-    return materialise(hit.select("rid", "n", "entries"), "join-able-sets")
+    return materialise(hit.select("rid", "n", "entries"), "join-able-sets", keep=True)
 
 
 def _shingles(members: DataFrame) -> DataFrame:
@@ -429,7 +429,9 @@ def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell
         regions = materialise(regions, "join-regions")
         sizes = regions.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max("core").alias("asks")).where("k > 1 AND asks")
         sizes = sizes.withColumn("tasks", _tasks("k", "size", cell, cell_entries)).drop("asks")
-        sized = materialise(regions.join(sizes, "g").join(sets.select("rid", "entries"), "rid"), "join-sized")
+        peopled = materialise(regions.join(sizes, "g"), "join-peopled")
+        wanted = with_hit(sets.select("rid", "entries"), F.xxhash64("rid"), bitmap(peopled, F.xxhash64("rid"))).where("hit").drop("hit")
+        sized = materialise(peopled.join(wanted, "rid"), "join-sized")
         small = sized.where("tasks = 1").withColumn("task", F.col("g"))
         found.append(materialise(_join_tasks(small, sim), "join-links"))
         large = sized.where("tasks > 1")
@@ -458,14 +460,18 @@ def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell
     return links
 
 
-def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
-    """(node, label): nodes that have links; equal labels for those that links connect."""
+def candidates(described: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """(node, rid, key): nodes that meet others in their prefixes, each with a row that stands for it (rows of one node have equal sets)."""
     met = _met(described, _ranges(described)).join(described.select("row", "key", "n", "node"), "row")
     asked = 1 + F.floor(F.ceil(F.col("n") * sim[0] / sim[1]) / 20)
-    # Rows of one node have equal sets, so any one stands for them.
     reps = met.where(F.col("met") >= asked).groupBy("node").agg(F.min(F.struct("row", "key")).alias("one"))
-    reps = materialise(reps.select("node", F.col("one.row").alias("rid"), F.col("one.key").alias("key")), "join-reps")
-    sets = _able(_sets_of(docs, reps, id_col, text_col, width), sim)
+    return materialise(reps.select("node", F.col("one.row").alias("rid"), F.col("one.key").alias("key")), "join-reps", keep=True)
+
+
+def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
+    """(node, label): nodes of reps(node, rid, key) that have links; equal labels for those that links connect."""
+    with scratch(docs.sparkSession):
+        sets = _able(_sets_of(docs, reps, id_col, text_col, width), sim)
     links = materialise(links_of(sets, sim).where("a <> b").distinct(), "join-links")
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = connected(ends.withColumn("label", F.col("node")), links)
@@ -474,14 +480,17 @@ def linked(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, wi
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, sim: tuple[int, int]) -> DataFrame:
     """(id, key, n, component, first) of every row; first: of the group's rows the one with the smallest id and row."""
-    described = materialise(_describe(docs, id_col, text_col, width, sim, F.monotonically_increasing_id()), "join-described")
+    with scratch(docs.sparkSession):  # the prefixes go as soon as the candidates are known
+        with_prefix = materialise(_describe(docs, id_col, text_col, width, sim, F.monotonically_increasing_id()), "join-prefixes")
+        described = materialise(with_prefix.drop("entries"), "join-described", keep=True)
+        reps = candidates(with_prefix, sim)
     lowest = described.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "row")).alias("low"), F.count("*").alias("rows"))
-    merged = materialise(lowest.join(linked(docs, described, id_col, text_col, width, sim), "node").select("node", "label", "low"), "join-merged")
+    merged = materialise(lowest.join(linked(docs, reps, id_col, text_col, width, sim), "node").select("node", "label", "low"), "join-merged")
     least = materialise(merged.groupBy("label").agg(F.min("low").alias("least")), "join-least")
     merged = merged.join(least, "label").select("node", "least")
     lowest = lowest.join(merged, "node", "left").where("least IS NOT NULL OR rows > 1").select("node", F.coalesce("least", "low").alias("low"))
     lowest = materialise(lowest, "join-lowest")
-    out = described.select("row", "id", "key", "n", "node").join(lowest, "node", "left")
+    out = described.join(lowest, "node", "left")
     alone = F.when(F.col("low").isNull(), F.col("id")).otherwise(F.col("low.id"))
     return out.select("id", "key", "n", alone.alias("component"), (F.col("low").isNull() | (F.col("row") == F.col("low.row"))).alias("first"))
 
