@@ -163,3 +163,24 @@ def test_fingerprints_compose():
     a, b = b"some bytes" * 700, b"others" * 900
     whole, x, y = exact_dedup.fingerprints([a + b, a, b], kernel)
     assert exact_dedup.combine([(0, len(a), x), (1, len(b), y)]) == whole
+
+
+def test_longer_prefix_keeps_every_linked_set(spark):
+    """Pairs at the threshold's very border, of unequal sizes too; sets without a partner go."""
+    rng = np.random.default_rng(5)
+    rows, linked = [], set()
+    for n in [*range(1, 60), 100, 250, 999]:
+        for lost in {0, n // 10, n // 5}:
+            # y lacks `lost` of x's shingles and has as many others as the threshold allows.
+            extra = max(0, (n - lost) * 100 // 80 - n)
+            values = rng.integers(0, 1 << 63, n + extra, dtype=np.uint64)
+            for own in (values[:n], values[lost:]):
+                rows.append((len(rows), len(own), np.sort(own).tobytes(), len(rows)))
+            if (n - lost) * 100 >= (n + extra) * 80:
+                linked |= {rows[-1][0], rows[-2][0]}
+    alone = len(rows)
+    rows += [(alone + i, 40, np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64)).tobytes(), alone + i) for i in range(20)]
+    sets = spark.createDataFrame(rows, "rid bigint, n bigint, entries binary, at bigint").coalesce(1)
+    kept = {r.rid for r in jaccard_join._able(sets, (80, 100)).select("rid").collect()}
+    assert linked <= kept
+    assert not kept & set(range(alone, alone + 20))
