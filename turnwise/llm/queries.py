@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import byte_bpe, exact_dedup, jaccard_join, mixing, mpeg_audio, quality, sharding, token_counts, toxicity, url_filter
+from turnwise.llm import byte_bpe, divergence, exact_dedup, jaccard_join, mixing, mpeg_audio, quality, sharding, token_counts, toxicity, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -71,8 +71,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_token_counts, op4_toxicity, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_token_counts, op4_toxicity, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns, op11_source_divergence)}
 
 
 _URL_SQL = """
@@ -174,6 +178,40 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) m ON m.d = s.doc_id
 """
 
+_DIVERGENCE_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), m AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (m.n + 5 * v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)::HUGEINT) // (any_value(a.all_n) + 5 * any_value(v)) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS all_n FROM c GROUP BY ALL) a USING (lang) GROUP BY ALL
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), y AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_sources": _MIX_SQL, "op5_sharding": _SHARD_SQL, "op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL, "op9_ngram_jaccard_join": _NEAR_SQL}
+    return {"op11_source_divergence": _DIVERGENCE_SQL, "op2_mixing_sources": _MIX_SQL, "op5_sharding": _SHARD_SQL, "op6_url_filters": _URL_SQL, "op7_exact_dedup": _DEDUP_SQL, "op9_ngram_jaccard_join": _NEAR_SQL}
