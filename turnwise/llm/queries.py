@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import byte_bpe, chunk_prints, divergence, exact_dedup, jaccard_join, mixing, mpeg_audio, quality, sharding, token_counts, toxicity, url_filter
+from turnwise.llm import alignment, byte_bpe, chunk_prints, divergence, exact_dedup, jaccard_join, mixing, mpeg_audio, quality, sharding, token_counts, toxicity, url_filter
 
 #: Fixed values of the contract: the URL rules.
 URL_RULES = (
@@ -75,12 +75,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.compare_with_edits(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_token_counts, op4_toxicity, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns, op11_source_divergence, op13_document_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_token_counts, op4_toxicity, op5_sharding, op6_url_filters, op7_exact_dedup, op8_byte_level_bpe, op9_ngram_jaccard_join, op10_media_columns, op11_source_divergence, op12_token_alignment, op13_document_fingerprints)}
 
 
 _URL_SQL = """
