@@ -40,7 +40,7 @@ from turnwise.llm.text import text_slices
 from turnwise.session import materialise, scratch
 
 #: Terms of a stripe, on average.
-STRIPE = 32_768
+STRIPE = 4_096
 #: Sources of a block at most; a language has SEATS blocks while that keeps blocks smaller.
 BLOCK, SEATS = 64, 8
 #: (source, term) counts that a task holds before it sends them on.
