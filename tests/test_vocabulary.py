@@ -154,3 +154,46 @@ def test_accepted_pairs_against_all_pairs(spark):
                 want[t, h] = (sound, chars)
     assert got.keys() == want.keys() and len(want) > 40
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_relevance_and_glossary_against_brute_force(spark):
+    rng = random.Random(4)
+    syllables = ["lif", "fey", "val", "ley", "phone", "fone", "key", "quay", "ice", "sky"]
+    names = ["Liffey Valley", "Phone Key", "Skylift", "Ice Quay Val", "Zebra Xylo"]
+    units = [(u, t, ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 6))]) for u in range(6) for t in range(3)]
+    vocab_df = vocab(spark, *names)
+    df = spark.createDataFrame(units, "unit int, turn int, tokens array<string>")
+    ranked = phonetics.term_relevance(df, vocab_df, "unit", "turn")
+    got = {(r.unit, r.term): (r.score, r["rank"]) for r in ranked.collect()}
+
+    def heads(ts):
+        return {"c" + ts[0][0], *("p" + c[:1] for c in phonetics.word_codes(ts[0]))}
+
+    want = {}
+    for u in range(6):
+        flat = [w for x in units if x[0] == u for w in x[2]]
+        for name in names:
+            own = name.lower().split()
+            codes = [phonetics.word_codes(w) for w in own]
+            best = 0
+            for n in {max(1, len(own) - 1), len(own), len(own) + 1}:
+                for i in range(len(flat) - n + 1):
+                    run = flat[i : i + n]
+                    c = close("".join(run), "".join(own))
+                    if c >= 0.4 - 1e-12 and heads(run) & heads(own):
+                        other = [phonetics.word_codes(w) for w in run]
+                        best = max(best, 0.5 * c + 0.5 * max(close("".join(x[k] for x in codes), "".join(x[m] for x in other)) for k in (0, 1) for m in (0, 1)))
+            if best:
+                want[u, name] = best
+    assert got.keys() == want.keys() and len(want) >= 10
+    assert all(got[k][0] == pytest.approx(want[k]) for k in want)
+    packed = {r.unit: r for r in phonetics.glossary(ranked, "unit", 12).collect()}
+    assert packed.keys() == {k[0] for k in want}
+    for u in packed:
+        order = sorted((k[1] for k in want if k[0] == u), key=lambda t: got[u, t][1])
+        chosen = []
+        for t in order:
+            text = " Glossary: " + ", ".join([*chosen, t]) + "."
+            if max(int(len(text.split(" ")) * 1.3) + 1, (len(text) + 2) // 3) <= 12:
+                chosen.append(t)
+        assert packed[u].glossary == "Glossary: " + ", ".join(chosen) + "." and packed[u].chosen == len(chosen)

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnwise.registry import register
 from turnwise.sources.tables import table
@@ -231,3 +231,63 @@ def str14_accepted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = vocabulary(_terms(spark, sf_dir)).where("n_tokens <= 2").select("term", "tokens")
     heard = spoken_words(spark, sf_dir)
     return accepted_pairs(terms, heard).join(heard.select("heard", "times"), "heard").select("term", "heard", F.round("phonetic", 9).alias("phonetic"), F.round("character", 9).alias("character"), "times")
+
+
+def term_relevance(units: DataFrame, vocab: DataFrame, unit: str, turn: str, floor: float = 0.4) -> DataFrame:
+    """(unit, term, score, heard, rank) of the terms that a unit's words suggest.
+
+    score: the best of half the closeness of letters and half that of sound, over runs of the term's
+    number of tokens and one more or less whose letters are as close as `floor`; ranks by score,
+    then by term. Runs meet terms that begin with the same letter or sound and differ by a
+    token at most; no run meets all terms. Terms without such a run have no row.
+    units: unit, turn, tokens; vocab: as of `vocabulary`.
+    """
+    from turnwise.functions.vocabulary import token_runs
+
+    longest = (vocab.agg(F.max("n_tokens")).first()[0] or 0) + 1
+    heads = lambda token, code: F.array_distinct(F.array(F.concat(F.lit("c"), F.left(token, F.lit(1))), *[F.concat(F.lit("p"), F.left(code[k], F.lit(1))) for k in ("first", "second")]))
+    item = lambda t, c: F.struct(t.alias("key"), c["first"].alias("first"), c["second"].alias("second"), heads(t, c).alias("heads"))
+    coded = units.select(unit, turn, "tokens", sound_codes(F.col("tokens")).alias("codes")).select(unit, turn, F.zip_with("tokens", "codes", item).alias("items"))
+    join = lambda a, b: F.struct(*[F.concat(a[k], b[k]).alias(k) for k in ("key", "first", "second")], a["heads"].alias("heads"))
+    runs = token_runs(coded, unit, turn, "items", longest, join).select(unit, "size", F.col("key.key").alias("heard"), F.struct("key.first", "key.second").alias("codes"), F.explode("key.heads").alias("head"))
+    t = vocab.select("term", "key", "n_tokens", "tokens", sound_codes(F.col("tokens")).alias("c"))
+    sizes = F.array_distinct(F.array(F.greatest(F.lit(1), F.col("n_tokens") - 1), F.col("n_tokens"), F.col("n_tokens") + 1))
+    t = t.select("term", "key", joined_codes(F.col("c")).alias("own"), F.explode(sizes).alias("size"), heads(F.col("tokens")[0], F.col("c")[0]).alias("heads")).withColumn("head", F.explode("heads")).drop("heads")
+    longer = F.greatest(F.length("heard"), F.length("key"))
+    met = runs.join(t, ["size", "head"]).where(F.abs(F.length("heard") - F.length("key")) <= longer * (1 - floor))
+    near = met.withColumn("edits", F.levenshtein("heard", "key")).where(F.col("edits") <= longer * (1 - floor))
+    score = 0.5 * (1 - F.col("edits") / longer) + 0.5 * sound_similarity(F.col("codes"), F.col("own"))
+    best = near.select(unit, "term", score.alias("score"), "heard").groupBy(unit, "term").agg(F.max("score").alias("score"), F.min_by("heard", F.struct(-F.col("score"), F.col("heard"))).alias("heard"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(unit).orderBy(F.desc("score"), "term")))
+
+
+def glossary(ranked: DataFrame, unit: str, limit: int) -> DataFrame:
+    """(unit, glossary, chosen): terms in rank order, each that keeps " Glossary: <terms>." within `limit` estimated tokens."""
+    listed = ranked.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("all"))
+    cost = lambda text: F.greatest(F.floor(F.size(F.split(text, " ")) * 1.3) + 1, F.floor((F.octet_length(text) + 2) / 3))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+
+    def pack(acc: Column, x: Column) -> Column:
+        text = F.when(acc["n"] == 0, x["term"]).otherwise(F.concat(acc["text"], F.lit(", "), x["term"]))
+        return F.when(cost(F.concat(F.lit(" Glossary: "), text, F.lit("."))) <= limit, F.struct(text.alias("text"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+
+    return listed.select(unit, F.aggregate("all", start, pack).alias("p")).select(unit, F.concat(F.lit("Glossary: "), "p.text", F.lit(".")).alias("glossary"), F.col("p.n").alias("chosen"))
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.functions.vocabulary import spoken_tokens, vocabulary
+
+    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", spoken_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return term_relevance(units, vocabulary(table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))), "conv_id", "turn")
+
+
+@register("str13_term_relevance")
+def str13_term_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names ranked by what each conversation suggests."""
+    return _relevance(spark, sf_dir).select("conv_id", "term", F.round("score", 9).alias("score"), "heard", "rank")
+
+
+@register("srt10_glossary")
+def srt10_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's glossary of 40 tokens."""
+    return glossary(_relevance(spark, sf_dir), "conv_id", 40)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -152,30 +153,42 @@ def src05_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Integers beyond this have no exact double.
+EXACT = 2**53
+
+
+def _number(x: int | float) -> str:
+    """A number as RFC 8785 writes it: the shortest digits of the double, plain from 1e-6 to below 1e21."""
+    if isinstance(x, int):
+        if abs(x) > EXACT:
+            raise ValueError("an integer beyond 2^53 is not exact")
+        return str(x)
+    if not math.isfinite(x):
+        raise ValueError("JSON has no such number")
+    shortest = Decimal(repr(x)).normalize()
+    return "0" if x == 0 else format(shortest, "f" if 1e-6 <= abs(x) < 1e21 else "e")
+
+
 def canonical_json(value: object) -> str:
-    """JSON with sorted keys, no blanks and the shortest numbers, the same for equal documents."""
+    """RFC 8785: keys sorted by UTF-16 units, no blanks, one form of each number and text. What has none, as a lone surrogate, is a ValueError."""
     if isinstance(value, dict):
-        # Keys are ordered by their UTF-16 units.
-        return "{" + ",".join(f"{canonical_json(k)}:{canonical_json(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
+        return "{" + ",".join(f"{canonical_json(k)}:{canonical_json(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical_json, value)) + "]"
-    if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError("JSON has no such number")
-        if value == int(value) and abs(value) < 1e21:
-            return str(int(value))
-        digits, _, power = repr(value).partition("e")
-        return f"{digits}e{int(power):+d}" if power else digits
-    return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return _number(value)
+    out = json.dumps(value, ensure_ascii=False)
+    out.encode()
+    return out
 
 
 def canonical_digest(text: Column) -> Column:
-    """SHA-256 of a JSON text's canonical form; null for what is no JSON."""
+    """SHA-256 of a JSON text's canonical form; null for what is no JSON, has no canonical form, or is nested too deeply to read."""
 
     def one(t: str | None) -> str | None:
         try:
             return canonical_json(json.loads(t)) if t is not None else None
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     @F.pandas_udf("string")
@@ -185,7 +198,7 @@ def canonical_digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-@register("fn21_canonical_digest", """SELECT event_id, sha256('{"a":[1,2.5],"k":' || json_extract_string(props, '$.k') || '}') AS digest FROM events""")
+@register("fn21_canonical_digest", r"""SELECT event_id, sha256('{"a":[1,2.5,0.00001,1e-7],"k":' || json_extract_string(props, '$.k') || ',"v":' || regexp_replace(CAST(value AS VARCHAR), '\.0$', '') || '}') AS digest FROM events""")
 def fn21_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit(', "a" : [1.0, 2.50] }'))
+    wide = F.concat(F.lit('{ "v":'), F.col("value").cast("string"), F.lit(', "k" : '), F.get_json_object("props", "$.k"), F.lit(', "a" : [1.0, 2.50, 1e-5, 1E-7] }'))
     return table(spark, sf_dir, "events").select("event_id", canonical_digest(wide).alias("digest"))
