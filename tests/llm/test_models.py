@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from llm import cases
 from turnwise.llm import quality, toxicity
 
@@ -80,14 +82,82 @@ def test_finder_reads_long_texts_once_and_short_words():
     assert time.time() - began < 10
 
 
+def voters(rng, y, accuracy: list[float]):
+    """One voter for each accuracy: of toxic rows it names so many, of clean ones a tenth of the rest."""
+    return np.stack([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < (1 - a) / 10) for a in accuracy], 1)
+
+
+def sparse(said):
+    return toxicity.Sparse([np.flatnonzero(r).tolist() for r in said], said.shape[1])
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(1)
     y = rng.random(3000) < 0.3
-    vote = lambda acc: np.where(rng.random(3000) < acc, np.where(y, 1, -1), np.where(y, -1, 1)).astype(np.int8)
-    a, b, c = vote(0.8), vote(0.8), vote(0.8)
-    model = toxicity.LabelModel(0.3).fit(np.stack([a, a, a, b, c], 1))
+    votes = sparse(voters(rng, y, [0.6, 0.6, 0.6])[:, [0, 0, 0, 1, 2]])
+    model = toxicity.LabelModel(0.3, np.ones(5, bool)).fit(votes)
     assert model.weight[0] < 0.5 < model.weight[3]
-    assert np.mean((model.posterior(np.stack([a, a, a, b, c], 1)) > 0.5) == y) > 0.8
+    assert np.mean((model.posterior(votes) > 0.5) == y) > 0.85
+
+
+def test_label_model_learns_rates_without_labels():
+    rng = np.random.default_rng(2)
+    y = rng.random(6000) < 0.3
+    accuracy = [0.9, 0.7, 0.5, 0.8]
+    model = toxicity.LabelModel(0.3, np.ones(4, bool)).fit(sparse(voters(rng, y, accuracy)))
+    assert np.allclose(model.rates[:4, 1], accuracy, atol=0.08)
+    assert np.allclose(model.rates[:4, 0], (1 - np.array(accuracy)) / 10, atol=0.03)
+
+
+def test_sparse_logistic_equals_dense():
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(12) < 0.2).tolist() for _ in range(400)]
+    y = rng.random(400)
+    w = toxicity.fit_logistic(toxicity.Sparse(rows, 12), y)
+    x = np.zeros((400, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    x[:, -1] = 1
+    gradient = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - np.append(np.full(12, 0.1), 1e-6) * w
+    assert np.abs(gradient).max() < 1e-5
+
+
+def test_voters_outvote_wrong_labels(spark):
+    """Labels of a third of the rows are wrong: the posteriors follow the voters, and rows held out are found as before."""
+    docs, labels, rows = made(spark, 1500)
+    wrong = labels.withColumn("toxic", F.when(F.pmod(F.hash("doc_id"), F.lit(3)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    told = {r.doc_id: r.toxic for r in wrong.collect()}
+    assert 0.25 < np.mean([told[r[0]] != r[2] for r in rows]) < 0.4
+    model = toxicity.fit(docs, wrong)
+    check(toxicity.score_documents(docs, model), {r[0]: r[2] for r in rows}, 0.7)
+    find = toxicity.Finder(model.terms)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    votes = toxicity.Sparse([find(texts[r[0]]) for r in rows], find.size)
+    says = model.label_model.posterior(votes) > 0.5
+    turned = [(said, r[2]) for said, r in zip(says, rows) if told[r[0]] != r[2]]
+    assert np.mean([said == truth for said, truth in turned]) > 0.95
+
+
+def test_toxic_documents_by_language(spark, sf_dir):
+    """Held-out rows of the smallest tables that have enough of them."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    got = {r.lang: r for r in scored.groupBy("lang").agg(F.sum("toxic").alias("n"), F.sum(F.expr("toxic * predicted")).alias("hit"), F.sum(F.expr("(1 - toxic) * predicted")).alias("wrong"), F.count("*").alias("all")).collect()}
+    assert len(got) == 4
+    for r in got.values():
+        assert r.hit >= 0.9 * r.n and r.wrong <= 0.01 * r["all"]
+
+
+def test_text_ids_and_odd_column_names(spark):
+    docs, labels, _ = made(spark, 200)
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    odd = named(docs).withColumn("a.b", F.lit(1)).withColumn("doc", F.lit(2))
+    for module in (toxicity, quality):
+        scored = module.score_documents(named(docs), module.fit(named(docs), named(labels)))
+        assert scored.schema["doc_id"].dataType.simpleString() == "string" and scored.count() == 200
+    kept = toxicity.clean_documents(odd, toxicity.fit(odd, named(labels)))
+    assert kept.columns == odd.columns and 0 < kept.count() < 200
 
 
 def test_attention_gradient():

@@ -160,7 +160,7 @@ def _bags(rows: DataFrame) -> DataFrame:
             bags = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(x.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), bags], ["id", "y", "x"])
 
-    return rows.select("id", "y", "text").mapInArrow(run, "id bigint, y int, x array<float>")
+    return rows.select("id", "y", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "quality", max_train: int = MAX_TRAIN) -> Attention | float:

@@ -1,22 +1,24 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-Voters say toxic, clean or nothing of a text. They are: one lexicon of common insults for each
+Voters say toxic or nothing of a text. They are: one lexicon of common insults for each
 of four languages; terms found in labelled rows; patterns (some term at all, several different
-ones, terms in one of a hundred words, an insult near a form of address, terms in capitals);
-and one that says clean where no term is found. A term is a word or a beginning of 3 to 7
+ones, terms in one of a hundred words, an insult near a form of address, terms in capitals).
+A term is a word or a beginning of 3 to 7
 letters, either present at all or dense: in one of a hundred words. All words and beginnings
 are counted and tested on the cluster, by a binomial bound on the share of toxic texts,
 corrected for the number of terms tried. Of terms that begin with one another only the one
 with the strongest evidence votes, so that a word and its beginnings are one voter.
 
-The label model treats a text's class as hidden: it estimates, by expectation-maximisation,
-how each voter votes on either class and how the voters are correlated within a class, and
-counts a voter the less the more others repeat it; a voter for toxic can not come to speak for
-clean. The label itself is one more voter, which may err like the others. The posteriors are the targets of a logistic regression over the terms and patterns,
-which scores every whole text.
+The label model treats a text's class as hidden: from the voters' agreement alone it estimates,
+by expectation-maximisation, how often each voter speaks in either class and how the voters
+are correlated within a class, and counts a voter the less the more others repeat it; a voter for
+toxic can not come to speak for clean. A text's label is no voter, so the posterior may differ from
+it. The posteriors are the targets of a logistic regression over the terms and patterns, which
+scores every whole text.
 
 Labels, from rows that are not held out only, serve to find terms and to set the classes'
-shares; MAX_TRAIN rows at most are used, chosen by a hash of the id.
+shares; MAX_TRAIN rows at most are used, chosen by a hash of the id, and equal texts once. The driver holds the features
+of those rows as lists, and pairs of features that one of them has.
 
 Defined results: null and empty texts have no term and get the score of such texts. Without
 usable labels the lexicons and patterns alone vote. Rows of equal id are scored each, equal
@@ -46,6 +48,10 @@ THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7)
 #: A term is dense in a text if one of so many words has it.
 DENSE = 100
+#: Part of the way from the share of toxic texts to the strongest term's that a term has to come.
+PURE = 0.75
+#: Correlation from which a voter repeats another; the weak ties of one to many others are none.
+REPEATS = 0.5
 #: Words before an insult that are searched for a form of address.
 NEAR = 5
 
@@ -123,66 +129,108 @@ class Finder:
         return sorted(found)
 
 
+class Sparse:
+    """Rows of feature ids as a matrix of zeros and ones."""
+
+    def __init__(self, rows: list[list[int]], size: int) -> None:
+        self.n, self.size = len(rows), size
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.ids = np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum()))
+        self.owner = np.repeat(np.arange(self.n), sizes)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, w[self.ids], self.n)
+
+    def transposed_dot(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ids, v[self.owner], self.size)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, Sparse]:
+        """The pairs of features that share a row as (lower, higher), and the rows as lists of pairs."""
+        found: dict[int, int] = {}
+        rows: list[list[int]] = []
+        for own in np.split(self.ids, np.flatnonzero(np.diff(self.owner)) + 1) if len(self.ids) else []:
+            own = np.sort(own)
+            i, j = np.triu_indices(len(own), 1)
+            rows.append([found.setdefault(k, len(found)) for k in (own[i] * self.size + own[j]).tolist()])
+        keys = np.fromiter(found, np.int64, len(found))
+        out = Sparse(rows, len(found))
+        # Rows without features have no pairs and no place in the list above.
+        out.n, out.owner = self.n, np.unique(self.owner)[out.owner] if len(out.owner) else out.owner
+        return keys // self.size, keys % self.size, out
+
+
 @dataclass
 class LabelModel:
-    """Class-conditional vote rates of each voter, and what its vote counts beside correlated ones."""
+    """How often each voter speaks in the clean and the toxic class, and what it counts beside correlated ones.
+
+    Each voter says toxic or nothing. The silence of some counts as well, by the same rates; that of
+    others tells nothing, as that of a term, which most toxic texts of its own language lack as well.
+    """
 
     share: float
-    rates: np.ndarray = field(default_factory=lambda: np.empty((0, 2, 3)))
+    silence: np.ndarray
+    rates: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic) of each row of votes (-1 clean, 0 nothing, 1 toxic)."""
-        logs = np.log(self.rates)
-        each = logs[:, 1, :] - logs[:, 0, :]
-        total = np.full(len(votes), np.log(self.share / (1 - self.share)))
-        for j in range(votes.shape[1]):
-            total += self.weight[j] * each[j][votes[:, j] + 1]
+    def posterior(self, votes: Sparse) -> np.ndarray:
+        """P(toxic) of each row of voters that speak."""
+        speaks = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])
+        silent = np.where(self.silence, np.log1p(-self.rates[:, 1]) - np.log1p(-self.rates[:, 0]), 0)
+        total = np.log(self.share / (1 - self.share)) + (self.weight * silent).sum() + votes.dot(self.weight * (speaks - silent))
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
-    def fit(self, votes: np.ndarray, rounds: int = 25) -> LabelModel:
-        """Estimates from the votes; the last column, the most trusted voter, sets the first guess."""
-        n, m = votes.shape
-        p = np.where(votes[:, -1] > 0, 0.95, 0.05)
-        self.weight = np.ones(m)
+    def fit(self, votes: Sparse, rounds: int = 25) -> LabelModel:
+        """Estimates from the votes alone; at first a row is toxic if any voter speaks."""
+        p = np.where(votes.dot(np.ones(votes.size)) > 0, 0.95, 0.05)
+        self.weight = np.ones(votes.size)
+        pairs = votes.pairs()
         for _ in range(rounds):
-            w = np.stack([1 - p, p], 1)
-            rates = np.stack([(w.T @ (votes == v) + 0.1 * (v == 0) + 0.01) / (w.sum(0)[:, None] + 0.12) for v in (-1, 0, 1)], 2).transpose(1, 0, 2)
-            # Voters are what they were made to be: no vote counts against its own side.
-            rates[:, 1, 2] = np.maximum(rates[:, 1, 2], rates[:, 0, 2])
-            rates[:, 0, 0] = np.maximum(rates[:, 0, 0], rates[:, 1, 0])
-            rates[:, :, 1] = np.maximum(1 - rates[:, :, 0] - rates[:, :, 2], 1e-6)
-            self.rates = rates
-            self.weight = 1 / self._repeats(votes.astype(np.float32), p)
+            w = np.stack([1 - p, p])
+            rates = np.stack([(votes.transposed_dot(x) + 0.01) / (x.sum() + 0.12) for x in w], 1)
+            # Voters are what they were made to be: none speaks more in the clean class.
+            rates[:, 1] = np.maximum(rates[:, 1], rates[:, 0])
+            self.rates = np.clip(rates, 1e-6, 1 - 1e-6)
+            self.weight = 1 / self._repeats(votes, pairs, w)
             p = self.posterior(votes)
         return self
 
-    def _repeats(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """For each voter 1 plus its squared correlations with the others, given the class."""
-        total = np.zeros((votes.shape[1],) * 2)
-        for w in (1 - p, p):
+    def _repeats(self, votes: Sparse, pairs: tuple, weights: np.ndarray) -> np.ndarray:
+        """For each voter 1 plus its squared correlations with those that repeat it, given the class."""
+        low, high, rows = pairs
+        most = np.zeros(len(low))
+        for w in weights:
             w = w / max(w.sum(), 1e-9)
-            mean = w @ votes
-            cov = (votes * w[:, None]).T @ votes - np.outer(mean, mean)
-            sd = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
-            total = np.maximum(total, np.clip(cov / np.outer(sd, sd), 0, 1) ** 2)
-        np.fill_diagonal(total, 0)
-        return 1 + total.sum(1)
-
-
-def fit_logistic(rows: list[list[int]], size: int, y: np.ndarray, l2: float = 0.01, steps: int = 30) -> np.ndarray:
-    """Weights and, last, the bias: Newton steps on soft labels."""
-    x = np.zeros((len(rows), size + 1), np.float64)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    x[:, -1] = 1
-    w = np.zeros(size + 1)
-    ridge = np.full(size + 1, l2 * 10)
+            mean = votes.transposed_dot(w)
+            sd = np.sqrt(np.clip(mean * (1 - mean), 1e-6, None))
+            cov = rows.transposed_dot(w) - mean[low] * mean[high]
+            tied = np.clip(cov / (sd[low] * sd[high]), 0, 1)
+            most = np.maximum(most, np.where(tied >= REPEATS, tied, 0) ** 2)
+        return 1 + np.bincount(low, most, votes.size) + np.bincount(high, most, votes.size)
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, l2: float = 0.01, steps: int = 30) -> np.ndarray:
+    """Weights and, last, the bias: Newton steps on soft labels, each solved by conjugate gradients, so that no square matrix is held."""
+    w, ridge = np.zeros(x.size + 1), np.full(x.size + 1, l2 * 10)
     ridge[-1] = 1e-6
+    dot = lambda v: x.dot(v[:-1]) + v[-1]
+    back = lambda v: np.append(x.transposed_dot(v), v.sum())
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += step
+        p = 1 / (1 + np.exp(-np.clip(dot(w), -30, 30)))
+        curve = p * (1 - p) + 1e-9
+        left = back(y - p) - ridge * w
+        scale = 1 / (back(curve) + ridge)
+        step, rest = np.zeros_like(w), left
+        z = scale * rest
+        way, size = z, rest @ z
+        for _ in range(200):
+            if size < 1e-16:
+                break
+            bent = back(curve * dot(way)) + ridge * way
+            far = size / (way @ bent)
+            step, rest = step + far * way, rest - far * bent
+            z = scale * rest
+            way, size = z + (rest @ z) / size * way, rest @ z
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -241,8 +289,11 @@ def find_terms(sample: DataFrame) -> list[str]:
         return []
     share = F.lit(min(0.9, max(1e-3, every["t"] / (every["t"] + every["c"]))))
     tiers = F.explode(F.array(F.struct(F.lit("").alias("mark"), F.col("t"), F.col("c")), F.struct(F.lit("+").alias("mark"), F.col("td").alias("t"), F.col("cd").alias("c")))).alias("x")
-    tested = counted.where("term <> ''").select("term", tiers).where("x.t >= 3 AND x.t > 4 * x.c").select("term", F.col("x.mark").alias("mark"), _evidence(F.col("x.t"), F.col("x.c"), share).alias("evidence"))
-    passed = tested.where(F.col("evidence") > float(np.log(10 * 2 * every["tried"]))).collect()
+    tested = counted.where("term <> ''").select("term", tiers).where("x.t >= 3").select("term", F.col("x.mark").alias("mark"), (F.col("x.t") / (F.col("x.t") + F.col("x.c"))).alias("toxic"), _evidence(F.col("x.t"), F.col("x.c"), share).alias("evidence"))
+    tested = tested.where(F.col("evidence") > float(np.log(10 * 2 * every["tried"])))
+    # How toxic the texts of the strongest term are labelled tells how far labels can be trusted; others have to come near it.
+    top = tested.agg(F.max_by("toxic", F.struct("evidence", "term", "mark"))).first()[0]
+    passed = tested.where(F.col("toxic") >= share + PURE * (F.lit(top) - share)).collect()
     out: list[str] = []
     taken: set[str] = set()
     heads: set[str] = set()
@@ -263,37 +314,29 @@ def _found(rows: DataFrame, terms: list[str]) -> DataFrame:
         for batch in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([find(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["id", "y", "found"])
 
-    return rows.select("id", "y", "text").mapInArrow(run, "id bigint, y int, found array<int>")
-
-
-def votes_of(rows: list[list[int]], size: int, y: np.ndarray) -> np.ndarray:
-    """One column for each feature, voting toxic where it is found, one that says clean where none is, and the label, one more voter that may err."""
-    votes = np.zeros((len(rows), size + 2), np.int8)
-    for i, r in enumerate(rows):
-        votes[i, r] = 1
-        votes[i, -2] = 0 if r else -1
-    votes[:, -1] = np.where(y > 0, 1, -1)
-    return votes
+    return rows.select("id", "y", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, found array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    sample = training_sample(docs, labels, target, max_train, id_col, text_col)
     with scratch(docs.sparkSession):
+        # Copies of a text are one witness, or the words of a much copied text would all seem tied to its label.
+        sample = training_sample(docs, labels, target, max_train, id_col, text_col).groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
+        sample = materialise(sample, "toxicity-sample")
         terms = find_terms(sample)
-    finder = Finder(terms)
-    rows = _found(sample, terms).orderBy("id").collect()
+        finder = Finder(terms)
+        rows = _found(sample, terms).orderBy("id").collect()
     found, y = [r["found"] for r in rows], np.array([r["y"] for r in rows], float)
     share = min(0.5, max(0.01, y.mean())) if len(y) else 0.1
     if not len(y) or not any(found):
         # Nothing to learn from: the fixed lexicons and patterns speak for themselves.
         return Model(terms, np.append(np.full(finder.size, 4.0), -3.0))
-    votes = votes_of(found, finder.size, y)
-    model = LabelModel(share).fit(votes)
+    votes = Sparse(found, finder.size)
+    model = LabelModel(share, np.arange(finder.size) >= finder.several).fit(votes)
     targets = model.posterior(votes)
     # Features that the sample lacks keep what a lexicon says by itself.
     absent = np.ones(finder.size, bool)
     absent[sorted(set().union(*found))] = False
-    weights = fit_logistic(found, finder.size, targets)
+    weights = fit_logistic(votes, targets)
     absent[finder.several :] = False
     weights[:-1][absent] = 4.0
     return Model(terms, weights, model)
@@ -313,12 +356,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the model does not call toxic; all columns and their order are kept."""
+    """The documents that the model does not call toxic; all columns, whatever their names, and their order are kept."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), whole_text(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(model.terms)
-        for batch in text_slices(batches, text_col):
-            keep = [model.score(find(t or "")) < threshold for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in text_slices(batches, "text"):
+            keep = [model.score(find(t)) < threshold for t in batch.column("text").to_pylist()]
+            yield batch.select(["doc"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole.mapInArrow(run, whole.select("doc").schema).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
