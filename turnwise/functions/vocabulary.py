@@ -81,16 +81,18 @@ def str39_term_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), t.alias("term")).select("item", "term", term_problem(F.col("term")).alias("problem"), term_key(F.col("term")).alias("key"))
 
 
-def locate_words(text: Column, words: Column) -> Column:
-    """For each word its (begin, end) in the text, found after the one before; null for a word that is empty or not found there, which leaves the cursor where it is."""
+def locate_words(text: Column, words: Column, keep_lost: bool = False) -> Column:
+    """For each word its (begin, end) in the text, found after the one before; null for a word that is empty or not found there, which leaves the cursor where it is. keep_lost: such a word stands at the cursor and moves it by its length."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("places"))
 
     def step(acc: Column, word: Column) -> Column:
-        token = F.trim(word)
+        token = F.trim(F.coalesce(word, F.lit("")))
         found = F.call_function("locate", token, text, acc["at"] + 1) - 1
         hit = (token != "") & (found >= 0)
-        place = F.when(hit, F.struct(found.alias("begin"), (found + F.length(token)).alias("end")))
-        return F.struct(F.when(hit, found + F.length(token)).otherwise(acc["at"]).alias("at"), F.array_append(acc["places"], place).alias("places"))
+        begin = F.when(hit, found).otherwise(acc["at"]) if keep_lost else found
+        place = F.struct(begin.alias("begin"), (begin + F.length(token)).alias("end"))
+        place = place if keep_lost else F.when(hit, place)
+        return F.struct((begin + F.length(token) if keep_lost else F.when(hit, found + F.length(token)).otherwise(acc["at"])).alias("at"), F.array_append(acc["places"], place).alias("places"))
 
     return F.aggregate(words, start, step)["places"]
 

@@ -2,12 +2,13 @@
 
 Jobs are orders; a job requires the job of the same agent before it. Closures run as rounds
 of joins, each cut by a written table, until no pair is new; every round follows twice as
-long paths, so their number is logarithmic in the longest chain.
+long paths, so their number is logarithmic in the longest chain. What lies behind given jobs is
+found by waves from these, without a closure.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnwise.registry import register
 from turnwise.session import materialise
@@ -38,6 +39,27 @@ def closure(edges: DataFrame) -> DataFrame:
         n = now
 
 
+def nearest_seed(edges: DataFrame, seeds: DataFrame, order: list[str]) -> DataFrame:
+    """(job, seed, depth) of every job behind a seed: the one at the fewest edges, of those the first in the order.
+
+    Waves go down the edges from all seeds at once and stop at jobs that were reached before, so each
+    edge is followed once, whatever the number of paths; a cycle ends by itself. seeds: job and
+    the columns of `order`, by which two seeds are told apart.
+    """
+    front = materialise(seeds.select(F.col("job").alias("at"), F.struct(*order, F.col("job").alias("seed")).alias("by")), "wave")
+    reached, depth = None, 0
+    while True:
+        depth += 1
+        wave = edges.join(front, edges["upstream"] == front["at"]).groupBy("job").agg(F.min("by").alias("by"))
+        if reached is not None:
+            wave = wave.join(reached, "job", "left_anti")
+        wave = materialise(wave.withColumn("depth", F.lit(depth)), "wave")
+        if wave.isEmpty():
+            return (reached if reached is not None else wave).select("job", F.col("by.seed").alias("seed"), "depth")
+        reached = wave if reached is None else reached.unionByName(wave)
+        front = wave.select(F.col("job").alias("at"), "by")
+
+
 _CLOSURE = _EDGES + ", c AS (WITH RECURSIVE r(job, upstream, depth) AS (SELECT job, upstream, 1 FROM edges UNION ALL SELECT r.job, e.upstream, depth + 1 FROM r JOIN edges e ON r.upstream = e.job) SELECT job, upstream, min(depth) AS depth FROM r GROUP BY 1, 2)"
 
 
@@ -58,8 +80,10 @@ def gr02_would_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gr03_dead_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs behind a failed one."""
-    states = calls(spark, sf_dir).select(F.col("call_id").alias("upstream"), "state")
-    return closure(edges(spark, sf_dir)).join(states, "upstream").groupBy("job").agg(F.bool_or(F.col("state") == "F").alias("dead_blocked"))
+    e = edges(spark, sf_dir)
+    failed = calls(spark, sf_dir).where("state = 'F'").select(F.col("call_id").alias("job"))
+    behind = nearest_seed(e, failed, []).select("job", F.lit(True).alias("dead"))
+    return e.select("job").distinct().join(behind, "job", "left").select("job", F.coalesce("dead", F.lit(False)).alias("dead_blocked"))
 
 
 @register("gr04_ready", oracle(_EDGES + "SELECT c.call_id AS job, coalesce(bool_and(u.state = 'P'), true) AS ready FROM calls c LEFT JOIN edges e ON c.call_id = e.job LEFT JOIN calls u ON e.upstream = u.call_id GROUP BY 1"))
@@ -74,8 +98,8 @@ def gr04_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("gr05_first_failure", oracle(_CLOSURE + "SELECT job, min_by(upstream, (depth, upstream)) AS failed FROM c JOIN calls u ON c.upstream = u.call_id WHERE u.state = 'F' GROUP BY 1"))
 def gr05_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest failed job upstream."""
-    failed = calls(spark, sf_dir).where("state = 'F'").select(F.col("call_id").alias("upstream"))
-    return closure(edges(spark, sf_dir)).join(failed, "upstream").groupBy("job").agg(F.min_by("upstream", F.struct("depth", "upstream")).alias("failed"))
+    failed = calls(spark, sf_dir).where("state = 'F'").select(F.col("call_id").alias("job"))
+    return nearest_seed(edges(spark, sf_dir), failed, []).select("job", F.col("seed").alias("failed"))
 
 
 @register(
@@ -103,3 +127,54 @@ def gr07_reduce_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.greatest(F.lit(1), F.ceil(F.log2("all_leaves")).cast("bigint"))
     leaves = ranked.select("agent_id", "leaf", F.explode(F.sequence(F.lit(1).cast("bigint"), top)).alias("level"))
     return leaves.groupBy("agent_id", "level", F.expr("leaf div CAST(power(2, level) AS BIGINT)").alias("node")).agg(F.count("*").alias("leaves"))
+
+
+#: Stages of a result and those that each one reads, in topological order.
+STAGES = {"categorize": (), "thresholds": (), "spans": ("categorize", "thresholds"), "subcategorize": ("spans",), "extract": ("subcategorize",), "merge": ("spans", "subcategorize", "extract")}
+#: Stages that a model runs; the others are worked out anew from what is stored.
+MODELS = ("categorize", "subcategorize", "extract")
+
+
+def plan_rerun(digests: DataFrame, item: str, stages: dict[str, tuple[str, ...]], models: tuple[str, ...], rerun_all: Column | None = None) -> DataFrame:
+    """(item, run, rederive, carry, reasons) by the digests of (item, stage, old, new).
+
+    A stage is stale if its digest differs from the one its result was made with, if it has none, or
+    if a stage that it reads is stale; staleness is pushed down in the order of `stages`, one
+    expression a stage, so there is one aggregation over the digests and no join. run: stale
+    stages with a model, rederive: those without; carry: all others. reasons: for stages
+    whose own digest differs "new" or "changed". rerun_all: a condition over an item's rows.
+    A stage without a row is as stale as what it reads.
+    """
+    reason = F.when(F.col("new").isNull(), None).when(F.col("old").isNull(), "new").when(F.col("old") != F.col("new"), "changed")
+    wide = digests.groupBy(item).agg(*[F.max(F.when(F.col("stage") == s, reason)).alias(f"_{s}") for s in stages], F.coalesce(F.bool_or(rerun_all), F.lit(False)).alias("_all") if rerun_all is not None else F.first(F.lit(False)).alias("_all"))
+    stale: dict[str, Column] = {}
+    for s, reads in stages.items():
+        stale[s] = F.col("_all") | F.col(f"_{s}").isNotNull()
+        for r in reads:
+            stale[s] = stale[s] | stale[r]
+    pick = lambda names, wanted: F.array_compact(F.array(*[F.when(stale[s] if wanted else ~stale[s], F.lit(s)) for s in names]))
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"_{s}").isNotNull(), F.concat(F.lit(f"{s}:"), F.col(f"_{s}"))) for s in stages]))
+    return wide.select(item, pick([s for s in stages if s in models], True).alias("run"), pick([s for s in stages if s not in models], True).alias("rederive"), pick(list(stages), False).alias("carry"), reasons.alias("reasons"))
+
+
+@register(
+    "gr08_rerun_plan",
+    oracle("""
+, d AS (SELECT call_id, stage, CASE WHEN call_id % 17 = 0 THEN NULL ELSE md5(stage || (score_tenths % 5)) END AS old,
+  md5(stage || CASE WHEN (score_tenths + length(stage)) % 9 = 0 THEN 9 ELSE score_tenths % 5 END) AS new, state FROM calls, (SELECT unnest(['categorize', 'thresholds', 'subcategorize', 'extract']) AS stage)),
+w AS (SELECT call_id, bool_or(state = 'P') AS al, bool_or(stage = 'categorize' AND old IS DISTINCT FROM new) AS c, bool_or(stage = 'thresholds' AND old IS DISTINCT FROM new) AS t,
+  bool_or(stage = 'subcategorize' AND old IS DISTINCT FROM new) AS s, bool_or(stage = 'extract' AND old IS DISTINCT FROM new) AS x FROM d GROUP BY 1),
+z AS (SELECT call_id, al OR c AS c, al OR t AS t, al OR c OR t AS p, al OR c OR t OR s AS s, al OR c OR t OR s OR x AS x FROM w)
+SELECT call_id, concat_ws(',', CASE WHEN c THEN 'categorize' END, CASE WHEN s THEN 'subcategorize' END, CASE WHEN x THEN 'extract' END) AS run,
+  concat_ws(',', CASE WHEN t THEN 'thresholds' END, CASE WHEN p THEN 'spans' END, CASE WHEN x THEN 'merge' END) AS rederive,
+  concat_ws(',', CASE WHEN NOT c THEN 'categorize' END, CASE WHEN NOT t THEN 'thresholds' END, CASE WHEN NOT p THEN 'spans' END, CASE WHEN NOT s THEN 'subcategorize' END, CASE WHEN NOT x THEN 'extract' END, CASE WHEN NOT x THEN 'merge' END) AS carry
+FROM z"""),
+)
+def gr08_rerun_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each call's result has to run again after its taxonomy changed; calls in state P run all."""
+    c = calls(spark, sf_dir).select("call_id", "state", "score_tenths", F.explode(F.array(*[F.lit(s) for s in ("categorize", "thresholds", "subcategorize", "extract")])).alias("stage"))
+    made = lambda v: F.md5(F.concat("stage", v.cast("string")))
+    fifth = F.col("score_tenths") % 5
+    d = c.select("call_id", "state", "stage", F.when(F.col("call_id") % 17 != 0, made(fifth)).alias("old"), made(F.when((F.col("score_tenths") + F.length("stage")) % 9 == 0, 9).otherwise(fifth)).alias("new"))
+    plan = plan_rerun(d, "call_id", STAGES, MODELS, F.col("state") == "P")
+    return plan.select("call_id", *[F.array_join(n, ",").alias(n) for n in ("run", "rederive", "carry")])
