@@ -26,10 +26,12 @@ table gives an empty result. Only id and text are used, so other columns cannot
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +44,22 @@ from turnwise.llm.text import text_slices, whole_text
 from turnwise.session import materialise, scratch
 
 #: Bytes of a stripe's matrix.
-MATRIX_BYTES = 48 << 20
+MATRIX_BYTES = 24 << 20
 #: Bytes of compressed pages in a cell.
 CELL_BYTES = 32 << 20
 #: Bytes of text and rows of a page.
 PAGE_BYTES, PAGE_ROWS = 2 << 20, 1024
 #: Pieces that a task remembers, and pairs it sums before it sends them on.
-PIECES, PAIRS = 200_000, 1_500_000
+PIECES, PAIRS = 300_000, 1_500_000
+#: Pieces that are tokenized in one text.
+TOGETHER = 64
 
 #: A space after one of these characters starts a new piece; others may be white space to a tokenizer.
-_SOLID = re.compile(r"[!-~\w]")
+_SOLID = frozenset(map(chr, range(0x21, 0x7F)))
+
+
+def _solid(text: str) -> bool:
+    return text[-1:] in _SOLID or text[-1:].isalnum()
 
 
 def pieces(text: str) -> list[str]:
@@ -65,7 +73,7 @@ def pieces(text: str) -> list[str]:
             out[-1] += " " + word
         else:
             out.append(" " + word)
-        solid = bool(word) and _SOLID.match(word, len(word) - 1) is not None
+        solid = _solid(word)
     return out
 
 
@@ -114,29 +122,27 @@ class PiecesB:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, int, list[int], list[int]]:
-    """(groups as text, their number, A ids and B ids of the links) of two token sequences over the same bytes."""
-    links_a, links_b, groups = [], [], []
-    i = j = a0 = b0 = 0
-    a_end = len(a_bytes[a[0]])
-    b_end = len(b_bytes[b[0]])
-    while True:
-        links_a.append(a[i])
-        links_b.append(b[j])
-        if a_end == b_end:
-            groups.append(",".join(map(str, a[a0 : i + 1])) + "|" + ",".join(map(str, b[b0 : j + 1])))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), len(groups), links_a, links_b
-            a0, b0 = i, j
-            a_end += len(a_bytes[a[i]])
-            b_end += len(b_bytes[b[j]])
-        elif a_end < b_end:
-            i += 1
-            a_end += len(a_bytes[a[i]])
-        else:
-            j += 1
-            b_end += len(b_bytes[b[j]])
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind: type, width: tuple[int, ...] = ()) -> None:
+        self.held, self.n = np.empty((1024, *width), kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            wider = np.empty((max(2 * len(self.held), self.n + len(values)), *self.held.shape[1:]), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+def _fits(ids: list[list[int]], names: list[bytes], raw: list[bytes]) -> list[bool]:
+    """Whether the tokens of each text join to its bytes."""
+    return [b"".join(map(names.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)]
 
 
 class Aligner:
@@ -145,29 +151,72 @@ class Aligner:
     def __init__(self, a: ByteLevelA, b: PiecesB) -> None:
         self.a, self.b = a, b
         self.cuts = a.cuts and b.cuts
+        self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in (a, b)]
+        #: An id in decimal with what follows it: inside a group and at its end, first of A, then of B.
+        self.words = [f"{i}{mark}" for side, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(side.size)]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.numbers: list[tuple[int, int, int]] = []  # A tokens (-1: the bytes differ), B tokens, groups
-        self.starts: list[int] = [0]
-        self.links: list[np.ndarray] = []  # B id << 32 | A id
+        self.numbers = Grown(np.int64, (3,))  # A tokens (-1: the bytes differ), B tokens, groups
+        self.starts = Grown(np.int64)
+        self.starts.add(np.zeros(1, np.int64))
+        self.links = Grown(np.uint64)  # B id << 32 | A id
 
     def learn(self, new: list[str]) -> None:
-        for piece, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            raw = piece.encode()
-            self.known[piece] = len(self.groups)
-            if b"".join(map(self.a.bytes.__getitem__, a)) == raw == b"".join(map(self.b.bytes.__getitem__, b)):
-                text, n, links_a, links_b = align(a, b, self.a.bytes, self.b.bytes)
-                self.groups.append(text)
-                self.numbers.append((len(a), len(b), n))
-                self.links.append(np.array(links_b, np.uint64) << np.uint64(32) | np.array(links_a, np.uint64))
-            else:
-                self.groups.append("")
-                self.numbers.append((-1, 0, 0))
-                self.links.append(np.empty(0, np.uint64))
-            self.starts.append(self.starts[-1] + len(self.links[-1]))
+        """All new pieces at once: laid end to end, both sides cut the same bytes, and each stretch between two cuts of either side is one link.
+
+        Pieces that end in a solid character are tokenized many in one text, since neither tokenizer
+        merges across to the next one; a text whose bytes differ is taken apart again.
+        """
+        firm = [x for x in new if self.cuts and _solid(x)]
+        groups = [firm[i : i + TOGETHER] for i in range(0, len(firm), TOGETHER)]
+        groups += [[x] for x in new if not (self.cuts and _solid(x))]
+        a, b, good = self._tokens(groups)
+        apart = [[x] for g, ok in zip(groups, good, strict=True) if not ok and len(g) > 1 for x in g]
+        lost = [g[0] for g, ok in zip(groups, good, strict=True) if not ok and len(g) == 1]
+        fine = [(g, x, y) for g, x, y, ok in zip(groups, a, b, good, strict=True) if ok]
+        if apart:
+            a, b, good = self._tokens(apart)
+            fine += [(g, x, y) for g, x, y, ok in zip(apart, a, b, good, strict=True) if ok]
+            lost += [g[0] for g, ok in zip(apart, good, strict=True) if not ok]
+        kept = [x for g, _, _ in fine for x in g]
+        for piece in (*kept, *lost):
+            self.known[piece] = len(self.known)
+        sizes = np.array([len(x.encode()) for x in kept], np.int64)
+        sides = [np.fromiter(itertools.chain.from_iterable(f[i] for f in fine), np.int64) for i in (1, 2)]
+        ends = [np.cumsum(lengths[ids]) for ids, lengths in zip(sides, self.lengths, strict=True)]
+        cuts = np.union1d(*ends)
+        at = [np.searchsorted(e, cuts) for e in ends]
+        both = (ends[0][at[0]] == cuts) & (ends[1][at[1]] == cuts) if len(cuts) else np.empty(0, bool)
+        shared = cuts[both]
+        borders = np.cumsum(sizes)
+        per_piece = lambda places: np.diff(np.searchsorted(places, borders, "right"), prepend=0)
+        n_a, n_b = map(per_piece, ends)
+        self.numbers.add(np.column_stack([n_a, n_b, per_piece(shared)]))
+        self.numbers.add(np.tile(np.array([-1, 0, 0], np.int64), (len(lost), 1)))
+        begin = self.links.n + np.cumsum(per_piece(cuts))
+        self.starts.add(np.append(begin, np.full(len(lost), begin[-1] if len(begin) else self.links.n)))
+        self.links.add(sides[1][at[1]].astype(np.uint64) << np.uint64(32) | sides[0][at[0]].astype(np.uint64))
+        # Of each group A's ids, then B's.
+        group = [np.searchsorted(shared, e) for e in ends]
+        last = [shared[g] == e if len(e) else np.empty(0, bool) for g, e in zip(group, ends, strict=True)]
+        word = np.concatenate([sides[0] + last[0] * self.a.size, 2 * self.a.size + sides[1] + last[1] * self.b.size])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        said = list(map(self.words.__getitem__, word[order].tolist()))
+        lo = 0
+        for n in (n_a + n_b).tolist():
+            self.groups.append("".join(said[lo : lo + n])[:-1])
+            lo += n
+        self.groups += [""] * len(lost)
+
+    def _tokens(self, groups: list[list[str]]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """A's and B's ids of each group's text, and whether both join to its bytes."""
+        texts = ["".join(g) for g in groups]
+        raw = [t.encode() for t in texts]
+        a, b = self.a.encode(texts), self.b.encode(texts)
+        return a, b, [x and y for x, y in zip(_fits(a, self.a.bytes, raw), _fits(b, self.b.bytes, raw), strict=True)]
 
     def page(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """((n_a, n_b, n_groups, n_links, digest) of each text, and the texts' distinct links: pair, text, number), pairs ascending."""
@@ -175,36 +224,40 @@ class Aligner:
         distinct = set().union(*cut)
         if len(self.known) + len(distinct) > PIECES:
             self.clear()
-        self.learn(sorted(distinct.difference(self.known)))
-        numbers, starts = np.array(self.numbers, np.int64).reshape(-1, 3), np.array(self.starts, np.int64)
-        flat = np.concatenate(self.links) if self.links else np.empty(0, np.uint64)
-        rows, used, owner = [], [], []
-        for k, parts in enumerate(cut):
-            at = list(map(self.known.__getitem__, parts))
-            own = numbers[at].sum(0) if at else None
-            if not at or (numbers[at, 0] < 0).any():
-                rows.append((0, 0, 0, 0, ""))
-                continue
-            ids = np.array(at, np.int64)
-            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at)).encode()).hexdigest()
-            rows.append((*own.tolist(), int((starts[ids + 1] - starts[ids]).sum()), digest))
-            found, times = np.unique(ids, return_counts=True)
-            used.append(np.stack([found, times]))
-            owner.append(np.full(len(found), k))
-        if not used:
+        if new := sorted(distinct.difference(self.known)):
+            self.learn(new)
+        numbers, starts, flat = self.numbers.all(), self.starts.all(), self.links.all()
+        at = [list(map(self.known.__getitem__, parts)) for parts in cut]
+        sizes = np.array([len(x) for x in at], np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(at), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(at)), sizes)
+        known = sizes > 0
+        known[owner[numbers[ids, 0] < 0]] = False
+        n_links = starts[1:] - starts[:-1]
+        sums = [np.bincount(owner, x[ids], len(at)).astype(np.int64).tolist() for x in (*numbers.T, n_links)]
+        rows = [(*x, hashlib.sha256(";".join(map(self.groups.__getitem__, own)).encode()).hexdigest()) if ok else (0, 0, 0, 0, "") for own, ok, *x in zip(at, known.tolist(), *sums, strict=True)]
+        here = known[owner]
+        # Distinct pieces of each text, with how often it has them.
+        both, times = np.unique(owner[here] * (len(starts) + 1) + ids[here], return_counts=True)
+        texts_of, found = np.divmod(both, len(starts) + 1)
+        if not len(found):
             return rows, *[np.empty(0, t) for t in (np.uint64, np.int64, np.int64)]
-        found, times = np.concatenate(used, 1)
-        texts_of = np.concatenate(owner)
         lengths = starts[found + 1] - starts[found]
         spread = np.repeat(np.arange(len(found)), lengths)
-        at = np.arange(len(spread)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[found][spread]
-        pair, text, number = flat[at], texts_of[spread], times[spread]
+        places = np.arange(len(spread)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[found][spread]
+        pair, text, number = flat[places], texts_of[spread], times[spread]
         order = np.lexsort((text, pair))
         pair, text, number = pair[order], text[order], number[order]
         first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])))
         return rows, pair[first], text[first], np.add.reduceat(number, first)
 
 
+@lru_cache(maxsize=1)
+def _aligner(a_content: bytes, b_content: bytes) -> Aligner:
+    """Tokenizers are loaded once for a worker process; what a task learnt is dropped at its end."""
+    return Aligner(ByteLevelA(a_content), PiecesB(b_content))
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -265,7 +318,8 @@ def _tokenize(rows: DataFrame, a_content: bytes, b_content: bytes, matrix_bytes:
             yield {"stripe": stripe, "page": page, "kind": kind, "bytes": len(packed), "packed": packed}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(ByteLevelA(shipped.value[0]), PiecesB(shipped.value[1]))
+        aligner = _aligner(*shipped.value)
+        aligner.clear()
         stripes = Stripes(aligner.a.size, aligner.b.size, matrix_bytes)
         page, schema = TaskContext.get().partitionId() << 32, None
         held_pairs, held_sums = [], []
@@ -289,6 +343,7 @@ def _tokenize(rows: DataFrame, a_content: bytes, b_content: bytes, matrix_bytes:
                     held_pairs, held_sums = [], []
             yield pa.RecordBatch.from_pylist(rows, schema)
             page += 1
+        aligner.clear()
         if held_pairs:
             keys, sums = _summed(np.concatenate(held_pairs), np.concatenate(held_sums))
             yield pa.RecordBatch.from_pylist(list(by_stripe(stripes, page, _PAIRS, keys, sums.astype("<i8"))), schema)
