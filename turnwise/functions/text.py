@@ -67,31 +67,31 @@ def evidence(texts: DataFrame, quotes: DataFrame, id_col: str, quote_id: str) ->
 
     A quote may begin and end inside words of the text, but the words between are whole there.
     Quotes meet texts on the first of those, three at most, found among each text's runs of as
-    many words: an equi-join, and only then a substring test. Quotes of one or two words have
-    no such word and are tested against every text.
+    many words: an equi-join of ids and keys. Only the pairs that meet fetch their text, for the
+    substring test. Quotes of one or two words have no such word; they are tested against the
+    distinct words and pairs of neighbours of all texts, each of which stands for its texts.
     """
     t = texts.select(F.col(id_col), normal_quote(F.col("text")).alias("norm"))
     parts = F.split("quote", " ")
     q = quotes.select(F.col(quote_id), normal_quote(F.col("text")).alias("quote")).where("quote <> ''").withColumn("inner", F.least(F.greatest(F.size(parts) - 2, F.lit(0)), F.lit(3)))
     q = q.withColumn("key", F.array_join(F.slice(parts, F.lit(2), F.col("inner")), " "))
-    found = None
+    runs = lambda n: F.array_distinct(F.expr(f"transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> array_join(slice(words, i, {n}), ' '))"))
+    met = None
     # Four lengths at most; texts are cut into runs of those that occur.
     for n in sorted(r[0] for r in q.select("inner").distinct().collect()) or [0]:
-        some = q.where(F.col("inner") == n)
-        if n:
-            runs = F.expr(f"transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> array_join(slice(words, i, {n}), ' '))")
-            cut = t.withColumn("words", F.split("norm", " ")).select(id_col, "norm", F.explode(F.array_distinct(runs)).alias("key"))
-            met = cut.join(some, "key").where(F.contains("norm", "quote"))
-        else:
-            met = t.join(some, F.contains("norm", "quote"))
-        met = met.select(quote_id, id_col)
-        found = met if found is None else found.unionByName(met)
-    return found.distinct()
+        some = q.where(F.col("inner") == n).select(quote_id, "quote", "key")
+        cut = t.withColumn("words", F.split("norm", " ")).select(id_col, F.explode(runs(n or 2)).alias("key"))
+        if not n:
+            # The pairs of short quotes and runs that hold them: as many runs as the texts' language has.
+            some = cut.select("key").distinct().join(some.drop("key"), F.contains("key", "quote")).select("key", quote_id)
+        pairs = cut.join(some.select("key", quote_id), "key").select(quote_id, id_col)
+        met = pairs if met is None else met.unionByName(pairs)
+    return met.distinct().join(q.select(quote_id, "quote"), quote_id).join(t, id_col).where(F.contains("norm", "quote")).select(quote_id, id_col).distinct()
 
 
 @register(
     "str05_verbatim_evidence",
-    f"WITH d AS (SELECT doc_id, {_NORMAL.format('text')} AS norm FROM documents), b AS (SELECT item_id, {_NORMAL.format('text')} AS quote FROM benchmark) SELECT item_id, doc_id FROM d JOIN b ON contains(norm, quote) AND contains(' ' || norm || ' ', ' ' || array_to_string(string_split(quote, ' ')[1:3], ' ') || ' ')",
+    f"WITH d AS (SELECT doc_id, {_NORMAL.format('text')} AS norm FROM documents), b AS (SELECT item_id, {_NORMAL.format('text')} AS quote FROM benchmark) SELECT DISTINCT item_id, doc_id FROM d JOIN b ON quote <> '' AND contains(norm, quote)",
 )
 def str05_verbatim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
