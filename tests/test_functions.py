@@ -33,8 +33,13 @@ def test_masks(spark):
     found = spans(docs, "doc_id")
     by_place = {r[0]: r[1] for r in mask_by_position(docs, found, "doc_id").collect()}
     assert by_place == {1: "[REDACTED] and [REDACTED]", 2: "again [REDACTED].", 3: "clean"}
-    first = found.where("doc_id = 1")
-    assert {r[0]: r[1] for r in consistent_mask(docs, first, "doc_id", "call").collect()}[2] == "again [REDACTED]."
+
+
+def test_a_call_is_masked_alike_and_whole_if_other_text_was_searched(spark):
+    texts = spark.createDataFrame([("a", 0, "Ann has 4821", 1), ("a", 1, "ann: 48215, Annex", 1), ("a", 2, None, 1), ("b", 0, "Ann", 2), ("c", 0, "clean", 1), ("d", 0, "never searched", 1), ("e", 0, "half searched", 1)], "call string, turn int, text string, revision int")
+    found = spark.createDataFrame([("a", "Ann", 1), ("a", "4821", 1), ("b", "Ann", 1), ("c", None, 1), ("e", "half", 1), ("e", "half", 2)], "call string, value string, revision int")
+    got = {(r.call, r.turn): r.masked for r in consistent_mask(texts, found, ["call", "turn"], "call").collect()}
+    assert got == {("a", 0): "[REDACTED] has [REDACTED]", ("a", 1): "[REDACTED]: [REDACTED]5, Annex", ("a", 2): None, ("b", 0): "[REDACTED]", ("c", 0): "clean", ("d", 0): "[REDACTED]", ("e", 0): "[REDACTED]"}
 
 
 def test_intervals(spark):

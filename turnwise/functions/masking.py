@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnwise.functions.readouts import REDACTED, _spoken, mask_values, scanned, str19_find_pii
 from turnwise.registry import register
 from turnwise.sources.tables import table
 
@@ -72,20 +73,28 @@ def mask_by_position(texts: DataFrame, found: DataFrame, id_col: str) -> DataFra
 
 @register("str25_mask_by_position")
 def str25_mask_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detector of read-out numbers finds in the documents, masked where it stands."""
     docs = table(spark, sf_dir, "documents")
-    return mask_by_position(docs.select("doc_id", "text"), spans(docs, "doc_id"), "doc_id")
+    return mask_by_position(docs.select("doc_id", "text"), str19_find_pii(spark, sf_dir), "doc_id")
 
 
-def consistent_mask(texts: DataFrame, found: DataFrame, id_col: str, group: str) -> DataFrame:
-    """Every value found anywhere in a group is masked in all its texts, longest first."""
-    groups = texts.select(id_col, group)
-    values = found.join(groups, id_col).select(group, "value").distinct().groupBy(group).agg(F.array_sort(F.collect_list("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("values"))
-    masked = F.aggregate("values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[REDACTED]")))
-    return texts.join(values, group, "left").select(id_col, F.when(F.col("values").isNull(), F.col("text")).otherwise(masked).alias("masked"))
+def consistent_mask(texts: DataFrame, found: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """(keys, masked): every value found anywhere in a group is masked in all its texts, longest first.
+
+    texts: keys with the group among them, text, revision (of the group's texts); found: group,
+    value, revision (that was searched; a null value for a group without findings). A group whose
+    findings are for another revision, or that was not searched at all, is masked whole.
+    """
+    per = found.groupBy(group).agg(F.collect_set("value").alias("values"), F.min("revision").alias("oldest"), F.max("revision").alias("newest"))
+    known = texts.join(per, group, "left")
+    current = F.coalesce((F.col("oldest") == F.col("revision")) & (F.col("newest") == F.col("revision")), F.lit(False))
+    return known.select(*keys, F.when(F.col("text").isNull(), None).when(current, mask_values(F.col("text"), F.col("values"))).otherwise(REDACTED).alias("masked"))
 
 
 @register("str27_consistent_mask")
 def str27_consistent_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups are runs of ten neighbouring ids, as the turns of one call would be."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 10").alias("call"))
-    return consistent_mask(docs, spans(docs, "doc_id"), "doc_id", "call")
+    """The calls' read-outs masked in all their turns; of each tenth call another revision was searched."""
+    spoken = _spoken(spark, sf_dir)
+    revision = F.when(F.col("conv_id") % 10 == 3, 2).otherwise(1)
+    found = scanned(spoken).select("conv_id", F.explode_outer("values").alias("value"), F.lit(1).alias("revision"))
+    return consistent_mask(spoken.select("conv_id", "turn", "text", revision.alias("revision")), found, ["conv_id", "turn"], "conv_id")

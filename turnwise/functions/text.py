@@ -218,13 +218,15 @@ def word_errors(reference: list[str], hypothesis: list[str]) -> tuple[int, int,
 
 @register("ag31_word_error_rate")
 def ag31_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro-averaged per conversation: each turn against the one before as if it were its transcript."""
+    """Micro-averaged per conversation: each turn against the one before as if it were its transcript, by the words of `word_list`."""
+    from turnwise.operators.evaluation import word_list
+
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = turns(spark, sf_dir).select("conv_id", F.col("text").alias("h"), before.alias("r")).where("r IS NOT NULL")
+    pairs = turns(spark, sf_dir).select("conv_id", F.col("text").alias("h"), before.alias("r")).where("r IS NOT NULL").select("conv_id", word_list(F.col("h")).alias("h"), word_list(F.col("r")).alias("r"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            e = [(*word_errors(r.split(), h.split()), len(r.split())) for r, h in zip(f["r"], f["h"], strict=True)]
+            e = [(*word_errors(list(r), list(h)), len(r)) for r, h in zip(f["r"], f["h"], strict=True)]
             yield pd.DataFrame({"conv_id": f["conv_id"], **{k: [x[i] for x in e] for i, k in enumerate(("s", "d", "i", "n"))}})
 
     sums = pairs.mapInPandas(run, "conv_id bigint, s bigint, d bigint, i bigint, n bigint").groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in ("s", "d", "i", "n")])
