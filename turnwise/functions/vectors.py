@@ -126,3 +126,41 @@ def fn13_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ten.withColumn("w", F.exp((F.col("cosine") - F.max("cosine").over(per)) / 0.1))
     s = w.groupBy("query_id", "label").agg(F.sum("w").alias("s"))
     return s.select("query_id", "label", F.round(F.col("s") / F.sum("s").over(per), 6).alias("share"))
+
+
+#: Dimensions of the hashing scheme, and its name: vectors of different schemes are not compared.
+HASH_SCHEME, HASH_DIMENSIONS = "md5-256-v1", 256
+
+
+def hashed_tokens(text: Column) -> Column:
+    """Lower-case tokens, those of over four letters without a common ending."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, "(?:ing|ed|es|s|ly)$", "")).otherwise(t))
+
+
+def hashing_embedding(texts: DataFrame, id_col: str, text_col: str = "text", dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """(id, vector): a unit vector of hashed tokens (1 each) and pairs of neighbours (a half each); all zeros for a text without tokens.
+
+    Exploded, hashed to a dimension and summed before the shuffle: at most `dimensions` rows of an id meet.
+    """
+    tokens = texts.select(id_col, hashed_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.struct(F.concat(a, F.lit("_"), b).alias("key"), F.lit(1).alias("halves")))
+    each = F.concat(F.transform("t", lambda t: F.struct(t.alias("key"), F.lit(2).alias("halves"))), pairs)
+    slot = (F.conv(F.substring(F.md5("x.key"), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
+    sums = tokens.select(id_col, F.explode_outer(each).alias("x")).groupBy(id_col, slot.alias("slot")).agg(F.sum("x.halves").alias("n"))
+    held = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
+    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("length"), F.lit(0.0))).alias("vector"))
+
+
+@register(
+    "fn12_hashing_embedder",
+    """WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '(?:ing|ed|es|s|ly)$', '') ELSE x END) AS t FROM documents),
+    k AS (SELECT doc_id, unnest(t) AS key, 2 AS h FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS key, 1 AS h FROM t WHERE len(t) > 1),
+    s AS (SELECT doc_id, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 256 AS slot, sum(h) AS n FROM k GROUP BY 1, 2),
+    l AS (SELECT doc_id, sqrt(sum(n * n)) AS length, count(*) AS used, arg_max(slot, (n, slot)) AS top, max(n) AS n FROM s GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(coalesce(top, 255) AS INTEGER) AS top, round(coalesce(n / length, 0), 9) AS weight FROM documents LEFT JOIN l USING (doc_id)""",
+)
+def fn12_hashing_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's vector the slots in use, the heaviest (the last of equals) and its weight."""
+    v = hashing_embedding(table(spark, sf_dir, "documents"), "doc_id")
+    top = F.array_max(F.transform("vector", lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    return v.select("doc_id", F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("used"), top.alias("top")).select("doc_id", "used", F.col("top.i").alias("top"), F.round("top.w", 9).alias("weight"))

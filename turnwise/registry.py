@@ -11,7 +11,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("operators.metrics", "operators.relational", "operators.windows", "operators.intervals", "operators.graph", "operators.mutes", "operators.segments", "operators.feeds", "operators.evaluation", "functions.text", "functions.masking", "functions.readouts", "functions.vocabulary", "functions.phonetics", "functions.grounding", "functions.vectors", "functions.scalars", "plans.rules", "plans.phrases", "streaming.events", "sources.ingest", "sources.tail")
+MODULES = ("operators.metrics", "operators.relational", "operators.windows", "operators.intervals", "operators.graph", "operators.mutes", "operators.segments", "operators.feeds", "operators.evaluation", "functions.text", "functions.masking", "functions.readouts", "functions.vocabulary", "functions.phonetics", "functions.grounding", "functions.schedules", "functions.vectors", "functions.scalars", "plans.rules", "plans.phrases", "streaming.events", "sources.ingest", "sources.tail")
 
 
 def register(name: str, sql: str | None = None) -> Callable:
