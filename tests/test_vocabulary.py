@@ -87,29 +87,29 @@ def test_scan_against_brute_force(spark):
 
 
 def test_replacements_keep_marks_and_share_time(spark):
-    got = merged(spark, ["we met at (chad stone), then (chadstone)", "no terms here"], ["Chadstone", "Liffey Valley"])
-    assert got[0].text == "we met at (Chadstone), then (chadstone)"  # a word in brackets is a mark and no speech
-    got = merged(spark, ["we met at chad stone, then liffeyvalley!", "chad-stone chadstone"], ["Chadstone", "Liffey Valley"])
-    assert got[0].text == "we met at Chadstone, then Liffey Valley!"
-    assert [(w.word, w.start, w.end) for w in got[0].words] == [("we", 0, 1), ("met", 1, 2), ("at", 2, 3), ("Chadstone,", 3, 5), ("then", 5, 6), ("Liffey", 6, 6.5), ("Valley!", 6.5, 7)]
+    got = merged(spark, ["we met at (silver brook), then (silverbrook)", "no terms here"], ["Silverbrook", "Amber Harbor"])
+    assert got[0].text == "we met at (Silverbrook), then (silverbrook)"  # a word in brackets is a mark and no speech
+    got = merged(spark, ["we met at silver brook, then amberharbor!", "silver-brook silverbrook"], ["Silverbrook", "Amber Harbor"])
+    assert got[0].text == "we met at Silverbrook, then Amber Harbor!"
+    assert [(w.word, w.start, w.end) for w in got[0].words] == [("we", 0, 1), ("met", 1, 2), ("at", 2, 3), ("Silverbrook,", 3, 5), ("then", 5, 6), ("Amber", 6, 6.5), ("Harbor!", 6.5, 7)]
     hits = [h for h in got[0].hits if h.status == "accepted"]
-    assert [(h.term, h.heard, got[0].text[h.char_begin : h.char_end], h.word_begin, h.word_end, h.start, h.end) for h in hits] == [("Chadstone", "chad stone,", "Chadstone", 3, 4, 3, 5), ("Liffey Valley", "liffeyvalley!", "Liffey Valley", 5, 7, 6, 7)]
-    assert got[1].text == "Chadstone chadstone"
+    assert [(h.term, h.heard, got[0].text[h.char_begin : h.char_end], h.word_begin, h.word_end, h.start, h.end) for h in hits] == [("Silverbrook", "silver brook,", "Silverbrook", 3, 4, 3, 5), ("Amber Harbor", "amberharbor!", "Amber Harbor", 5, 7, 6, 7)]
+    assert got[1].text == "Silverbrook silverbrook"
     assert [h.status for h in got[1].hits] == ["accepted", "already_correct"]
 
 
 def test_reasons(spark):
-    got = merged(spark, ["over at chad", "stone today"], ["Chadstone"])
-    assert [h.status for h in got[0].hits] == ["crosses_turn"] and got[0].text == "over at chad"
-    rows = [("u", 0, "chad / stone", [("chad", 0.0, 1.0), ("stone", 1.0, 2.0)]), ("w", 0, "chat stone", [("chad", 0.0, 1.0), ("stone", 1.0, 2.0)])]
-    lost = v.merge_terms(spark.createDataFrame(rows, f"unit string, turn int, text string, words {WORDS}"), vocab(spark, "Chadstone"), "unit", "turn").collect()
+    got = merged(spark, ["over at silver", "brook today"], ["Silverbrook"])
+    assert [h.status for h in got[0].hits] == ["crosses_turn"] and got[0].text == "over at silver"
+    rows = [("u", 0, "silver / brook", [("silver", 0.0, 1.0), ("brook", 1.0, 2.0)]), ("w", 0, "silber brook", [("silver", 0.0, 1.0), ("brook", 1.0, 2.0)])]
+    lost = v.merge_terms(spark.createDataFrame(rows, f"unit string, turn int, text string, words {WORDS}"), vocab(spark, "Silverbrook"), "unit", "turn").collect()
     assert [[h.status for h in r.hits] for r in lost] == [["unlocated"], ["unlocated"]]
-    got = merged(spark, ["chad stone-liffey valley"], ["Chadstone", "Liffeyvalley"])
-    assert [(h.term, h.status) for h in got[0].hits] == [("Chadstone", "accepted"), ("Liffeyvalley", "overlap")]
-    assert got[0].text == "Chadstone valley"
+    got = merged(spark, ["silver brook-amber harbor"], ["Silverbrook", "Amberharbor"])
+    assert [(h.term, h.status) for h in got[0].hits] == [("Silverbrook", "accepted"), ("Amberharbor", "overlap")]
+    assert got[0].text == "Silverbrook harbor"
     got = merged(spark, ["onetwothree"], ["One two three"])
     assert [h.status for h in got[0].hits] == ["rule"]
-    none = v.merge_terms(said(spark, "", "x"), vocab(spark, "Chadstone"), "unit", "turn").collect()
+    none = v.merge_terms(said(spark, "", "x"), vocab(spark, "Silverbrook"), "unit", "turn").collect()
     assert [(r.text, r.hits) for r in none] == [("", []), ("x", [])]
 
 
@@ -137,7 +137,7 @@ def close(a, b):
 
 def test_accepted_pairs_against_all_pairs(spark):
     rng = random.Random(9)
-    syllables = ["stil", "lor", "gan", "chad", "ston", "knee", "phil", "wric", "th", "sch", "mit", "qua", "xen", "bough"]
+    syllables = ["sil", "ver", "gan", "brad", "ston", "knee", "phil", "wric", "th", "sch", "mit", "qua", "xen", "bough"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     terms = [(f"t{i}", [word() for _ in range(rng.randint(1, 3))]) for i in range(60)]
     heard = [(f"h{i}", [word() for _ in range(rng.randint(1, 3))]) for i in range(150)]
@@ -158,8 +158,8 @@ def test_accepted_pairs_against_all_pairs(spark):
 
 def test_relevance_and_glossary_against_brute_force(spark):
     rng = random.Random(4)
-    syllables = ["lif", "fey", "val", "ley", "phone", "fone", "key", "quay", "ice", "sky"]
-    names = ["Liffey Valley", "Phone Key", "Skylift", "Ice Quay Val", "Zebra Xylo"]
+    syllables = ["am", "ber", "har", "bor", "phone", "fone", "key", "quay", "ice", "sky"]
+    names = ["Amber Harbor", "Phone Key", "Skyamber", "Ice Quay Har", "Zebra Xylo"]
     units = [(u, t, ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 6))]) for u in range(6) for t in range(3)]
     vocab_df = vocab(spark, *names)
     df = spark.createDataFrame(units, "unit int, turn int, tokens array<string>")
@@ -185,7 +185,7 @@ def test_relevance_and_glossary_against_brute_force(spark):
                         best = max(best, 0.5 * c + 0.5 * max(close("".join(x[k] for x in codes), "".join(x[m] for x in other)) for k in (0, 1) for m in (0, 1)))
             if best:
                 want[u, name] = best
-    assert got.keys() == want.keys() and len(want) >= 10
+    assert got.keys() == want.keys() and len(want) >= 8
     assert all(got[k][0] == pytest.approx(want[k]) for k in want)
     packed = {r.unit: r for r in phonetics.glossary(ranked, "unit", 12).collect()}
     assert packed.keys() == {k[0] for k in want}

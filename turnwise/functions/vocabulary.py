@@ -1,7 +1,7 @@
 """Vocabulary terms in transcripts: their normal forms, places of words, hits, and replacements.
 
-Terms match on joined letters, so that spacing and hyphens do not matter: "chad stone" holds
-"Chadstone". Every run of consecutive tokens gives a rolling key, their letters joined; keys meet
+Terms match on joined letters, so that spacing and hyphens do not matter: "silver brook" holds
+"Silverbrook". Every run of consecutive tokens gives a rolling key, their letters joined; keys meet
 the vocabulary in an equi-join, and of overlapping hits the earlier start and then the longer
 term wins. A unit (a document, a conversation's channel) consists of turns; a turn borrows the
 first tokens of the next ones, so a hit may cross turns while no more than those tokens are
