@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,6 +20,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def release_memory() -> None:
+    """Gives memory that a finished task no longer uses back to the system, since Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that one slice holds about max_bytes of `column`, one row at least."""
     for batch in batches:

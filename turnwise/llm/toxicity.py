@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnwise.llm.labelled import held_out, training_sample
-from turnwise.llm.text import text_slices, whole_text
+from turnwise.llm.text import release_memory, text_slices, whole_text
 from turnwise.session import materialise, scratch
 
 MAX_TRAIN = 10_000
@@ -277,9 +277,10 @@ def find_terms(sample: DataFrame) -> list[str]:
                 counts[y <= 0].update(found)
                 counts[y <= 0][""] += 1
                 counts[2 + (y <= 0)].update(dense)
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield out()
         yield out()
+        release_memory()
 
     counted = sample.select("text", "y").mapInArrow(count, "term string, t bigint, c bigint, td bigint, cd bigint").groupBy("term").agg(*[F.sum(x).alias(x) for x in ("t", "c", "td", "cd")])
     counted = materialise(counted.where("t >= 3"), "toxicity-terms")
@@ -364,5 +365,6 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
         for batch in text_slices(batches, "text"):
             keep = [model.score(find(t)) < threshold for t in batch.column("text").to_pylist()]
             yield batch.select(["doc"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return whole.mapInArrow(run, whole.select("doc").schema).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
