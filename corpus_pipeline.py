@@ -6,6 +6,7 @@ return documents with their columns; the last returns digests of the token ids.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,6 +17,20 @@ from turnwise.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that travel to a Python worker at once; whole texts are long, and an executor keeps the buffers of the largest batch.
+BATCH_ROWS = 1_000
+
+
+def batched(stage: Stage) -> Stage:
+    """The stage in a session whose batches are small, for it and for whatever writes its result."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -42,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [(name, batched(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode))]
 
 #: Three stages are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
