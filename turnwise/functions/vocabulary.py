@@ -5,17 +5,21 @@ Terms match on joined letters, so that spacing and hyphens do not matter: "silve
 the vocabulary in an equi-join, and of overlapping hits the earlier start and then the longer
 term wins. A unit (a document, a conversation's channel) consists of turns; a turn borrows the
 first tokens of the next ones, so a hit may cross turns while no more than those tokens are
-shuffled. All of it is built-in expressions.
+shuffled. All of it is built-in expressions, but for the places of words, a cursor's walk over each text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnwise.registry import register
+from turnwise.session import materialise
 from turnwise.sources.tables import oracle, table, turns
 
 #: Accented letters of the Latin blocks that decompose to an ASCII letter, and those letters.
@@ -24,19 +28,25 @@ _BARE = "".join(unicodedata.normalize("NFKD", c)[0].lower() for c in _ACCENTED)
 
 #: Limits of a vocabulary term.
 TERM_CHARS, TERM_WORDS, TERM_PUNCTUATION = 60, 5, "'’&.-"
+#: Up to so many terms a vocabulary is broadcast; larger ones are joined.
+BROADCAST_TERMS = 200_000
+
+
+def held(rows: DataFrame, *more: Column) -> DataFrame:
+    """Adds columns, all worked out once a row: as rows of a generator they are not written into the expressions that use them, which would repeat them for each item of an array."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns, *more))).alias("_row")).select("_row.*")
 
 
 def letters(text: Column) -> Column:
     """Lower case without accents, bracketed marks, cut words (f~) and apostrophes; & is "and"; what is neither letter nor digit separates tokens or vanishes inside them."""
     low = F.translate(F.lower(text), _ACCENTED + "’'", _BARE)
-    low = F.regexp_replace(F.regexp_replace(low, r"\([^)]*\)|\S*~\S*", " "), "&", " and ")
+    low = F.regexp_replace(F.regexp_replace(low, r"\([^)]*\)|[^\s~]*+~\S*", " "), "&", " and ")
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[-–—_/]", " "), r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
 def spoken_tokens(text: Column) -> Column:
     """The tokens of a word or text as an array; "ok" is "okay"."""
-    plain = letters(text)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(plain, " "), lambda t: F.when(t == "ok", "okay").otherwise(t)))
+    return F.transform(F.filter(F.split(letters(text), " "), lambda t: t != ""), lambda t: F.when(t == "ok", "okay").otherwise(t))
 
 
 _LETTERS = rf"""trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(translate(lower({{}}), '{_ACCENTED}’''', '{_BARE}'), '\([^)]*\)|\S*~\S*', ' ', 'g'), '&', ' and '), '[-–—_/]', ' ', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"""
@@ -83,18 +93,27 @@ def str39_term_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locate_words(text: Column, words: Column, keep_lost: bool = False) -> Column:
     """For each word its (begin, end) in the text, found after the one before; null for a word that is empty or not found there, which leaves the cursor where it is. keep_lost: such a word stands at the cursor and moves it by its length."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("places"))
-
-    def step(acc: Column, word: Column) -> Column:
-        token = F.trim(F.coalesce(word, F.lit("")))
-        found = F.call_function("locate", token, text, acc["at"] + 1) - 1
-        hit = (token != "") & (found >= 0)
-        begin = F.when(hit, found).otherwise(acc["at"]) if keep_lost else found
-        place = F.struct(begin.alias("begin"), (begin + F.length(token)).alias("end"))
-        place = place if keep_lost else F.when(hit, place)
-        return F.struct((begin + F.length(token) if keep_lost else F.when(hit, found + F.length(token)).otherwise(acc["at"])).alias("at"), F.array_append(acc["places"], place).alias("places"))
 
-    return F.aggregate(words, start, step)["places"]
+    @F.arrow_udf("array<struct<begin:int,end:int>>")
+    def located(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        begins, ends, lost, sizes = array("i"), array("i"), array("b"), array("i", [0])
+        for row in range(len(lists)):
+            t, at = texts[row].as_py() or "", 0
+            own = lists[row].as_py() or ()
+            for word in own:
+                token = (word or "").strip(" ")
+                found = t.find(token, at) if token else -1
+                begin = at if found < 0 else found
+                begins.append(begin)
+                ends.append(begin + len(token))
+                lost.append(found < 0 and not keep_lost)
+                if found >= 0 or keep_lost:
+                    at = begin + len(token)
+            sizes.append(sizes[-1] + len(own))
+        places = pa.StructArray.from_arrays([pa.array(np.array(x, np.int32)) for x in (begins, ends)], ["begin", "end"], mask=pa.array(np.array(lost, bool)))
+        return pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), places, mask=lists.is_null())
+
+    return located(text, words)
 
 
 #: What a recogniser lists as the words of a text: letters and digits with inner marks, no other punctuation.
@@ -150,36 +169,59 @@ def first_come(spans: DataFrame, keys: list[str], start: str, end: str, order: l
     return listed.select(*keys, F.explode(F.aggregate("_all", begin, take)["taken"]).alias("_x")).select(*keys, *[F.col("_x")[c].alias(c) for c in rest])
 
 
-def token_runs(units: DataFrame, unit: str, turn: str, column: str, longest: int, join: Callable[[Column, Column], Column]) -> DataFrame:
-    """(unit, turn, offset, size, first, key): every run of 1 to `longest` items of an array column, joined pairwise from the left; offset: items of the unit before the turn."""
-    rows = units.select(unit, turn, F.col(column).alias("own"))
+def turn_ends(units: DataFrame, unit: str, turn: str, column: str, longest: int) -> DataFrame:
+    """(unit, turn, n, offset, tail, later), written, of turns that have items in an array column: their number and that of the turns before, the last items, and the first ones of the turns after, as many of both as a run of `longest` that crosses turns can have."""
+    few, n = max(longest - 1, 1), F.size("own")
+    cut = units.select(unit, turn, F.col(column).alias("own")).where(n > 0).select(unit, turn, n.cast("bigint").alias("n"), F.slice("own", 1, few).alias("head"), F.slice("own", F.greatest(n - few, F.lit(0)) + 1, F.lit(few)).alias("tail"))
     by = Window.partitionBy(unit).orderBy(turn)
-    # The first items of later turns, so that a run can go on there; as many turns as could each have one item.
-    heads = rows.select(unit, turn, F.size("own").cast("bigint").alias("n"), F.slice("own", 1, max(longest - 1, 1)).alias("head"))
-    later = F.flatten(F.collect_list("head").over(by.rowsBetween(1, max(longest - 1, 1))))
+    later = F.slice(F.flatten(F.collect_list("head").over(by.rowsBetween(1, few))), 1, few)
     offset = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    heads = heads.select(unit, turn, offset.alias("offset"), F.slice(later, 1, max(longest - 1, 1)).alias("later"))
-    whole = rows.join(heads, [unit, turn]).select(unit, turn, "offset", F.size("own").alias("n"), F.concat("own", "later").alias("all"))
-    keys = [F.slice("all", F.lit(1), F.col("n"))]
+    return materialise(cut.select(unit, turn, "n", offset.alias("offset"), "tail", later.alias("later")), "turn-ends")
+
+
+def _runs_of(rows: DataFrame, items: str, longest: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """Each run of 1 to `longest` of a row's items, joined from the left: the row's other columns, first, size, key."""
+    rest = [c for c in rows.columns if c != items]
+    shifted = [F.slice(items, F.lit(k + 1), F.size(items)) for k in range(longest)]
+    x = rows.where(F.size(items) > 0).select(*rest, F.posexplode(F.arrays_zip(*shifted)).alias("first", "x"))
+    runs = [F.col("x")["0"]]
     for k in range(1, longest):
-        keys.append(F.zip_with(keys[-1], F.slice("all", F.lit(k + 1), F.col("n")), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), join(a, b))))
-    nested = whole.where("n > 0").select(unit, turn, "offset", F.posexplode(F.array(*keys)).alias("more", "keys"))
-    return nested.select(unit, turn, "offset", (F.col("more") + 1).alias("size"), F.posexplode("keys").alias("first", "key")).where("key IS NOT NULL")
+        more = F.col("x")[str(k)]
+        runs.append(F.when(runs[-1].isNotNull() & more.isNotNull(), join(runs[-1], more)))
+    sized = F.array(*[F.struct(F.lit(k + 1).alias("size"), run.alias("key")) for k, run in enumerate(runs)])
+    return x.select(*rest, "first", F.explode(sized).alias("r")).select(*rest, "first", "r.size", "r.key").where("key IS NOT NULL")
+
+
+def token_runs(units: DataFrame, ends: DataFrame | None, unit: str, turn: str, column: str, longest: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """(unit, turn, first, size, key): every run of 1 to `longest` items of an array column, joined pairwise from the left; first: its place in its turn.
+
+    Runs inside a turn come from its row alone; those that cross turns from `ends` (None: units have one turn each), so no whole turn is shuffled.
+    """
+    inside = _runs_of(units.select(unit, turn, F.col(column).alias("own")), "own", longest, join).select(unit, turn, "first", "size", "key")
+    if ends is None or longest < 2:
+        return inside
+    border = ends.where(F.size("later") > 0).select(unit, turn, "n", F.size("tail").alias("m"), F.concat("tail", "later").alias("own"))
+    crossing = _runs_of(border, "own", longest, join).where("first < m AND first + size > m")
+    return inside.unionByName(crossing.select(unit, turn, (F.col("n") - F.col("m") + F.col("first")).cast("int").alias("first"), "size", "key"))
 
 
-def term_hits(units: DataFrame, vocab: DataFrame, unit: str, turn: str, tokens: str = "tokens") -> DataFrame:
+def term_hits(units: DataFrame, vocab: DataFrame, unit: str, turn: str, tokens: str = "tokens", one_turn: bool = False) -> DataFrame:
     """(unit, turn, first, size, term) of the hits of a vocabulary, those that the scan takes.
 
-    units: one row for each turn with its array of tokens. first: the place of the first token in
-    its turn; size: tokens, at most one more than the term has.
+    units: one row for each turn with its array of tokens; one_turn: units have one each. first: the
+    place of the first token in its turn; size: tokens, at most one more than the term has.
     """
-    longest = (vocab.agg(F.max("n_tokens")).first()[0] or 0) + 1
-    runs = token_runs(units, unit, turn, tokens, longest, lambda a, b: F.concat(a, b))
-    met = runs.join(vocab, "key").where(F.col("size") <= F.col("n_tokens") + 1)
+    most, terms = vocab.agg(F.max("n_tokens"), F.count("*")).first()
+    longest = (most or 0) + 1
+    ends = None if one_turn else turn_ends(units, unit, turn, tokens, longest)
+    runs = token_runs(units, ends, unit, turn, tokens, longest, lambda a, b: F.concat(a, b))
+    met = runs.join(F.broadcast(vocab) if terms <= BROADCAST_TERMS else vocab, "key").where(F.col("size") <= F.col("n_tokens") + 1)
     # At one place the longer term is first, then the earlier one by name; of one term the fewer tokens.
-    best = F.min_by(F.struct("size", "term", "n_tokens", "key", turn, "first"), F.struct(-F.length("key"), F.col("term"), F.col("size")))
-    starts = met.withColumn("start", F.col("offset") + F.col("first")).groupBy(unit, "start").agg(best.alias("b")).select(unit, "start", (F.col("start") + F.col("b.size")).alias("end"), "b.*")
-    taken = first_come(starts, [unit], "start", "end", ["start"])
+    best = F.min_by(F.struct("size", "term"), F.struct(-F.length("key"), F.col("term"), F.col("size")))
+    starts = met.groupBy(unit, turn, "first").agg(best.alias("b")).select(unit, turn, "first", "b.*")
+    starts = starts.withColumn("offset", F.lit(0)) if ends is None else starts.join(ends.select(unit, turn, "offset"), [unit, turn])
+    begin = F.col("offset") + F.col("first")
+    taken = first_come(starts.select(unit, turn, "first", "size", "term", begin.alias("start"), (begin + F.col("size")).alias("end")), [unit], "start", "end", ["start"])
     return taken.select(unit, turn, "first", "size", "term")
 
 
@@ -218,7 +260,7 @@ _VOCABULARY = f"""terms AS (
 def str12_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit of the vocabulary in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("turn"), spoken_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return term_hits(docs, vocabulary(_terms(spark, sf_dir)), "doc_id", "turn").select("doc_id", "first", "size", "term")
+    return term_hits(docs, vocabulary(_terms(spark, sf_dir)), "doc_id", "turn", one_turn=True).select("doc_id", "first", "size", "term")
 
 
 def merge_terms(units: DataFrame, vocab: DataFrame, unit: str, turn: str, words: int = 1) -> DataFrame:
@@ -234,10 +276,12 @@ def merge_terms(units: DataFrame, vocab: DataFrame, unit: str, turn: str, words:
     """
     by_word = F.transform("words", lambda w: spoken_tokens(w["word"]))
     owners = F.flatten(F.transform("by_word", lambda ts, i: F.transform(ts, lambda _: i)))
-    rows = units.select(unit, turn, "text", "words", by_word.alias("by_word")).select("*", F.flatten("by_word").alias("tokens"), owners.alias("owners")).drop("by_word")
+    rows = held(units.select(unit, turn, "text", "words"), by_word.alias("by_word"))
+    rows = held(rows, F.flatten("by_word").alias("tokens"), owners.alias("owners")).drop("by_word")
     hits = term_hits(rows, vocab, unit, turn).join(vocab.select("term", F.col("tokens").alias("own")), "term")
     hits = hits.groupBy(unit, turn).agg(F.sort_array(F.collect_list(F.struct("first", "size", "term", "own"))).alias("found"))
-    rows = rows.join(hits, [unit, turn], "left").withColumn("places", F.when(F.col("found").isNotNull(), locate_words(F.col("text"), F.transform("words", lambda w: w["word"]))))
+    rows = rows.join(hits, [unit, turn], "left")
+    rows = held(rows, locate_words(F.col("text"), F.when(F.col("found").isNotNull(), F.transform("words", lambda w: w["word"]))).alias("places"))
     text, places, ws = F.col("text"), F.col("places"), F.col("words")
 
     def spot(h: Column) -> Column:
@@ -257,7 +301,7 @@ def merge_terms(units: DataFrame, vocab: DataFrame, unit: str, turn: str, words:
 
     none = F.array().cast("array<struct<term:string,a:int,b:int,status:string>>")
     judged = F.aggregate(F.transform(F.coalesce("found", F.array().cast(rows.schema["found"].dataType.simpleString())), spot), F.struct(F.lit(-1).alias("last"), none.alias("hits")), judge)["hits"]
-    rows = rows.withColumn("judged", judged)
+    rows = held(rows, judged.alias("judged"))
 
     # Each accepted hit: the stretch of text and words that it replaces, and what it writes there.
     def written(h: Column) -> Column:
@@ -267,7 +311,7 @@ def merge_terms(units: DataFrame, vocab: DataFrame, unit: str, turn: str, words:
         heard = F.substring(text, begin + 1, end - begin)
         return F.struct(h["term"].alias("term"), h["a"].alias("a"), h["b"].alias("b"), (begin + lead).alias("begin"), (end - trail).alias("end"), heard.alias("heard"), ws[h["a"]]["start"].alias("start"), F.greatest(ws[h["a"]]["start"], ws[h["b"]]["end"]).alias("stop"), F.substring(heard, F.lit(1), lead).alias("lead"), F.right(heard, trail).alias("trail"))
 
-    rows = rows.withColumn("put", F.transform(F.filter("judged", lambda h: h["status"] == "accepted"), written))
+    rows = held(rows, F.transform(F.filter("judged", lambda h: h["status"] == "accepted"), written).alias("put"))
     before = lambda i, c, otherwise: F.when(i > 0, F.get("put", i - 1)[c]).otherwise(otherwise)
     pieces = F.transform("put", lambda h, i: F.concat(F.substring(text, before(i, "end", 0) + 1, h["begin"] - before(i, "end", 0)), h["term"]))
     last = F.element_at(F.col("put"), -1)
@@ -295,7 +339,7 @@ def merge_terms(units: DataFrame, vocab: DataFrame, unit: str, turn: str, words:
 
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with their words, which share the turn's time evenly."""
-    t = turns(spark, sf_dir).select("conv_id", "turn", "text", "start_ds", "end_ds", F.regexp_extract_all("text", F.lit(WORDS), 0).alias("ws"))
+    t = held(turns(spark, sf_dir).select("conv_id", "turn", "text", "start_ds", "end_ds"), F.regexp_extract_all("text", F.lit(WORDS), 0).alias("ws"))
     step = (F.col("end_ds") - F.col("start_ds")) / F.greatest(F.size("ws"), F.lit(1)) / 10
     words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), (F.col("start_ds") / 10 + step * i).alias("start"), (F.col("start_ds") / 10 + step * (i + 1)).alias("end")))
     return t.select("conv_id", "turn", "text", words.alias("words"))
