@@ -24,3 +24,10 @@ def test_a_term_crosses_a_turn_without_tokens(spark):
     units = spark.createDataFrame([(1, 0, ["say", "silver"]), (1, 1, []), (1, 2, ["brook", "now"]), (2, 0, ["brook"])], "unit int, turn int, tokens array<string>")
     vocab = v.vocabulary(spark.createDataFrame([("Silverbrook",)], "term string"))
     assert [tuple(r) for r in v.term_hits(units, vocab, "unit", "turn").collect()] == [(1, 0, 1, 2, "Silverbrook")]
+
+
+def test_hashing_shuffles_nothing(spark, sf_dir):
+    from turnwise.functions.vectors import fn12_hashing_embedder
+
+    assert "Exchange" not in fn12_hashing_embedder(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in fn12_hashing_embedder(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()

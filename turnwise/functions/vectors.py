@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,23 +134,51 @@ def fn13_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 HASH_SCHEME, HASH_DIMENSIONS = "md5-256-v1", 256
 
 
-def hashed_tokens(text: Column) -> Column:
-    """Lower-case tokens, those of over four letters without a common ending."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, "(?:ing|ed|es|s|ly)$", "")).otherwise(t))
+#: Slots of so many tokens and pairs of one size of the scheme are remembered in a task.
+KNOWN = 500_000
+
+_TOKEN, _ENDING = re.compile("[a-z0-9]+"), re.compile("(?:ing|ed|es|s|ly)$")
+
+
+def hashed_slots(text: str, dimensions: int, known: dict[str, int]) -> tuple[list[int], int]:
+    """The dimensions of a lower-case text's tokens and then of its pairs of neighbours, and the number of tokens; those of over four letters without a common ending."""
+    tokens = [_ENDING.sub("", t) if len(t) > 4 else t for t in _TOKEN.findall(text)]
+    slots = []
+    for key in (*tokens, *map("_".join, zip(tokens, tokens[1:]))):
+        at = known.get(key)
+        if at is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            at = known[key] = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % dimensions
+        slots.append(at)
+    return slots, len(tokens)
 
 
 def hashing_embedding(texts: DataFrame, id_col: str, text_col: str = "text", dimensions: int = HASH_DIMENSIONS) -> DataFrame:
-    """(id, vector): a unit vector of hashed tokens (1 each) and pairs of neighbours (a half each); all zeros for a text without tokens.
+    """(id, vector): a unit vector of hashed tokens (1 each) and pairs of neighbours (a half each) for each row; all zeros for a text without tokens.
 
-    Exploded, hashed to a dimension and summed before the shuffle: at most `dimensions` rows of an id meet.
+    Each row by itself, so nothing is shuffled.
     """
-    tokens = texts.select(id_col, hashed_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.struct(F.concat(a, F.lit("_"), b).alias("key"), F.lit(1).alias("halves")))
-    each = F.concat(F.transform("t", lambda t: F.struct(t.alias("key"), F.lit(2).alias("halves"))), pairs)
-    slot = (F.conv(F.substring(F.md5("x.key"), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
-    sums = tokens.select(id_col, F.explode_outer(each).alias("x")).groupBy(id_col, slot.alias("slot")).agg(F.sum("x.halves").alias("n"))
-    held = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
-    return held.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("length"), F.lit(0.0))).alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                sums = np.zeros((part.num_rows, dimensions))
+                for i, text in enumerate(part.column("text")):
+                    slots, n = hashed_slots(text.as_py(), dimensions, known)
+                    if n:
+                        halves = np.ones(len(slots))
+                        halves[:n] = 2
+                        sums[i] = np.bincount(slots, halves, dimensions)
+                lengths = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+                vectors = sums / np.where(lengths == 0, 1, lengths)
+                offsets = np.arange(0, (part.num_rows + 1) * dimensions, dimensions, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))], ["id", "vector"])
+
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>").withColumnRenamed("id", id_col)
 
 
 @register(
