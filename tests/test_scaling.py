@@ -31,3 +31,14 @@ def test_hashing_shuffles_nothing(spark, sf_dir):
 
     assert "Exchange" not in fn12_hashing_embedder(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in fn12_hashing_embedder(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_picks_are_ranked_without_a_group_in_python(spark):
+    from turnwise.operators import evaluation as e
+
+    team = [("ann", 2, 1.0), ("bo", 0, 2.0), ("cy", 1, 0.0)]
+    items = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 0)], "team long, item long")
+    got = e.least_outstanding(items, spark.createDataFrame([(t, *r) for t in (1, 2) for r in team], "team long, reviewer string, pending long, weight double"), "team", ["item"])
+    assert "Pandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["reviewer"] for r in got.where("team = 1").orderBy("item").collect()] == e.assign(25, team)
+    assert [r["reviewer"] for r in got.where("team = 2").collect()] == e.assign(1, team)
