@@ -42,3 +42,9 @@ def test_picks_are_ranked_without_a_group_in_python(spark):
     assert "Pandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [r["reviewer"] for r in got.where("team = 1").orderBy("item").collect()] == e.assign(25, team)
     assert [r["reviewer"] for r in got.where("team = 2").collect()] == e.assign(1, team)
+
+
+def test_a_calls_turns_reach_the_checks_as_one_row(spark, sf_dir):
+    from turnwise.plans.phrases import str07_phrase_rules
+
+    assert "FlatMapGroups" not in str07_phrase_rules(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

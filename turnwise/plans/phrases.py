@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,10 +20,21 @@ ABSENT, NOT_ASKED, MOST = 0.95, 0.90, 0.99
 RESPONSE_TURNS = 2
 
 
+@lru_cache(maxsize=100_000)
+def _at_most(target: str, window: str) -> float:
+    """The matcher's quick_ratio: the share of letters that both have."""
+    return 2.0 * (Counter(target) & Counter(window)).total() / (len(target) + len(window))
+
+
+@lru_cache(maxsize=100_000)
+def _likeness(target: str, window: str) -> float:
+    return SequenceMatcher(None, target, window).ratio()
+
+
 def best_window(words: list[str], phrase: str, threshold: int) -> tuple[float, int, int] | None:
     """(score, first word, end) of the window most like the phrase, of its number of words or one more or less; the first of equals.
 
-    The matcher is fed once with the phrase; windows that its upper bounds rule out are not compared.
+    Windows that the matcher's upper bounds rule out, first by length, are not compared; equal ones are compared once.
     """
     target = phrase.lower().strip()
     if not words or not target:
@@ -32,11 +45,11 @@ def best_window(words: list[str], phrase: str, threshold: int) -> tuple[float, i
     for size in sorted({n, n + 1, max(1, n - 1)}):
         for i in range(max(1, len(low) - size + 1)):
             window = low[i : i + size]
-            match = SequenceMatcher(None, target, " ".join(window))
+            said = " ".join(window)
             floor = max(threshold, best[0] if best else 0) / 100
-            if match.real_quick_ratio() < floor or match.quick_ratio() < floor:
+            if 2.0 * min(len(target), len(said)) / (len(target) + len(said)) < floor or _at_most(target, said) < floor:
                 continue
-            score = match.ratio() * 100
+            score = _likeness(target, said) * 100
             if score >= threshold and (best is None or score > best[0]):
                 best = (score, i, i + len(window))
     return best
@@ -83,16 +96,20 @@ def judge(call: list[tuple[int, str, str]], check: PhraseCheck) -> tuple[str, fl
 
 
 def verdicts_of(rows: DataFrame, checks: tuple[PhraseCheck, ...], call_col: str = "conv_id") -> DataFrame:
-    """(call, criterion, status, confidence, quote, turn) of every call of rows(call, turn, speaker, text); a call's turns are one group."""
+    """(call, criterion, status, confidence, quote, turn) of every call of rows(call, turn, speaker, text); a call's turns are one row."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("turn")
-        call = list(zip(f["turn"], f["speaker"], f["text"].fillna(""), strict=True))
-        out = pd.DataFrame([(f["call"].iloc[0], c.criterion, *judge(call, c)) for c in checks], columns=["call", "criterion", "status", "confidence", "quote", "turn"])
-        return out.astype({"turn": "Int64"})
-
-    told = rows.select(F.col(call_col).alias("call"), "turn", "speaker", "text")
-    return told.groupBy("call").applyInPandas(run, "call bigint, criterion string, status string, confidence double, quote string, turn bigint").withColumnRenamed("call", call_col)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for i, told in zip(f["call"], f["told"], strict=True):
+                call = [(t["turn"], t["speaker"], t["text"]) for t in told]
+                found += [(i, c.criterion, *judge(call, c)) for c in checks]
+            yield pd.DataFrame(found, columns=["call", "criterion", "status", "confidence", "quote", "turn"]).astype({"turn": "Int64"})
+
+    # One row for each call: groups of a data frame each would cost more than their checks.
+    turn = F.struct("turn", "speaker", F.coalesce("text", F.lit("")).alias("text"))
+    told = rows.groupBy(F.col(call_col).alias("call")).agg(F.sort_array(F.collect_list(turn)).alias("told"))
+    return told.mapInPandas(run, "call bigint, criterion string, status string, confidence double, quote string, turn bigint").withColumnRenamed("call", call_col)
 
 
 CHECKS = (
