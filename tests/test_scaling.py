@@ -48,3 +48,9 @@ def test_a_calls_turns_reach_the_checks_as_one_row(spark, sf_dir):
     from turnwise.plans.phrases import str07_phrase_rules
 
     assert "FlatMapGroups" not in str07_phrase_rules(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_days_that_can_matter_are_looked_at(spark, sf_dir):
+    from turnwise.functions.schedules import ses09_schedule_occurrences
+
+    assert "sequence(-8" not in ses09_schedule_occurrences(spark, sf_dir)._jdf.queryExecution().analyzed().toString()

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnwise.registry import register
 from turnwise.sources.tables import calls
 
-#: Days that are looked at on either side: a weekly time and a day for the zone's distance from UTC.
-DAYS = 9
+#: Days from today, or from the first day at or after it that has the weekday, whose times can be the last or the next: a day more than the calendar asks for, as clocks are set over midnight.
+DAILY, WEEKLY = (-2, -1, 0, 1, 2), (-14, -7, 0, 7)
 
 
 def instant(local: Column, zone: Column) -> Column:
@@ -27,14 +27,14 @@ def instant(local: Column, zone: Column) -> Column:
 def occurrences(now: Column, hour: Column, minute: Column, weekday: Column, zone: Column) -> Column:
     """(latest, next): the last occurrence at or before `now` and the first after it. weekday: 0 is Monday, null every day."""
     today = F.unix_date(F.from_utc_timestamp(now, zone).cast("date"))
+    first = today + F.pmod(weekday - F.weekday(F.date_from_unix_date(today)), F.lit(7))
 
     def on(day: Column) -> Column:
-        date = F.date_from_unix_date(day)
-        local = F.timestamp_seconds(day.cast("bigint") * 86400 + hour * 3600 + minute * 60)
-        return F.when(weekday.isNull() | (F.weekday(date) == weekday), instant(local, zone))
+        return instant(F.timestamp_seconds(day.cast("bigint") * 86400 + hour * 3600 + minute * 60), zone)
 
-    days = F.transform(F.sequence(F.lit(1 - DAYS), F.lit(DAYS - 1)), lambda d: on((today + d).cast("int")))
-    return F.struct(F.array_max(F.filter(days, lambda t: t <= now)).alias("latest"), F.array_min(F.filter(days, lambda t: t > now)).alias("next"))
+    days = F.when(weekday.isNull(), F.array(*[(today + d).cast("int") for d in DAILY])).otherwise(F.array(*[(first + d).cast("int") for d in WEEKLY]))
+    times = F.transform(days, on)
+    return F.struct(F.array_max(F.filter(times, lambda t: t <= now)).alias("latest"), F.array_min(F.filter(times, lambda t: t > now)).alias("next"))
 
 
 @register("ses09_schedule_occurrences")
