@@ -54,3 +54,12 @@ def test_only_days_that_can_matter_are_looked_at(spark, sf_dir):
     from turnwise.functions.schedules import ses09_schedule_occurrences
 
     assert "sequence(-8" not in ses09_schedule_occurrences(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+
+
+def test_values_are_looked_for_once_a_text(spark):
+    from turnwise.functions import readouts as r
+
+    df = spark.createDataFrame([("Jo's card: 12, jo 123", ["jo", "12", ""]), (None, ["x"]), ("plain", [])], "t string, v array<string>")
+    got = df.select(r.mask_words(F.col("t"), F.col("v")).alias("w"))
+    assert not lambdas_with(got, "regexp_replace")
+    assert [x["w"] for x in got.collect()] == [["[REDACTED]", "card:", "[REDACTED]", "[REDACTED]", "[REDACTED]"], None, ["plain"]]
