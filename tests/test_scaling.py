@@ -63,3 +63,16 @@ def test_values_are_looked_for_once_a_text(spark):
     got = df.select(r.mask_words(F.col("t"), F.col("v")).alias("w"))
     assert not lambdas_with(got, "regexp_replace")
     assert [x["w"] for x in got.collect()] == [["[REDACTED]", "card:", "[REDACTED]", "[REDACTED]", "[REDACTED]"], None, ["plain"]]
+
+
+def test_number_tokens_search_a_text_once(spark):
+    from turnwise.functions import readouts as r
+
+    text = "é" * 900 + " code one two, 12"
+    rows = spark.createDataFrame([(1, text, "said before"), (2, "no number", ""), (3, "seven", "x" * 500)], "id int, text string, context string")
+    got = r.number_tokens(rows, ["id"])
+    assert "RLIKE" not in got._jdf.queryExecution().analyzed().toString().split("Generate")[-1]
+    for t in got.collect():
+        lead, own = {1: ("said before ", text), 3: ("x" * 200 + " ", "seven")}[t["id"]]
+        assert t["before"] == (lead + own[: t["begin"]])[-400:]
+    assert sorted(t["value"] for t in got.collect()) == ["12", "one", "seven", "two"]
