@@ -13,6 +13,7 @@ import pytest
 
 from llm import cases
 from turnwise.llm import components, exact_dedup, jaccard_join, shingles
+from turnwise.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,6 +110,34 @@ def test_regions_windows_and_tiles_lose_no_link(spark, cell, deep):
     assert label == brute_labels(sets)
 
 
+def test_strangers_that_no_pivot_parts_are_joined_in_tiles(spark, monkeypatch):
+    """A family of which hardly two members are linked: a window that keeps them all goes to tiles, not through one step after another."""
+    rng = random.Random(11)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    sets = {i: frozenset(rng.getrandbits(62) if rng.random() < 0.15 else s for s in base) for i in range(60)}
+    steps = []
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, tag, keep=False: (steps.append(tag), materialise(df, tag, keep))[1])
+    rows = [(i, len(s), np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    links = jaccard_join.links_of(spark.createDataFrame(rows, "rid bigint, n bigint, entries binary"), cell=4, tiles=1).collect()
+    label = {i: i for i in sets}
+    for a, b in links:
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if v == high else v for k, v in label.items()}
+    assert label == brute_labels(sets)
+    assert steps.count("join-measured") <= 2
+
+
+@pytest.mark.parametrize(("k", "block"), [(5, 1 << 22), (40, 1 << 22), (40, 100)])
+def test_counts_of_shared_entries(monkeypatch, k, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(k)
+    sets = [np.array(sorted({rng.randrange(30) if rng.random() < 0.5 else rng.randrange(300) for _ in range(rng.randint(1, 40))}), np.uint64) for _ in range(k)]
+    asking = np.array([3, 0, 4])
+    counts = jaccard_join.shared_counts(asking, np.array([len(s) for s in sets]), np.concatenate(sets))
+    assert counts.tolist() == [[len(np.intersect1d(sets[i], s)) for s in sets] for i in asking.tolist()]
+
+
 @pytest.mark.parametrize("kind", ["string", "bigint"])
 def test_text_ids_null_ids_and_repeated_rows(spark, kind):
     rng = random.Random(2)

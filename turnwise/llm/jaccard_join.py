@@ -22,7 +22,9 @@ A step of the join, inside one region (at first: everything):
    strangers; the region is cut by distance to the pivot into overlapping windows as wide as
    the radius, and each window with few strangers is joined in tiles (strangers against a
    block of members), while a window with many is the region of the next step, in which only
-   strangers stand as pivots and have to find their links. Below DEEP steps tiles take over.
+   strangers stand as pivots and have to find their links. Tiles take over where a step leaves
+   half of those that ask as strangers of one window, and below DEEP steps. A task counts the
+   shingles that its members share once for all of its pivots.
 Each step is exact, so the links found connect what all links would connect.
 
 Before the first step an exact filter leaves only documents that can link at all: a prefix of
@@ -71,6 +73,10 @@ CELL = 1024
 CELL_ENTRIES = 1 << 20
 #: Steps after which windows with many strangers are joined in tiles.
 DEEP = 5
+#: Windows of up to so many tiles are joined in them at once.
+TILES = 64
+#: Numbers of a dense block in which a task counts shared shingles.
+BLOCK = 1 << 22
 #: So many distances to earlier pivots are kept for each task's region.
 KEPT = 8
 
@@ -313,20 +319,55 @@ def _ball(region: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "entries"):
             shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("entries").to_pylist(), batch.column("p_entries").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g", "pivot", "rid", "n", "p_n", "core", "own")], pa.array(shared, pa.int64())], ["g", "pivot", "rid", "n", "p_n", "core", "own", "shared"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g", "pivot", "rid", "n", "p_n", "core", "own", "asking")], pa.array(shared, pa.int64())], ["g", "pivot", "rid", "n", "p_n", "core", "own", "asking", "shared"])
 
-    return dealt.join(pivots, ["g", "salt"]).select("g", "pivot", "rid", "n", "p_n", "core", "own", "entries", "p_entries").mapInArrow(run, "g bigint, pivot bigint, rid bigint, n bigint, p_n bigint, core boolean, own bigint, shared bigint")
+    return dealt.join(pivots, ["g", "salt"]).select("g", "pivot", "rid", "n", "p_n", "core", "own", "asking", "entries", "p_entries").mapInArrow(run, "g bigint, pivot bigint, rid bigint, n bigint, p_n bigint, core boolean, own bigint, asking bigint, shared bigint")
 
 
 def _windows(measured: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """(g, rid, n, core, own) of overlapping windows of distance to the pivot, for measured(..., near)."""
+    """(g, rid, n, core, own, asking) of overlapping windows of distance to the pivot, for measured(..., near)."""
     radius = 1 - sim[0] / sim[1]
     away = 1 - F.col("shared") / (F.col("n") + F.col("p_n") - F.col("shared"))
     # A hair wider than the radius, so that rounding loses nothing.
     band = F.floor(away / (radius * 1.0000001)).cast("int")
     strange = F.col("core") & ~F.col("near")
-    cut = measured.select(F.explode(F.array(band, band + 1)).alias("window"), "g", "rid", "n", strange.alias("core"), F.when(F.col("near"), F.col("pivot")).otherwise(F.col("own")).alias("own"))
-    return cut.select(F.xxhash64("g", "window").alias("g"), "rid", "n", "core", "own")
+    cut = measured.select(F.explode(F.array(band, band + 1)).alias("window"), "g", "rid", "n", strange.alias("core"), F.when(F.col("near"), F.col("pivot")).otherwise(F.col("own")).alias("own"), "asking")
+    return cut.select(F.xxhash64("g", "window").alias("g"), "rid", "n", "core", "own", "asking")
+
+
+def shared_counts(asking: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """How many entries each asking set shares with each set; `whole` holds the sets one after another.
+
+    Entries that many sets hold are columns of a dense product, those of few are counted pair by pair.
+    """
+    k = len(sizes)
+    _, entry, holders = np.unique(whole, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(k), sizes)
+    out = np.zeros((len(asking), k), np.int64)
+    place = np.full(k, -1)
+    place[asking] = np.arange(len(asking))
+    heavy = holders > max(1, k // 16)
+    column = np.cumsum(heavy) - 1
+    dense = np.flatnonzero(heavy[entry])
+    dense = dense[np.argsort(column[entry[dense]], kind="stable")]
+    at, rows = column[entry[dense]], owner[dense]
+    wide = max(1, BLOCK // k)
+    for a in range(0, int(heavy.sum()), wide):
+        part = slice(*np.searchsorted(at, [a, a + wide]))
+        block = np.zeros((k, min(wide, int(heavy.sum()) - a)), np.float32)
+        block[rows[part], at[part] - a] = 1
+        out += (block[asking] @ block.T).astype(np.int64)
+    few = np.flatnonzero(((holders > 1) & ~heavy)[entry])
+    few = few[np.argsort(entry[few], kind="stable")]
+    value, rows = entry[few], owner[few]
+    for step in range(1, int(holders[~heavy].max(initial=1))):
+        same = np.flatnonzero(value[step:] == value[:-step])
+        for a, b in ((rows[same], rows[same + step]), (rows[same + step], rows[same])):
+            asks = place[a] >= 0
+            np.add.at(out.reshape(-1), place[a[asks]] * k + b[asks], 1)
+    # A set shares all its entries with itself.
+    out[np.arange(len(asking)), asking] = sizes[asking]
+    return out
 
 
 def join_region(rids: np.ndarray, sizes: np.ndarray, core: np.ndarray, own: np.ndarray, sets: list[np.ndarray], pivot: int, sim: tuple[int, int]) -> list[tuple[int, int]]:
@@ -341,35 +382,25 @@ def join_region(rids: np.ndarray, sizes: np.ndarray, core: np.ndarray, own: np.n
     radius = (1 - sim[0] / sim[1]) * 1.0000001
     away: list[np.ndarray] = []
     links = []
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    whole = np.concatenate(sets) if k else np.empty(0, np.uint64)
     order = np.flatnonzero(core)
     first = np.flatnonzero(rids == pivot)[:1]
-    for turn, i in enumerate([*first.tolist(), *order[order != (first[0] if len(first) else -1)].tolist()]):
+    turns = np.append(first, order[order != (first[0] if len(first) else -1)])
+    counts = shared_counts(turns, sizes, np.concatenate(sets)) if k else np.empty((0, 0), np.int64)
+    for turn, i in enumerate(turns.tolist()):
         ask = group != group[i]
         if turn or k < 8:
             ask &= ~met & (sizes * sim[1] >= sizes[i] * sim[0]) & (sizes * sim[0] <= sizes[i] * sim[1])
             for v in away:
-                if not np.isnan(v[i]):
-                    ask &= ~(np.abs(v - v[i]) > radius)
+                ask &= ~(np.abs(v - v[i]) > radius)
         met[i] = True
         to = np.flatnonzero(ask)
         if not len(to):
             continue
-        if len(to) * 2 < k:
-            values = np.concatenate([whole[starts[j] : starts[j + 1]] for j in to.tolist()])
-            lengths = sizes[to]
-        else:
-            to, values, lengths = np.arange(k), whole, sizes
-        mine = sets[i]
-        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
-        shared = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+        shared = counts[turn, to]
         union = sizes[i] + sizes[to] - shared
         if len(away) < KEPT:
-            v = np.full(k, np.nan)
-            v[to] = 1 - shared / union
-            away.append(v)
-        near = to[(shared * sim[1] >= union * sim[0]) & ask[to]]
+            away.append(1 - counts[turn] / (sizes[i] + sizes - counts[turn]))
+        near = to[shared * sim[1] >= union * sim[0]]
         for j in near[np.unique(group[near], return_index=True)[1]].tolist():
             links.append((int(rids[i]), int(rids[j])))
             group[group == group[j]] = group[i]
@@ -413,7 +444,7 @@ def _ranges(described: DataFrame) -> int:
     return max(4 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES)
 
 
-def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell_entries: int = CELL_ENTRIES, deep: int = DEEP) -> DataFrame:
+def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell_entries: int = CELL_ENTRIES, deep: int = DEEP, tiles: int = TILES) -> DataFrame:
     """(a, b) links between rows of sets(rid, n, entries) that connect whatever all links connect."""
     members = sets.select(F.lit(0).cast("bigint").alias("g"), "rid", "n", F.lit(True).alias("core"), F.col("rid").alias("own"), "entries")
     found: list[DataFrame] = []
@@ -427,8 +458,8 @@ def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell
         else:
             regions = regions.withColumn("own", F.col("rid"))
         regions = materialise(regions, "join-regions")
-        sizes = regions.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max("core").alias("asks")).where("k > 1 AND asks")
-        sizes = sizes.withColumn("tasks", _tasks("k", "size", cell, cell_entries)).drop("asks")
+        sizes = regions.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.count_if("core").alias("asking")).where("k > 1 AND asking > 0")
+        sizes = sizes.withColumn("tasks", _tasks("k", "size", cell, cell_entries))
         peopled = materialise(regions.join(sizes, "g"), "join-peopled")
         wanted = with_hit(sets.select("rid", "entries"), F.xxhash64("rid"), bitmap(peopled, F.xxhash64("rid"))).where("hit").drop("hit")
         sized = materialise(peopled.join(wanted, "rid"), "join-sized")
@@ -441,15 +472,17 @@ def links_of(sets: DataFrame, sim: tuple[int, int] = SIM, cell: int = CELL, cell
         measured = materialise(_ball(large, sets, sim).withColumn("near", near), "join-measured")
         found.append(measured.where("near AND rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
         windows = _windows(measured, sim)
-        stats = windows.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.count_if("core").alias("strangers"), F.sum(F.when(F.col("core"), F.col("n"))).alias("strange")).where("strangers > 0 AND k > 1")
-        windows = materialise(windows.join(stats, "g").join(sets.select("rid", "entries"), "rid"), "join-windows")
-        few = F.lit(depth + 1 >= deep) | (_tasks("strangers", "strange", cell, cell_entries) <= 1)
-        tiled = windows.where(few).withColumn("rows", _tasks("strangers", "strange", cell, cell_entries)).withColumn("columns", _tasks("k", "size", cell, cell_entries)).withColumn("h", F.xxhash64("rid", F.lit(-1)))
+        stats = windows.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.count_if("core").alias("strangers"), F.sum(F.when(F.col("core"), F.col("n"))).alias("strange"), F.max("asking").alias("asking")).where("strangers > 0 AND k > 1")
+        windows = materialise(windows.drop("asking").join(stats, "g").join(sets.select("rid", "entries"), "rid"), "join-windows")
+        rows, columns = _tasks("strangers", "strange", cell, cell_entries), _tasks("k", "size", cell, cell_entries)
+        # Where one window keeps half of those that asked, the next step would copy them into more windows without parting them.
+        few = F.lit(depth + 1 >= deep) | (rows <= 1) | (rows * columns <= tiles) | (F.col("strangers") * 2 > F.col("asking"))
+        tiled = windows.where(few).withColumn("rows", rows).withColumn("columns", columns).withColumn("h", F.xxhash64("rid", F.lit(-1)))
         # Tile (i, j): strangers of row i, asking, and members of column j.
         asking = tiled.where("core").select("g", "rid", "n", "core", "own", "entries", F.pmod("h", F.col("rows")).alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"))
         asked = tiled.select("g", "rid", "n", F.lit(False).alias("core"), "own", "entries", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(F.shiftright("h", 20), F.col("columns")).alias("j"))
-        tiles = asking.unionByName(asked).withColumn("task", F.xxhash64("g", "i", "j")).withColumn("pivot", F.lit(-1).cast("bigint"))
-        found.append(materialise(_join_tasks(tiles, sim), "join-links"))
+        dealt = asking.unionByName(asked).withColumn("task", F.xxhash64("g", "i", "j")).withColumn("pivot", F.lit(-1).cast("bigint"))
+        found.append(materialise(_join_tasks(dealt, sim), "join-links"))
         members = windows.where(~few).select("g", "rid", "n", "core", "own", "entries")
         if members.isEmpty():
             break
