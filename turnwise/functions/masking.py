@@ -6,9 +6,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnwise.functions.readouts import REDACTED, _spoken, mask_values, scanned, str19_find_pii
+from turnwise.functions.readouts import NONE, REDACTED, _spoken, labelled, mask_values, scanned, with_findings
 from turnwise.registry import register
 from turnwise.sources.tables import table
 
@@ -64,18 +64,25 @@ def str24_mask_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", masked.alias("masked"))
 
 
+def masked_at(text: Column, spans: Column) -> Column:
+    """Every span (start, end) replaced, last span first so that earlier places hold."""
+    return F.aggregate(spans, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit("[REDACTED]"), F.substring(t, s["end"] + 1, F.length(t))))
+
+
 def mask_by_position(texts: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Every finding's span replaced, last span first so that earlier places hold."""
+    """Every finding's span replaced."""
     per = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("spans"))
-    masked = F.aggregate("spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit("[REDACTED]"), F.substring(t, s["end"] + 1, F.length(t))))
+    masked = masked_at(F.col("text"), F.col("spans"))
     return texts.join(per, id_col, "left").select(id_col, F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked).alias("masked"))
 
 
 @register("str25_mask_by_position")
 def str25_mask_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the detector of read-out numbers finds in the documents, masked where it stands."""
-    docs = table(spark, sf_dir, "documents")
-    return mask_by_position(docs.select("doc_id", "text"), str19_find_pii(spark, sf_dir), "doc_id")
+    """What the detector of read-out numbers finds in the documents, masked where it stands; text and findings stay in one row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("context"), F.col("text").isNull().alias("none"))
+    own = labelled(F.col("found"), F.lit(NONE), F.col("text"))
+    spans = F.sort_array(F.transform(own, lambda x: F.struct(x["begin"].alias("start"), x["end"].alias("end"))), asc=False)
+    return with_findings(docs).select("doc_id", F.when(~F.col("none"), masked_at(F.col("text"), spans)).alias("masked"))
 
 
 def consistent_mask(texts: DataFrame, found: DataFrame, keys: list[str], group: str) -> DataFrame:
