@@ -76,3 +76,29 @@ def test_number_tokens_search_a_text_once(spark):
         lead, own = {1: ("said before ", text), 3: ("x" * 200 + " ", "seven")}[t["id"]]
         assert t["before"] == (lead + own[: t["begin"]])[-400:]
     assert sorted(t["value"] for t in got.collect()) == ["12", "one", "seven", "two"]
+
+
+def test_tokens_take_no_lambda_and_one_table_of_letters(spark):
+    df = spark.createDataFrame([("Ok\x0bO'Neil & (um) f~ book-OK  ök é9'’(x ~y) ok",), ("\t’(\u2028~)Ok",), ("((((",), (None,)], "t string").select(v.spoken_tokens(F.col("t")).alias("w"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "a-z0-9" not in plan
+    assert [r["w"] for r in df.collect()] == [["okay", "oneil", "and", "book", "okay", "okay", "e9", "okay"], ["okay"], [], None]
+
+
+def test_runs_are_made_where_a_term_may_begin(spark, monkeypatch):
+    said = ["the", "sil", "ver", "brook", "silver", "lake", "brooks", "oak", "sil", "of"]
+    units = spark.createDataFrame([(1, 0, said)], "unit int, turn int, tokens array<string>")
+    vocab = v.vocabulary(spark.createDataFrame([("Silver Brook",), ("Oak",)], "term string"))
+    opens = v.term_openings(vocab, 2)
+    runs = v.token_runs(units, None, "unit", "turn", "tokens", 3, lambda a, b: F.concat(a, b), opens)
+    assert {r["first"] for r in runs.collect()} == {1, 7}
+    for most in (1_000_000, 6, 1):  # all beginnings, those of three letters, first letters
+        monkeypatch.setattr(v, "BROADCAST_HEADS", most)
+        hits = v.term_hits(units, vocab, "unit", "turn", one_turn=True).collect()
+        assert sorted((r["first"], r["size"], r["term"]) for r in hits) == [(1, 3, "Silver Brook"), (7, 1, "Oak")]
+    assert v.term_hits(units, vocab.limit(0), "unit", "turn", one_turn=True).count() == 0
+
+
+def test_a_texts_tokens_are_worked_out_once(spark, sf_dir):
+    plan = v.str12_term_scan(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("okay") == 1

@@ -25,11 +25,15 @@ from turnwise.sources.tables import oracle, table, turns
 #: Accented letters of the Latin blocks that decompose to an ASCII letter, and those letters.
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha() and chr(c).lower() == chr(c))
 _BARE = "".join(unicodedata.normalize("NFKD", c)[0].lower() for c in _ACCENTED)
+#: What stands between tokens, beside the blank.
+_BLANKS = "-–—_/\t\n\x0b\f\r"
 
 #: Limits of a vocabulary term.
 TERM_CHARS, TERM_WORDS, TERM_PUNCTUATION = 60, 5, "'’&.-"
 #: Up to so many terms a vocabulary is broadcast; larger ones are joined.
 BROADCAST_TERMS = 200_000
+#: Beginnings of terms that are broadcast, at most; with more terms the beginnings are shorter.
+BROADCAST_HEADS = 1_000_000
 
 
 def held(rows: DataFrame, *more: Column) -> DataFrame:
@@ -38,15 +42,18 @@ def held(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def letters(text: Column) -> Column:
-    """Lower case without accents, bracketed marks, cut words (f~) and apostrophes; & is "and"; what is neither letter nor digit separates tokens or vanishes inside them."""
-    low = F.translate(F.lower(text), _ACCENTED + "’'", _BARE)
-    low = F.regexp_replace(F.regexp_replace(low, r"\([^)]*\)|[^\s~]*+~\S*", " "), "&", " and ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[-–—_/]", " "), r"[^a-z0-9\s]", ""), r"\s+", " "))
+    """Lower case without accents, bracketed marks, cut words (f~) and apostrophes; & is "and"; what is neither letter nor digit separates tokens, as a blank, or vanishes inside them."""
+    # A cut word is looked for where a word or the rest of one begins, not at each of its letters.
+    cut = F.regexp_replace(F.translate(text, "’'", ""), r"\([^)]*\)|(?:\G|(?<=\s))[^\s~]*+~\S*", " ")
+    low = F.lower(F.when(text.contains("(") | text.contains("~"), cut).otherwise(text))
+    bare = F.translate(F.replace(low, F.lit("&"), F.lit(" and ")), _ACCENTED + _BLANKS + "’'", _BARE + " " * len(_BLANKS))
+    # Posix classes are looked up in a table, which [a-z0-9] is not; of A-Z none is left.
+    return F.regexp_replace(bare, r"[^\p{Alnum} ]+", "")
 
 
 def spoken_tokens(text: Column) -> Column:
     """The tokens of a word or text as an array; "ok" is "okay"."""
-    return F.transform(F.filter(F.split(letters(text), " "), lambda t: t != ""), lambda t: F.when(t == "ok", "okay").otherwise(t))
+    return F.array_remove(F.split(F.regexp_replace(letters(text), r"ok(?<!\p{Alnum}ok)(?!\p{Alnum})", "okay"), " "), "")
 
 
 _LETTERS = rf"""trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(translate(lower({{}}), '{_ACCENTED}’''', '{_BARE}'), '\([^)]*\)|\S*~\S*', ' ', 'g'), '&', ' and '), '[-–—_/]', ' ', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"""
@@ -179,11 +186,13 @@ def turn_ends(units: DataFrame, unit: str, turn: str, column: str, longest: int)
     return materialise(cut.select(unit, turn, "n", offset.alias("offset"), "tail", later.alias("later")), "turn-ends")
 
 
-def _runs_of(rows: DataFrame, items: str, longest: int, join: Callable[[Column, Column], Column]) -> DataFrame:
-    """Each run of 1 to `longest` of a row's items, joined from the left: the row's other columns, first, size, key."""
+def _runs_of(rows: DataFrame, items: str, longest: int, join: Callable[[Column, Column], Column], opens: Callable[[DataFrame, Column, Column], DataFrame] | None = None) -> DataFrame:
+    """Each run of 1 to `longest` of a row's items, joined from the left: the row's other columns, first, size, key. opens: keeps of all places those where a run is wanted, by the item there and the next one."""
     rest = [c for c in rows.columns if c != items]
     shifted = [F.slice(items, F.lit(k + 1), F.size(items)) for k in range(longest)]
-    x = rows.where(F.size(items) > 0).select(*rest, F.posexplode(F.arrays_zip(*shifted)).alias("first", "x"))
+    x = rows.select(*rest, F.posexplode(F.arrays_zip(*shifted)).alias("first", "x"))
+    if opens and longest > 1:
+        x = opens(x, F.col("x")["0"], F.col("x")["1"]).select(*rest, "first", "x")
     runs = [F.col("x")["0"]]
     for k in range(1, longest):
         more = F.col("x")[str(k)]
@@ -192,30 +201,48 @@ def _runs_of(rows: DataFrame, items: str, longest: int, join: Callable[[Column,
     return x.select(*rest, "first", F.explode(sized).alias("r")).select(*rest, "first", "r.size", "r.key").where("key IS NOT NULL")
 
 
-def token_runs(units: DataFrame, ends: DataFrame | None, unit: str, turn: str, column: str, longest: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+def token_runs(units: DataFrame, ends: DataFrame | None, unit: str, turn: str, column: str, longest: int, join: Callable[[Column, Column], Column], opens: Callable[[DataFrame, Column, Column], DataFrame] | None = None) -> DataFrame:
     """(unit, turn, first, size, key): every run of 1 to `longest` items of an array column, joined pairwise from the left; first: its place in its turn.
 
     Runs inside a turn come from its row alone; those that cross turns from `ends` (None: units have one turn each), so no whole turn is shuffled.
+    opens: as of `_runs_of`; all runs of the places that it keeps.
     """
-    inside = _runs_of(units.select(unit, turn, F.col(column).alias("own")), "own", longest, join).select(unit, turn, "first", "size", "key")
+    inside = _runs_of(units.select(unit, turn, F.col(column).alias("own")), "own", longest, join, opens).select(unit, turn, "first", "size", "key")
     if ends is None or longest < 2:
         return inside
     border = ends.where(F.size("later") > 0).select(unit, turn, "n", F.size("tail").alias("m"), F.concat("tail", "later").alias("own"))
-    crossing = _runs_of(border, "own", longest, join).where("first < m AND first + size > m")
+    crossing = _runs_of(border, "own", longest, join, opens).where("first < m AND first + size > m")
     return inside.unionByName(crossing.select(unit, turn, (F.col("n") - F.col("m") + F.col("first")).cast("int").alias("first"), "size", "key"))
 
 
+def term_openings(vocab: DataFrame, terms: int) -> Callable[[DataFrame, Column, Column], DataFrame]:
+    """Keeps the places where a term may begin: the token there is a key, or with the next one the beginning of a key, which few are; the rest need no runs."""
+    n = max(BROADCAST_HEADS // max(terms, 1), 1)
+    cut = F.least(F.length("key"), F.lit(n))
+    whole = F.col("i") == cut
+    heads = vocab.select("key", F.explode(F.sequence(F.lit(1), cut)).alias("i")).groupBy(F.left("key", F.col("i")).alias("_head")).agg(F.max(whole).alias("_whole"))
+
+    def opens(places: DataFrame, token: Column, after: Column) -> DataFrame:
+        begun = places.join(F.broadcast(heads), F.left(token, F.lit(n)) == F.col("_head"))
+        longer = heads.select(F.col("_head").alias("_longer"))
+        return begun.join(F.broadcast(longer), F.left(F.concat(token, after), F.lit(n)) == F.col("_longer"), "left").where("_whole OR _longer IS NOT NULL")
+
+    return opens
+
+
 def term_hits(units: DataFrame, vocab: DataFrame, unit: str, turn: str, tokens: str = "tokens", one_turn: bool = False) -> DataFrame:
     """(unit, turn, first, size, term) of the hits of a vocabulary, those that the scan takes.
 
     units: one row for each turn with its array of tokens; one_turn: units have one each. first: the
     place of the first token in its turn; size: tokens, at most one more than the term has.
     """
+    vocab = materialise(vocab, "vocabulary")
     most, terms = vocab.agg(F.max("n_tokens"), F.count("*")).first()
     longest = (most or 0) + 1
     ends = None if one_turn else turn_ends(units, unit, turn, tokens, longest)
-    runs = token_runs(units, ends, unit, turn, tokens, longest, lambda a, b: F.concat(a, b))
-    met = runs.join(F.broadcast(vocab) if terms <= BROADCAST_TERMS else vocab, "key").where(F.col("size") <= F.col("n_tokens") + 1)
+    small = terms <= BROADCAST_TERMS
+    runs = token_runs(units, ends, unit, turn, tokens, longest, lambda a, b: F.concat(a, b), term_openings(vocab, terms) if small else None)
+    met = runs.join(F.broadcast(vocab) if small else vocab, "key").where(F.col("size") <= F.col("n_tokens") + 1)
     # At one place the longer term is first, then the earlier one by name; of one term the fewer tokens.
     best = F.min_by(F.struct("size", "term"), F.struct(-F.length("key"), F.col("term"), F.col("size")))
     starts = met.groupBy(unit, turn, "first").agg(best.alias("b")).select(unit, turn, "first", "b.*")
